@@ -56,7 +56,7 @@ with sized as (
       / (sum(weight) over (order by brk, source nulls last rows between current row and unbounded following))::double as level
   from breaks
 ), level as (
-  select coalesce(min(case when level <= brk then level end), 0.0) as level from levels
+  select coalesce(max(case when level <= brk then level end), 0.0) as level from levels
 ), targets as (
   select source, source_size, least(cap::double, level.level * weight) as target from breaks, level
 ), rated as (
