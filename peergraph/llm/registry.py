@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peergraph.llm import mixing, secrets
+import public_tokenizers
+
+from peergraph.llm import bpe, mixing, quality, secrets, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +34,38 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    decoded = bpe.decode_documents(encoded, path, pattern)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_boilerplate_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_secret_scan)
+    f.__name__: f for f in (
+        op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_byte_bpe, op8_simhash, op9_quality_rules,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -70,4 +102,73 @@ select doc_id, size, source_size, target,
        (size * (floor(rate)::bigint + case when draw < rate - floor(rate) then 1 else 0 end))::bigint as taken,
        (floor(rate)::bigint + case when draw < rate - floor(rate) then 1 else 0 end)::bigint as copies
 from rated""",
+    "op3_exact_topk": """
+with points as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from points q join points c on q.vec_id <> c.vec_id
+  where q.vec_id % 50 = 0
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5""",
+    "op9_quality_rules": """
+with docs as (
+  select doc_id, source, coalesce(text, '') as text from documents
+), words as (
+  select doc_id, source, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w from docs
+), spots as (
+  select doc_id, unnest(range(1, len(w) - 6)) as i, w from words where len(w) >= 8
+), wins as (
+  select doc_id, i, array_to_string(w[i:i + 7], ' ') as win from spots
+), dup as (
+  select doc_id, i from (select *, count(*) over (partition by doc_id, win) as n from wins) where n > 1
+), repeats as (
+  select doc_id, sum(least(8, coalesce(nxt - i, 8)))::bigint as n_repeat_words
+  from (select *, lead(i) over (partition by doc_id order by i) as nxt from dup) group by doc_id
+), lines as (
+  select doc_id, source, text, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) as line from docs
+), hashed as (
+  select doc_id, source, text, line,
+         len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as n,
+         ('0x' || substr(md5(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))), 1, 15))::bigint as h
+  from lines
+), each as (
+  select distinct source, text, h from hashed
+), ranked as (
+  select *, row_number() over (partition by source, text order by h) as r from each
+), sketches as (
+  select source, text, min(h) as m1, min(case when r = 2 then h end) as m2 from ranked group by source, text
+), seen as (
+  select each.source, h, count(distinct case when h = m1 then coalesce(m2, -1) else m1 end) as seen
+  from each join sketches using (text) where each.source is not distinct from sketches.source
+  group by each.source, h
+), hosts as (
+  select source, count(distinct text) as docs from docs group by source
+), boiler as (
+  select seen.source, seen.h from seen join hosts on seen.source is not distinct from hosts.source
+  where seen > 10 and seen > docs * 0.01::double
+), lost as (
+  select doc_id, sum(n)::bigint as n from hashed join boiler using (h) where hashed.source is not distinct from boiler.source group by doc_id
+), dups as (
+  select doc_id, (count(*) - count(distinct line))::bigint as n_dup_lines from lines group by doc_id
+), stats as (
+  select doc_id, len(w)::bigint as n_words,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+         coalesce(lost.n, 0) as n_boilerplate_words
+  from words left join dups using (doc_id) left join repeats using (doc_id) left join lost using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words
+            or n_words - n_boilerplate_words < 20 or (n_words - n_boilerplate_words) * 100 < n_words * 50) as kept,
+       n_boilerplate_words
+from stats""",
 }
