@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from peergraph.llm import bpe, mixing, pitman_yor, quality, secrets, simhash, substrings, topk
+from peergraph.llm import bpe, extraction, mixing, pitman_yor, quality, secrets, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,10 +70,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_byte_bpe, op6_pitman_yor,
         op7_substring_dedup, op8_simhash, op9_quality_rules,
+        op10_html_extraction,
     )
 }
 
