@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from peergraph.llm import bpe, extraction, mixing, pitman_yor, quality, secrets, simhash, substrings, topk
+from peergraph.llm import bpe, extraction, mixing, pitman_yor, quality, secrets, simhash, substrings, toolcalls, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.format_chat(_table(spark, sf_dir, "conversations"))
+
+
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -77,7 +81,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_byte_bpe, op6_pitman_yor,
+        op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_byte_bpe, op5_chat_format, op6_pitman_yor,
         op7_substring_dedup, op8_simhash, op9_quality_rules,
         op10_html_extraction,
     )
@@ -186,4 +190,10 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             or n_words - n_boilerplate_words < 20 or (n_words - n_boilerplate_words) * 100 < n_words * 50) as kept,
        n_boilerplate_words
 from stats""",
+    "op5_chat_format": """
+select conv_id, turn, coalesce(role, '') as role, turn as anchor, 0::int as level, false as is_result,
+       0::bigint as n_calls, 0::bigint as n_answered, 0::bigint as n_invalid, 'plain' as status,
+       '{"content":' || to_json(coalesce(text, ''))::varchar || ',"role":' || to_json(coalesce(role, ''))::varchar || '}' as message
+from conversations
+where not regexp_matches(coalesce(text, ''), '^\\s*\\{')""",
 }
