@@ -151,24 +151,24 @@ def similarity_ranks(spark, sf_dir):
     return pr.symmetrise(_rounded_pairs(spark, sf_dir)).select(F.col("i").alias("vec_id"), F.col("j").alias("neighbor_id"), F.row_number().over(order).alias("rank"))
 
 
-def _tfidf(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return vec.tfidf(docs, "doc_id", "text", 2, 0.25)
+def _tfidf(spark, sf_dir, max_df):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return vec.tfidf(docs, "doc_id", "text", 2, max_df)
 
 
 def tfidf_weights(spark, sf_dir):
-    return _tfidf(spark, sf_dir).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return _tfidf(spark, sf_dir, 0.25).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def tfidf_cosine_pairs(spark, sf_dir):
-    pairs = pr.sparse_cosine_pairs(_tfidf(spark, sf_dir), "doc_id", 0.25)
+    pairs = pr.sparse_cosine_pairs(_tfidf(spark, sf_dir, 0.05), "doc_id", 0.25)
     return pairs.select("i", "j", F.round("s", 5).alias("s"))
 
 
 def explain_pair(spark, sf_dir):
-    """P10: owners are vec_id % 40; the chunks of owners (2m, 2m + 1) are matched one to one."""
+    """P10: twelve vectors to an owner; the chunks of owners (2m, 2m + 1) are matched one to one."""
     own = _vectors(spark, sf_dir).select(
-        "vec_id", (F.col("vec_id") % 40).alias("owner"), vec.l2_normalize(vec.as_doubles(F.col("embedding"))).alias("v")
+        "vec_id", F.floor(F.col("vec_id") / 12).alias("owner"), vec.l2_normalize(vec.as_doubles(F.col("embedding"))).alias("v")
     )
     a = own.where("owner % 2 = 0").select(F.col("owner").alias("pair"), F.col("vec_id").alias("a"), F.col("v").alias("va"))
     b = own.where("owner % 2 = 1").select((F.col("owner") - 1).alias("pair"), F.col("vec_id").alias("b"), F.col("v").alias("vb"))
@@ -211,11 +211,11 @@ _PCT_OF = "(select i, j, s, (rank() over (order by s) + (count(*) over (partitio
 _RANK_OF = "(select i, j, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double as r from {} where i < j)"
 _TOP_OF = "(select i, j, rank from (select i, j, row_number() over (partition by i order by s desc, j) as rank from {}) where rank <= 5)"
 _TFIDF = """
-with docs as (select doc_id, coalesce(text, '') as text from documents where lang = 'en'),
+with docs as (select doc_id, coalesce(text, '') as text from documents),
 terms as (
-  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z][a-z-]{2,}')) as term from docs
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z][a-z-]{{2,}}')) as term from docs
 ), counts as (select doc_id, term, count(*) as tf from terms group by all),
-df as (select term, count(*) as df from counts group by term having count(*) >= 2 and count(*) <= 0.25::double * (select count(distinct doc_id) from docs)),
+df as (select term, count(*) as df from counts group by term having count(*) >= 2 and count(*) <= {max_df}::double * (select count(distinct doc_id) from docs)),
 raw as (
   select doc_id, term, (1 + ln(tf)) * (ln((1 + (select count(distinct doc_id) from docs))::double / (1 + df)) + 1) as w from counts join df using (term)
 ), weights as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from raw)"""
@@ -264,8 +264,8 @@ select (select round(corr(x.r, y.r), 5) from {_RANK_OF.format('a')} x join {_RAN
 select round(quantile_cont(overlap, 0.25), 6) as q1, round(quantile_cont(overlap, 0.5), 6) as median, round(quantile_cont(overlap, 0.75), 6) as q3,
        round(avg(same_first::int::double), 6) as top1 from firms""",
     "similarity_ranks": f"with {COSINE} select i as vec_id, j as neighbor_id, row_number() over (partition by i order by round(s, 6) desc, j)::int as rank from scored",
-    "tfidf_weights": _TFIDF + " select doc_id, term, round(weight, 6) as weight from weights",
-    "tfidf_cosine_pairs": _TFIDF + """ select a.doc_id as i, b.doc_id as j, round(sum(a.weight * b.weight), 5) as s
+    "tfidf_weights": _TFIDF.format(max_df=0.25) + " select doc_id, term, round(weight, 6) as weight from weights",
+    "tfidf_cosine_pairs": _TFIDF.format(max_df=0.05) + """ select a.doc_id as i, b.doc_id as j, round(sum(a.weight * b.weight), 5) as s
 from weights a join weights b on a.term = b.term and a.doc_id < b.doc_id group by all having sum(a.weight * b.weight) >= 0.25""",
     "embed_cache": """
 with cached as (select distinct sha256(text) as k from documents where doc_id % 2 = 0)
