@@ -92,22 +92,24 @@ def mixture(
     per_source = cyclic_weights(scratch.table(per_source, "sizes"), "mix_source", cycle)
     n, total = per_source.agg(F.count(F.lit(1)), F.sum("source_size")).first()
     rates = scratch.table(water_fill(per_source, "source_size", "weight", int(total or 0), max_rate), "targets")
+    name, salt = fresh(sized, "source"), fresh(sized, "salt")
+    rates = rates.select(F.col("mix_source").alias(name), "source_size", "target")
 
     if n <= BROADCAST_ROWS:
-        joined = sized.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("mix_source")), "left")
+        joined = sized.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col(name)), "left")
     else:  # a hot source is dealt over SALTS tasks
-        salt = fresh(sized, "salt")
-        spread = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        other = f"{salt}_rate"
+        spread = rates.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keyed = sized.withColumn(salt, F.pmod(F.xxhash64(doc_id, text), F.lit(SALTS)).cast("int"))
         joined = keyed.join(
-            spread, F.col(source).eqNullSafe(F.col("mix_source")) & (F.col(salt) == F.col("mix_salt")), "left"
-        ).drop(salt, "mix_salt")
+            spread, F.col(source).eqNullSafe(F.col(name)) & (F.col(salt) == F.col(other)), "left"
+        ).drop(salt, other)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate")
     return (
         joined.withColumn("rate", rate)
         .withColumn("copies", (whole + F.when(draw(seed, doc_id, text) < F.col("rate") - whole, 1).otherwise(0)).cast("long"))
-        .drop("mix_source", "weight")
+        .drop(name)
     )
 
 

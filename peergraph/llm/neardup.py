@@ -256,11 +256,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     scratch = Scratch(docs.sparkSession, "neardup")
     groups = scratch.table(near_duplicates(docs, doc_id, text, **how), "groups")
     keeps = F.col("doc_id").eqNullSafe(F.col("keeper_id")) & (F.col("k") == F.col("keeper_k"))
-    gone = scratch.table(groups.where(~keeps).select(F.col("doc_id").alias("gone_id"), F.col("k").alias("gone_k")), "gone")
-    key = fresh(docs, "k")
+    key, gone_id, gone_k = (fresh(docs, stem) for stem in ("k", "gone_id", "gone_k"))
+    gone = scratch.table(groups.where(~keeps).select(F.col("doc_id").alias(gone_id), F.col("k").alias(gone_k)), "gone")
     keyed = docs.withColumn(key, text_digest(text))
     small = F.broadcast(gone) if gone.count() <= SMALL else gone
-    left = keyed.join(small, F.col(doc_id).eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_k")), "left_anti")
+    left = keyed.join(small, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_k)), "left_anti")
     if not groups.where(keeps & (F.col("rows") > 1)).isEmpty():  # rows repeated as a whole
         left = left.dropDuplicates([doc_id, key])
     return left.select(*docs.columns)
