@@ -4,11 +4,10 @@ Each line is normalised (ASCII lower case, white space to one space, trimmed) an
 hashed (60 bits of MD5).  Per host the distinct documents that hold a line are
 counted; a line in more than ``max(min_docs, share * documents of the host)`` of
 them is boilerplate and is removed; a document that is left with too few words is
-rejected.  Two documents count as distinct when the rest of them differs: the
-document behind an occurrence is told by the least hash among its *other* lines,
-so a thousand copies of one text do not make its sentences boilerplate (finding
-copies is the task of near-duplicate removal), while a notice pasted under a
-thousand different texts does.
+rejected.  Two documents count as distinct when the rest of them differs, told by
+two 64-bit hashes of all their lines: a thousand copies of one text do not make its
+sentences boilerplate (finding copies is the task of near-duplicate removal), while
+a notice pasted under a thousand different texts does, however many lines it has.
 
 Edge cases: null text has no words and fails the base rules; null host is a host
 of its own; repeated rows get equal verdicts and count once; an empty table gives
@@ -114,11 +113,11 @@ def boilerplate(docs: DataFrame, text: str, host: str, min_docs: int = MIN_DOCS,
     ).agg(F.first(F.array_distinct(F.transform(hashed_lines(body), lambda x: x["h"]))).alias("lines"))
     texts = Scratch(docs.sparkSession, "quality").table(texts, "texts")
     hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    least = F.array_min("lines")
-    other = F.array_min(F.filter("lines", lambda x: x != least))
+    # a line's other lines are its text's lines without it, so they differ where the whole sets differ
+    whole = F.array_sort("lines")
     seen = (
-        texts.select("host", least.alias("m1"), F.coalesce(other, F.lit(-1)).alias("m2"), F.explode("lines").alias("h"))
-        .groupBy("host", "h", F.when(F.col("h") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("rest")).agg(F.lit(1).alias("one"))
+        texts.groupBy("host", F.xxhash64(whole).alias("s1"), F.xxhash64(F.lit(1), whole).alias("s2")).agg(F.first("lines").alias("lines"))
+        .select("host", F.explode("lines").alias("h"))
         .groupBy("host", "h").agg(F.count(F.lit(1)).alias("seen"))
         .where(F.col("seen") > min_docs)
     )

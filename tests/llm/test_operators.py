@@ -323,6 +323,16 @@ def test_quality_statistics_and_boilerplate(spark):
     assert quality.quality(df.limit(0)).count() == 0
 
 
+def test_long_boilerplate_blocks_are_found_whole(spark):
+    rng = random.Random(12)
+    block = [f"{prose(rng, 3)} menu {i}" for i in range(20)]
+    rows = [(i, "\n".join([prose(rng, 30), prose(rng, 30), *block]), "h") for i in range(40)]
+    rows += [(100 + i, prose(rng, 40), "h") for i in range(400)]
+    got = {r.doc_id: r for r in quality.quality(docs(spark, rows)).collect()}
+    assert all(got[i].n_boilerplate_words == 20 * 5 and "menu" not in got[i].clean_text for i in range(40))
+    assert all(got[i].n_boilerplate_words == 0 for i in got if i >= 100)
+
+
 # --- HTML extraction --------------------------------------------------------
 
 def test_extraction_on_held_out_layouts():
