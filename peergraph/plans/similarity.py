@@ -165,6 +165,18 @@ def tfidf_cosine_pairs(spark, sf_dir):
     return pairs.select("i", "j", F.round("s", 5).alias("s"))
 
 
+def tfidf_cosine_all_pairs(spark, sf_dir):
+    """The reference's vocabulary and no least score.  Copies do not expand: a pair stands for all members of two classes of equal texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    weights = _tfidf(spark, sf_dir, 0.25)
+    keyed = docs.where("doc_id is not null").groupBy("doc_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.sha2(F.col("text").cast("binary"), 256)))), 256).alias("k"))
+    first = keyed.groupBy("k").agg(F.min("doc_id").alias("i"))
+    copies = keyed.join(first, "k").where("doc_id > i").select("i", F.col("doc_id").alias("j"))
+    pairs = pr.sparse_cosine_pairs(weights.join(first.select(F.col("i").alias("doc_id")), "doc_id", "left_semi"), "doc_id")
+    inside = copies.join(weights.select(F.col("doc_id").alias("i")).distinct(), "i", "left_semi").withColumn("s", F.lit(1.0))
+    return pairs.select(F.lit("pair").alias("kind"), "i", "j", F.round("s", 5).alias("s")).unionByName(inside.select(F.lit("copy").alias("kind"), "i", "j", "s"))
+
+
 def explain_pair(spark, sf_dir):
     """P10: twelve vectors to an owner; the chunks of owners (2m, 2m + 1) are matched one to one."""
     own = _vectors(spark, sf_dir).select(
@@ -191,7 +203,7 @@ QUERIES = {
     for f in (
         cosine_topk, cosine_centered_topk, topk_outside_label, pair_percentile_avg, pair_percentile_ordinal, similarity_bins, ensemble_topk,
         neighbors_table, pool_chunks, precision_at_k, precision_by_label, pair_auc, method_agreement, neighbour_stability, similarity_ranks,
-        tfidf_weights, tfidf_cosine_pairs, explain_pair, embed_cache,
+        tfidf_weights, tfidf_cosine_pairs, tfidf_cosine_all_pairs, explain_pair, embed_cache,
     )
 }
 
@@ -267,6 +279,12 @@ select round(quantile_cont(overlap, 0.25), 6) as q1, round(quantile_cont(overlap
     "tfidf_weights": _TFIDF.format(max_df=0.25) + " select doc_id, term, round(weight, 6) as weight from weights",
     "tfidf_cosine_pairs": _TFIDF.format(max_df=0.05) + """ select a.doc_id as i, b.doc_id as j, round(sum(a.weight * b.weight), 5) as s
 from weights a join weights b on a.term = b.term and a.doc_id < b.doc_id group by all having sum(a.weight * b.weight) >= 0.25""",
+    "tfidf_cosine_all_pairs": _TFIDF.format(max_df=0.25) + """, bags as (
+  select doc_id, list_sort(list(text)) as bag from docs where doc_id is not null group by doc_id
+), classes as (select doc_id, min(doc_id) over (partition by bag) as i from bags), least as (select * from weights where doc_id in (select i from classes))
+select 'pair' as kind, a.doc_id as i, b.doc_id as j, round(sum(a.weight * b.weight), 5) as s
+from least a join least b on a.term = b.term and a.doc_id < b.doc_id group by all
+union all select 'copy', i, doc_id, 1.0::double from classes where doc_id > i and i in (select doc_id from weights)""",
     "embed_cache": """
 with cached as (select distinct sha256(text) as k from documents where doc_id % 2 = 0)
 select doc_id, sha256(text) as text_key,

@@ -75,3 +75,13 @@ def test_embed_cache_asks_only_for_new_texts(spark):
     assert new.count() == 2 and {tuple(r.vector) for r in out.where("t is not null").collect()} == {(0.6, 0.8)}
     _, again = vectors.embed_with_cache(texts, "t", new, lambda ts: [[0.0] for _ in ts])
     assert again.count() == 0
+
+
+def test_all_tfidf_pairs_keep_common_terms_and_copies(spark, tmp_path):
+    from peergraph.plans import similarity
+
+    texts = ["alpha beta gamma"] * 3 + ["alpha delta"] + [f"filler{chr(97 + i)} word{chr(97 + i)}" for i in range(16)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.kind, r.i, r.j): r.s for r in similarity.QUERIES["tfidf_cosine_all_pairs"](spark, str(tmp_path)).collect()}
+    assert {k for k in got if k[0] == "copy"} == {("copy", 0, 1), ("copy", 0, 2)}
+    assert {k for k in got if k[0] == "pair"} == {("pair", 0, 3)} and 0 < got["pair", 0, 3] < 1
