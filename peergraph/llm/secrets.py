@@ -4,17 +4,18 @@ Base spans come from three patterns (``assign``, ``access``, ``hex``).  The meth
 adds ``random`` spans: maximal runs of key-like characters whose symbols look
 drawn uniformly from the alphabet of their inferred encoding.
 
-For each run three statistics are tested against that uniform alphabet: chi-squared
+For each run five statistics are tested against that uniform alphabet: chi-squared
 over the alphabet (Wilson-Hilferty normal form), the number of runs above and
-below the middle symbol, and the lag-one serial correlation.  The worst of the
-three, Sidak-corrected, is the run's p-value.  Ordinary words, paths and
-identifiers are far from uniform and get tiny p-values; random keys do not.
-
-False-discovery control is length-aware in two ways.  A run is only judged when it
-is long enough for the chi-squared test to tell ordinary text from a key
-(:func:`judged_length`), and Benjamini-Hochberg is run over all judged runs of the
-corpus separately per encoding and length band.  A run that Benjamini-Hochberg
-does not reject is reported.  The p-values are counted in bins (a table of at most
+below the middle symbol, the lag-one serial correlation, the number of digits, and
+the likelihood ratio of uniform symbols to the letters of ordinary text, which tells
+even a run of :data:`LEAST` characters from a word.  The worst of the five,
+Sidak-corrected, is the run's p-value.  Ordinary words, paths and identifiers are
+far from uniform and get tiny p-values; random keys do not.
+
+False-discovery control is length-aware: every run of :data:`LEAST` characters or
+more is judged, and Benjamini-Hochberg is run over the runs of the corpus
+separately per encoding and length band.  A run that Benjamini-Hochberg does not
+reject is reported.  The p-values are counted in bins (a table of at most
 ``len(ENCODINGS) * BANDS * BINS`` rows), so no corpus-sized sort is needed.
 
 Edge cases: null text is empty; empty text has no spans; every column passes
@@ -24,6 +25,7 @@ through; an empty table gives an empty result; repeated rows give equal results.
 from __future__ import annotations
 
 import math
+from statistics import mean, pstdev
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +42,9 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_VALUE = "^" + ASSIGN_KEYS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})$"""
 
-#: Runs of key-like characters; shorter ones are never long enough to be judged.
-RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{18,}+"
+#: Runs of key-like characters, from LEAST characters on.
+LEAST = 16
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+" % LEAST
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings in order of preference: name, alphabet.  The first whose alphabet holds
 #: the whole run is the inferred one.
@@ -56,29 +59,29 @@ ENCODINGS = (
     ("base64url", UPPER + LOWER + DIGITS + "-_"),
     ("mixed66", UPPER + LOWER + DIGITS + "+/-_"),
 )
-#: Sum of squared symbol frequencies of ordinary text (the index of coincidence of
-#: letters in western languages is 0.06 to 0.08; within the hex letters it is higher).
-COINCIDENCE = 0.06
-HEX_COINCIDENCE = 0.10
-#: Normal quantiles for 1 % size and 99 % power of the chi-squared test.
-SIZE_AND_POWER = 2.326 + 2.326
+#: Frequencies of letters in ordinary text, in percent from a to z (mean of English, German, French and Spanish).
+LETTERS = (8.7, 1.4, 3.4, 4.7, 14.2, 1.4, 1.9, 3.0, 6.8, 0.4, 0.55, 4.5, 2.8, 7.6, 6.1, 1.9, 0.6, 6.6, 7.4, 6.8, 4.3, 1.0, 1.1, 0.2, 0.8, 0.5)
+#: Weights of a capital, a digit and another character of ordinary text, of 100 for a lower-case letter.
+CAPITAL, DIGIT, MARK = 0.1, 5.0, 5.0
 FDR = 0.05
-BANDS = 8  # length bands: powers of two of the judged length
+BANDS = 8  # length bands: powers of two of LEAST
 BINS = 240  # p-value bins, 16 to the decade
 
 
-def judged_length(symbols: int, coincidence: float) -> int:
-    """Least run length at which chi-squared tells ordinary text from uniform symbols.
-
-    Text with coincidence ``s`` adds ``n * (a * s - 1)`` to a statistic whose standard
-    deviation is ``sqrt(2 * (a - 1))``.
-    """
-    excess = symbols * coincidence - 1
-    return math.ceil(SIZE_AND_POWER * math.sqrt(2 * (symbols - 1)) / excess)
+def text_ratios(alphabet: str) -> list[float]:
+    """log(uniform / ordinary text) of each symbol of ``alphabet``."""
+    both = any(c in UPPER for c in alphabet) and any(c in LOWER for c in alphabet)
+    marks = sum(not c.isalnum() for c in alphabet)
 
+    def weight(c: str) -> float:
+        if c in DIGITS:
+            return DIGIT / sum(d in DIGITS for d in alphabet)
+        if not c.isalpha():
+            return MARK / marks
+        return LETTERS[ord(c.lower()) - ord("a")] * (CAPITAL if both and c in UPPER else 1.0)
 
-def least_lengths() -> list[int]:
-    return [judged_length(len(a), HEX_COINCIDENCE if n.lower() == "hex" else COINCIDENCE) for n, a in ENCODINGS]
+    total = sum(map(weight, alphabet))
+    return [math.log(total / (len(alphabet) * weight(c))) for c in alphabet]
 
 
 def _tail(z: Column) -> Column:
@@ -90,8 +93,8 @@ def _tail(z: Column) -> Column:
     return F.greatest(F.when(z >= 0, upper).otherwise(1 - upper), F.lit(1e-15))
 
 
-def _battery(hit: Column, alphabet: Column, symbols: Column) -> Column:
-    """p-value of the run ``hit`` under uniform symbols of ``alphabet``."""
+def _battery(hit: Column, alphabet: Column, symbols: Column, digits: Column, ratios: Column, ratio_mean: Column, ratio_sd: Column) -> Column:
+    """p-value of the run ``hit`` under uniform symbols of ``alphabet``, a share ``digits`` of them digits."""
     n = F.length(hit).cast("double")
     a = symbols.cast("double")
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
@@ -125,35 +128,42 @@ def _battery(hit: Column, alphabet: Column, symbols: Column) -> Column:
 
     def combined(at: Column) -> Column:
         runs = let(F.transform(at, lambda x: F.when(x * 2 > a, 1.0).otherwise(0.0)), z_runs)
-        worst = F.least(let(z_chi, _tail), 2 * let(runs, _tail), 2 * let(z_serial(at), _tail))
-        return F.greatest(1 - F.pow(1 - F.least(worst, F.lit(1.0)), F.lit(3.0)), F.lit(1e-15))
+        found = F.length(F.regexp_replace(hit, "[^0-9]", ""))
+        z_digits = F.greatest(F.abs(found - n * digits) - 0.5, F.lit(0.0)) / F.sqrt(n * digits * (1 - digits))
+        p_digits = F.when(found == 0, F.pow(1 - digits, n)).otherwise(2 * let(z_digits, _tail))  # none at all: exact
+        ratio = total(F.transform(at, lambda x: F.element_at(ratios, x.cast("int"))))
+        z_text = (n * ratio_mean - ratio) / (F.sqrt(n) * ratio_sd)
+        worst = F.least(
+            let(z_chi, _tail), 2 * let(runs, _tail), 2 * let(z_serial(at), _tail), p_digits, let(z_text, _tail)
+        )
+        return F.greatest(1 - F.pow(1 - F.least(worst, F.lit(1.0)), F.lit(5.0)), F.lit(1e-15))
 
     return let(F.transform(F.split(hit, ""), lambda c: F.position(c, alphabet).cast("double")), combined)
 
 
 def _encoding(hit: Column) -> Column:
-    """Index of the inferred encoding; null when none fits, or when letters or digits are missing.
-
-    A uniform run of judged length lacks digits (or letters) with a probability of a few
-    percent at most; a single long word always lacks digits.
-    """
+    """Index of the inferred encoding; null when none fits or the run has no letter (a number)."""
     out = F.lit(None).cast("int")
     for i in reversed(range(len(ENCODINGS))):
         out = F.when(F.translate(hit, ENCODINGS[i][1], "") == "", i).otherwise(out)
-    return F.when(F.rlike(hit, F.lit("[A-Za-z]")) & F.rlike(hit, F.lit("[0-9]")), out)
+    return F.when(F.rlike(hit, F.lit("[A-Za-z]")), out)
 
 
 def judged_runs(text: Column) -> Column:
-    """array<struct<start,end,enc,band,p,bin>> of the runs that are long enough to be judged."""
+    """array<struct<start,end,enc,band,p,bin>> of the runs."""
     alphabets = F.array(*[F.lit(a) for _, a in ENCODINGS])
     sizes = F.array(*[F.lit(len(a)) for _, a in ENCODINGS])
-    least = F.array(*[F.lit(n) for n in least_lengths()])
+    shares = F.array(*[F.lit(sum(c in DIGITS for c in a) / len(a)) for _, a in ENCODINGS])
+    ratios = [text_ratios(a) for _, a in ENCODINGS]
+    table = F.array(*[F.array(*[F.lit(x) for x in r]) for r in ratios])
+    means = F.array(*[F.lit(mean(r)) for r in ratios])
+    sds = F.array(*[F.lit(pstdev(r)) for r in ratios])
     enc = F.transform(match_spans(text, RUN), lambda s: F.struct(s["start"], s["end"], s["hit"], _encoding(s["hit"]).alias("enc")))
-    long = F.filter(enc, lambda s: s["enc"].isNotNull() & (F.length(s["hit"]) >= F.element_at(least, s["enc"] + 1)))
+    known = F.filter(enc, lambda s: s["enc"].isNotNull())
 
     def judge(s: Column) -> Column:
-        p = _battery(s["hit"], F.element_at(alphabets, s["enc"] + 1), F.element_at(sizes, s["enc"] + 1))
-        band = F.least(F.floor(F.log2(F.length(s["hit"]) / F.element_at(least, s["enc"] + 1))), F.lit(BANDS - 1)).cast("int")
+        p = _battery(s["hit"], *[F.element_at(x, s["enc"] + 1) for x in (alphabets, sizes, shares, table, means, sds)])
+        band = F.least(F.floor(F.log2(F.length(s["hit"]) / LEAST)), F.lit(BANDS - 1)).cast("int")
         return F.struct(s["start"], s["end"], s["enc"], band.alias("band"), p.alias("p"))
 
     def binned(s: Column) -> Column:
@@ -162,7 +172,7 @@ def judged_runs(text: Column) -> Column:
             F.floor(-F.log10(s["p"]) * 16).cast("int").alias("bin"),
         )
 
-    return F.transform(F.transform(long, judge), binned)
+    return F.transform(F.transform(known, judge), binned)
 
 
 def thresholds(docs: DataFrame, text: str = "text", fdr: float = FDR) -> dict[int, int]:

@@ -107,6 +107,19 @@ def test_randomness_battery_tells_keys_from_text(spark):
     assert len(found & set(keys)) >= 0.85 * len(keys) and not {d for d in found if d >= 100}
 
 
+def test_short_keys_and_keys_without_digits_are_judged(spark):
+    rng = random.Random(3)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    kinds = [("0123456789ABCDEF", 32), ("0123456789ABCDEF", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("abcdefghijklmnopqrstuvwxyz0123456789", 20)]
+    rows = [(1000 * k + i, f"key {key(*kind)} end") for k, kind in enumerate(kinds) for i in range(40)]
+    plain = ["internationalization", "RESPONSIBILITIES", "state-of-the-art-methods", "misunderstandings", "CharacteristicallyLong", "https://www/example/path", "telecommunications2024", "INTERNATIONALISATION"]
+    rows += [(9000 + i, f"see {p} end") for i, p in enumerate(plain * 5)]
+    found = {r.doc_id for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.secret_spans}
+    for k in range(len(kinds)):
+        assert len({d for d in found if d // 1000 == k}) >= 34
+    assert not {d for d in found if d >= 9000}
+
+
 def test_secret_edges(spark):
     assert secrets.find_secrets(clashing(spark, EDGES)).count() == len(EDGES)
     assert secrets.redact(docs(spark, [])).count() == 0
