@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import struct
@@ -120,6 +121,80 @@ def test_short_keys_and_keys_without_digits_are_judged(spark):
     assert not {d for d in found if d >= 9000}
 
 
+def evidence(hit, shares):
+    """log likelihood ratio of uniform symbols to ordinary text, from the definition."""
+    size = next(len(a) for _, a in secrets.ENCODINGS if set(hit) <= set(a))
+    best = -math.inf
+    for usual, weight in ((secrets.LOWER, 1 - secrets.CAPITALS), (secrets.UPPER, secrets.CAPITALS)):
+        total, before = math.log(weight), None
+        for c in hit:
+            kind = 2 if c in secrets.DIGITS else 3 if c in secrets.MARKS else 0 if c in usual else 1
+            own = shares[ord(c.lower()) - 97] if c.isalpha() else 0.1 if kind == 2 else 0.25
+            total += math.log(own) + math.log(secrets.FIRST[kind] if before is None else secrets.NEXT[before][kind])
+            before = kind
+        best = max(best, total)
+    return -len(hit) * math.log(size) - best
+
+
+def battery(hit):
+    """The three tests in plain Python: the least p-value, Sidak-corrected."""
+    alphabet = next(a for _, a in secrets.ENCODINGS if set(hit) <= set(a))
+    n, a, at = len(hit), len(alphabet), [alphabet.index(c) + 1 for c in hit]
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum(hit.count(c) ** 2 for c in set(hit)) * a / n - n
+    spread = 2 / (9 * (a - 1))
+    z1 = ((max(chi, 0) / (a - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread)
+    high = [x * 2 > a for x in at]
+    n1 = sum(high)
+    mean = 2 * n1 * (n - n1) / n
+    var = mean * (2 * n1 * (n - n1) - n) / (n * (n - 1))
+    z2 = abs(sum(x != y for x, y in zip(high, high[1:])) - mean) / math.sqrt(var) if var > 0 else 9
+    mid = sum(at) / n
+    power = sum((x - mid) ** 2 for x in at)
+    z3 = abs(sum((x - mid) * (y - mid) for x, y in zip(at, at[1:])) / power * math.sqrt(n) + 1 / math.sqrt(n)) if power else 9
+    return 1 - (1 - min(1, tail(z1), 2 * tail(z2), 2 * tail(z3))) ** 3
+
+
+def test_random_spans_match_brute_force_and_ordinary_names_are_left_alone(spark):
+    rng = random.Random(14)
+    words = "customer invoice report account service manager profile image config database request response error message queue worker status index".split()
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    alnum = secrets.DIGITS + secrets.LOWER + secrets.UPPER
+    keys = [key(alnum, n) for n in (20, 32, 40) for _ in range(100)] + [key("0123456789ABCDEF", 40) for _ in range(60)]
+    camel = lambda n: "".join(rng.choice(words).capitalize() for _ in range(n))
+    plain = [f"{'_'.join(rng.choice(words).capitalize() for _ in range(3))}{rng.randint(1000, 99999)}" for _ in range(300)]
+    plain += [camel(3) + str(rng.randint(1000, 9999)) for _ in range(300)] + ["/".join([rng.choice(words), str(rng.randint(1, 10**6)), rng.choice(words), rng.choice(words)]) for _ in range(200)]
+    plain += [f"{key('0123456789abcdef', 8)}-{key('0123456789abcdef', 4)}-4{key('0123456789abcdef', 3)}-a{key('0123456789abcdef', 3)}-{key('0123456789abcdef', 12)}" for _ in range(100)]
+    plain += ["users/" + p for p in plain[-50:]] + [f"IMG_{rng.randint(20100101, 20261231)}_{rng.randint(100000, 235959)}" for _ in range(50)]
+    rows = [(i, f"see {x} end") for i, x in enumerate(keys + plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in secrets.find_secrets(df).collect() if any(s.kind == 3 for s in r.secret_spans)}
+    wrong = {i for i in found if i >= len(keys)}
+    assert len(wrong) <= secrets.FDR * len(found)  # the realised false-discovery rate
+    for at, recall in ((0, 0.85), (100, 0.95), (200, 0.95)):
+        assert len(found & set(range(at, at + 100))) >= 100 * recall
+    # the whole result by brute force: p-values, strata, Benjamini-Hochberg over bins
+    shares = secrets.letter_shares(df)
+    letters = "".join(t.lower() for _, t in rows)
+    sums = [letters.count(c) + secrets.PRIOR * x / sum(secrets.LETTERS) for c, x in zip(secrets.LOWER, secrets.LETTERS)]
+    assert shares == pytest.approx([x / sum(sums) for x in sums])
+    strata: dict = {}
+    for i, t in rows:
+        hit = re.sub(secrets.UUID, "-", t.split()[1])
+        enc = next((k for k, (_, a) in enumerate(secrets.ENCODINGS) if set(hit) <= set(a)), None)
+        if len(hit) < secrets.LEAST or enc is None or not re.search("[A-Za-z]", hit):
+            continue
+        e = evidence(hit, shares)
+        p = max(len(secrets.ENCODINGS) * math.exp(-e), 1e-15) if e > math.log(len(secrets.ENCODINGS)) and battery(hit) >= secrets.ALPHA else 1.0
+        strata.setdefault((enc, int(math.log2(len(hit) / secrets.LEAST))), []).append((math.floor(-math.log10(p) * 16), i))
+    want = set()
+    for runs in strata.values():
+        runs.sort(reverse=True)
+        limit = next((b for b in sorted({b for b, _ in runs}) if 10 ** (-b / 16) <= secrets.FDR * sum(x >= b for x, _ in runs) / len(runs)), math.inf)
+        want |= {i for b, i in runs if b >= limit}
+    assert found == want
+
+
 def test_secret_edges(spark):
     assert secrets.find_secrets(clashing(spark, EDGES)).count() == len(EDGES)
     assert secrets.redact(docs(spark, [])).count() == 0
@@ -190,12 +265,58 @@ def test_tool_calls_link_order_validate_and_serialise(spark):
     one = [(r.turn, r.status, r.level) for r in got if r.conv_id == 1]
     assert one == [(0, "plain", 0), (1, "answered", 0), (2, "linked", 0), (3, "invalid", 1), (4, "linked", 1), (5, "orphan", 0)]
     text = {(r.conv_id, r.turn): r.message for r in got}
-    assert text[1, 1] == '{"role":"assistant","tool_calls":[{"arguments":{"x":1,"y":2},"errors":[],"id":"a","name":"add"}]}'
-    assert '"errors":["missing:y","type:x","unknown:z"]' in text[1, 3] and text[1, 0] == '{"content":"hi \\"x\\"\\n","role":"user"}'
+    errors = {(r.conv_id, r.turn): r.errors for r in got}
+    assert text[1, 1] == '{"role":"assistant","tool_calls":[{"arguments":{"x":1,"y":2},"id":"a","name":"add"}]}' and errors[1, 1] == ""
+    assert errors[1, 3] == "b:missing:y,b:type:x,b:unknown:z" and '"after":["a"]' in text[1, 3] and "errors" not in text[1, 3]
+    assert text[1, 0] == '{"content":"hi \\"x\\"\\n","role":"user"}'
     assert {r.status for r in got if r.conv_id == 2} == {"cycle"} and text[None, None] == '{"content":"","role":""}'
     assert toolcalls.format_chat(df.limit(0)).count() == 0
 
 
+def test_tool_calls_keep_what_is_said_and_read_declared_schemas(spark):
+    import json
+
+    tools = [{"name": "f", "parameters": {"properties": {"q": {"type": "string"}, "n": {"type": ["integer", "null"]}}, "required": ["q"]}}, {"type": "function", "function": {"name": "none"}}]
+    ask = lambda i, name, args: json.dumps({"content": "Let me look.", "tool_calls": [{"id": i, "name": name, "arguments": args}]})
+    rows = [
+        (1, 0, "system", json.dumps({"tools": tools})), (1, 0, "system", json.dumps({"tools": tools})), (1, 1, "assistant", ask("a", "f", {"q": "x", "n": None})),
+        (1, 2, "assistant", ask("b", "f", {"n": "x"})), (1, 3, "assistant", ask("c", "none", {})), (1, 4, "assistant", ask("d", "gone", {})),
+        (2, 0, "assistant", ask("a", "f", {"q": 1})), (2, 1, "tool", json.dumps({"tool_call_id": "a", "content": {"k": 1}})), (2, 1, "tool", json.dumps({"tool_call_id": "a", "content": "later"})),
+        (3, 0, "user", "x" * 300_000), (3, 0, "user", "x" * 300_000),
+    ]
+    df = spark.createDataFrame([(*r, "a", 1, 2, 3) for r in rows], "conv_id long, turn long, role string, text string, conv string, level int, tool int, mark int")
+    got = toolcalls.format_chat(df).collect()
+    assert len(got) == len(rows)
+    at = {(r.conv_id, r.turn): r for r in got}
+    assert [at[1, t].status for t in (1, 2, 3, 4)] == ["unanswered", "invalid", "unanswered", "invalid"] and at[2, 0].status == "unchecked"
+    assert [at[1, t].errors for t in (1, 2, 3, 4)] == ["", "b:missing:q,b:type:n", "", "d:unknown_tool"]
+    assert at[1, 1].message.startswith('{"content":"Let me look.","role":"assistant","tool_calls":[')
+    assert {r.message for r in got if (r.conv_id, r.turn) == (2, 1)} == {'{"content":"{\\"k\\":1}","role":"tool","tool_call_id":"a"}', '{"content":"later","role":"tool","tool_call_id":"a"}'}
+
+
+def test_tool_call_levels_match_brute_force(spark):
+    import json
+
+    rng = random.Random(13)
+    rows, after = [], {}
+    for conv in range(12):
+        for turn in range(14):
+            after[conv, turn] = sorted(rng.sample(range(14), rng.choice([0, 0, 1, 2])))
+            call = {"id": str(turn), "name": "f", "arguments": {}, "after": [str(x) for x in after[conv, turn]]}
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [call]})))
+    want = {}
+    for conv in range(12):
+        level: dict[int, int] = {}
+        for _ in range(15):
+            for turn in range(14):
+                if turn not in level and all(x in level for x in after[conv, turn]):
+                    level[turn] = max((level[x] for x in after[conv, turn]), default=-1) + 1
+        # a round of the loop above may settle several levels, never a wrong one
+        want |= {(conv, t): level.get(t) for t in range(14)}
+    got = toolcalls.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): None if r.status == "cycle" else r.level for r in got} == want
+
+
 # --- Pitman-Yor -------------------------------------------------------------
 
 def test_pitman_yor_is_a_distribution_and_beats_the_base(spark):
