@@ -12,8 +12,10 @@ forms, notices and adverts inside and outside the article) that knows of each bl
 which it is.  Training takes ``PAGES`` pages and is deterministic.
 
 Edge cases: null html is empty; a page without article text gives the empty string;
-unclosed and stray tags are tolerated; repeated rows give equal results; an empty
-table gives an empty result; extra columns pass through.
+unclosed and stray tags are tolerated, and an unclosed script, style, title or text
+area hides nothing; pages of any length are read in one linear pass; repeated rows
+and null or repeated identifiers give equal results; an empty table gives an empty
+result; extra columns pass through, one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 PAGES, ROUNDS, PENALTY, SEED = 300, 150, 0.02, 7
 
-#: Elements whose content is not text of the page (fixed values of the HTML standard).
-RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "select", "object", "canvas", "math"}
+#: Elements that hold raw text and no tags: scripts, styles, the page's title and form fields (fixed values of the HTML standard).
+RAW = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Inline elements do not end a block.
 INLINE = {
@@ -47,7 +49,10 @@ CLOSES = {
 BOUNDARY = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "aside", "nav", "body", "header", "footer", "form", "blockquote"}
 CLOSES_P = BOUNDARY | {"h1", "h2", "h3", "h4", "h5", "h6", "pre", "p", "hr", "figure", "fieldset"}
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: What follows a tag's name: quotes count only after an equals sign, as in the standard.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
@@ -89,12 +94,69 @@ def hints_of(attributes: str) -> frozenset:
     return frozenset(found)
 
 
+class Tags:
+    """The tags of a page from left to right, in time linear in the page.
+
+    A tag ends at the first ``>`` outside quoted values.  Where there is none, quotes are
+    taken as plain characters for the rest of the page, so that search fails only once.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+        self.ends: dict[str, int] = {}
+
+    def upto(self, mark: str, at: int) -> int:
+        """Where ``mark`` next ends, or the end of the page; looked for once if it is missing."""
+        if self.ends.get(mark, 0) < 0:
+            return len(self.page)
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.ends[mark] = -1
+            return len(self.page)
+        return found + len(mark)
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag; a comment or declaration has no name."""
+        page = self.page
+        while (found := OPEN.search(page, at)) is not None:
+            start = found.start()
+            if page.startswith("<!--", start):
+                return start, self.upto("-->", start + 4), False, "", ""
+            if page.startswith("<![CDATA[", start):
+                return start, self.upto("]]>", start + 9), False, "", ""
+            if page[start + 1] in "!?":
+                return start, self.upto(">", start), False, "", ""
+            if start > self.last:
+                return None
+            named = NAME.match(page, start)
+            rest = REST.match(page, named.end()) if self.quotes else None
+            if rest is None:
+                self.quotes = False
+                end = page.index(">", named.end() - 1) + 1 if named.end() <= self.last else -1
+                if end < 0:
+                    return None
+            else:
+                end = rest.end()
+            return start, end, bool(named.group(1)), named.group(2).lower(), page[named.end() : end - 1]
+        return None
+
+    def close_of(self, name: str, at: int) -> int | None:
+        """The end of the closing tag of a raw element; None where it is missing."""
+        if self.ends.get(name) == -1:
+            return None
+        found = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(self.page, at)
+        if found is None:
+            self.ends[name] = -1
+        return found.end() if found else None
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset, bool]] = []  # (tag, what surrounds its content, hidden)
     parts: list[tuple[str, bool]] = []
-    links, at, n = 0, 0, len(page)
+    links, at, n, tags = 0, 0, len(page), Tags(page)
+    open_count: dict[str, int] = {}
 
     def end_block() -> None:
         nonlocal parts
@@ -109,31 +171,30 @@ def blocks_of(page: str) -> list[Block]:
 
     def drop(to: int) -> None:
         nonlocal links
-        links -= sum(t == "a" for t, _, _ in stack[to:])
+        for t, _, _ in stack[to:]:
+            links -= t == "a"
+            open_count[t] -= 1
         del stack[to:]
 
     while at < n:
-        found = TAG.search(page, at)
+        found = tags.after(at)
         if found is None:
             parts.append((page[at:], links > 0))
             break
-        if found.start() > at:
-            parts.append((page[at : found.start()], links > 0))
-        at = found.end()
-        closing, name = found.group(1), (found.group(2) or "").lower()
+        start, end, closing, name, attributes = found
+        if start > at:
+            parts.append((page[at:start], links > 0))
+        at = end
         if not name:
             continue
         if closing:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name not in INLINE:
                 end_block()
-            if where is not None and (name not in INLINE or not any(t in BOUNDARY for t, _, _ in stack[where:])):
-                drop(where)
+            if open_count.get(name):
+                _close(stack, {name}, drop, BOUNDARY if name in INLINE else frozenset())
             continue
-        attributes = found.group(3) or ""
         if name in RAW and not attributes.rstrip().endswith("/"):
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else n
+            at = tags.close_of(name, at) or at  # an element that is not closed hides nothing
             continue
         if name == "br":
             parts.append((" ", links > 0))
@@ -155,18 +216,20 @@ def blocks_of(page: str) -> list[Block]:
         around = (stack[-1][1] if stack else frozenset()) | hints_of(attributes)
         if name in ANCESTORS:
             around |= {f"<{name}"}
+        open_count[name] = open_count.get(name, 0) + 1
         stack.append((name, around, (bool(stack) and stack[-1][2]) or bool(HIDDEN.search(attributes))))
         links += name == "a"
     end_block()
     return out
 
 
-def _close(stack: list, names: set[str], drop) -> None:
+def _close(stack: list, names: set[str], drop, boundary: set[str] | frozenset = BOUNDARY) -> None:
+    """Closes the innermost open element of ``names``, unless a boundary lies in between."""
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] in names:
             drop(i)
             return
-        if stack[i][0] in BOUNDARY:
+        if stack[i][0] in boundary:
             return
 
 
