@@ -13,11 +13,17 @@ BROADCAST_ROWS = 20_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session, or the folder given to ``setCheckpointDir``.
+
+    Where neither is set, a session in one JVM (tests, a laptop) makes a temporary folder
+    of its own; a cluster fails with a message.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_peergraph_scratch", None):
         sc._peergraph_scratch = "file://" + tempfile.mkdtemp(prefix="peergraph-")
     return sc._peergraph_scratch
