@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peergraph.operators.ranking import average_ranks
+from peergraph.operators.ranking import average_ranks, positions
 
 
 def valid_label(label: Column) -> Column:
@@ -57,10 +56,59 @@ def jaccard_at_k(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def boot_weights(spark: SparkSession, n: int, draws: int, seed: int) -> DataFrame:
-    """(b, firm_idx, w): how often each draw takes each firm; draws x firms, for company-sized n."""
-    picks = np.random.default_rng(seed).integers(0, n, size=(draws, n))
-    rows = [(b, int(f), int(c)) for b, pick in enumerate(picks) for f, c in zip(*np.unique(pick, return_counts=True))]
-    return spark.createDataFrame(rows, "b int, firm_idx int, w int")
+    """(b, firm_idx, w): how often each draw takes each of ``n`` firms.
+
+    Pick ``s`` of draw ``b`` is a hash of (seed, b, s), so the weights are made in tasks
+    and come out alike wherever they are made.
+    """
+    picks = spark.range(draws).select(F.col("id").cast("int").alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("s").cast("string")).cast("binary"))
+    pick = (F.conv(F.substring(mark, 1, 13), 16, 10).cast("long") % F.lit(max(n, 1))).cast("int")
+    return picks.select("b", pick.alias("firm_idx")).groupBy("b", "firm_idx").agg(F.count(F.lit(1)).cast("int").alias("w")).where(F.lit(n > 0))
+
+
+def firm_numbers(firms: DataFrame, key: str) -> DataFrame:
+    """(key, firm_idx): firms numbered in order, for :func:`boot_weights`."""
+    return positions(firms.select(key).distinct(), [F.col(key)], "firm_idx").withColumn("firm_idx", F.col("firm_idx").cast("int"))
+
+
+def label_metrics(top: DataFrame, pairs: DataFrame, labels: DataFrame, key: str, names: list[str], ks: list[int]) -> DataFrame:
+    """(label, metric, value): AUC of same-label pairs, precision and random precision at every k, and how many firms have the label.
+
+    ``top`` has i, j and a full ranking by score ``s``: neighbours are taken among the firms
+    that have the label.
+    """
+    out = None
+    for name in names:
+        own = labels.where(valid_label(F.col(name))).select(key, F.col(name).cast("string").alias("l"))
+        a, b = own.select(F.col(key).alias("i"), F.col("l").alias("li")), own.select(F.col(key).alias("j"), F.col("l").alias("lj"))
+        same = (F.col("li") == F.col("lj")).cast("double")
+        ranked = top.join(a, "i").join(b, "j").withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "j"))).where(F.col("r") <= max(ks))
+        at = ranked.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.col("r") <= k)))
+        precision = at.groupBy("k", "i").agg(F.avg(same).alias("p")).groupBy("k").agg(F.avg("p").alias("value")).select(F.concat(F.lit("p@"), F.col("k").cast("string")).alias("metric"), "value")
+        chance = random_precision(own, "l").select(F.lit("random").alias("metric"), F.col("random").alias("value"))
+        area = auc(pairs.join(a, "i").join(b, "j"), "s", F.col("li") == F.col("lj")).select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
+        size = own.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("n").alias("metric"), "value")
+        one = precision.unionByName(chance).unionByName(area).unionByName(size).select(F.lit(name).alias("label"), "metric", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def paired_means(values: DataFrame, weights: DataFrame, method: str, reference: str, level: float = 0.95) -> DataFrame:
+    """(method, mean, lo, hi, diff, diff_lo, diff_hi): bootstrapped means and their differences from a reference over the same draws.
+
+    ``values`` has the method's name, firm_idx and value.
+    """
+    tail = (1 - level) / 2
+    draws = values.where("value is not null").join(weights, "firm_idx").groupBy(method, "b").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
+    base = draws.where(F.col(method) == reference).select("b", F.col("m").alias("m0"))
+    bounds = draws.join(base, "b", "left").groupBy(method).agg(
+        F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1 - tail)).alias("hi"),
+        F.percentile(F.col("m") - F.col("m0"), F.lit(tail)).alias("diff_lo"), F.percentile(F.col("m") - F.col("m0"), F.lit(1 - tail)).alias("diff_hi"),
+    )
+    means = values.groupBy(method).agg(F.avg("value").alias("mean"))
+    at = means.where(F.col(method) == reference).select(F.col("mean").alias("mean0"))
+    return means.join(bounds, method, "left").join(F.broadcast(at), how="left").withColumn("diff", F.col("mean") - F.col("mean0")).drop("mean0")
 
 
 def bootstrap_mean(values: DataFrame, weights: DataFrame, by: list[str], value: str = "value", level: float = 0.95) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peergraph.plans import eventstudy, judged, panel, relations, similarity, text, views
+from peergraph.plans import eventstudy, judged, panel, relations, similarity, specs, text, views
 
-MODULES = (similarity, panel, eventstudy, relations, text, judged, views)
+MODULES = (similarity, panel, eventstudy, relations, text, judged, views, specs)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLES.items()}

@@ -119,11 +119,11 @@ def pair_groups(spark, sf_dir):
 def group_means_boot(spark, sf_dir):
     """Group means with a company bootstrap (200 draws)."""
     design = _design(spark, sf_dir).withColumn("grp", F.when(F.col("same_sub") == 1, "same_sub").otherwise("other"))
-    index = {t: n for n, t in enumerate(sorted(r["ticker"] for r in _firms(spark, sf_dir).collect()))}
-    names = spark.createDataFrame(list(index.items()), "t long, idx int")
-    own = design.join(F.broadcast(names), F.col("i") == F.col("t")).withColumn("i", F.col("idx")).drop("t", "idx")
-    own = own.join(F.broadcast(names), F.col("j") == F.col("t")).withColumn("j", F.col("idx")).drop("t", "idx")
-    boot = ev.pair_bootstrap_mean(own, ev.boot_weights(spark, len(index), 200, 0), ["grp"], "y")
+    names = ev.firm_numbers(_firms(spark, sf_dir), "ticker")
+    n = names.count()
+    for side in ("i", "j"):
+        design = design.join(F.broadcast(names.withColumnRenamed("ticker", side)), side).withColumn(side, F.col("firm_idx")).drop("firm_idx")
+    boot = ev.pair_bootstrap_mean(design, ev.boot_weights(spark, n, 200, 0), ["grp"], "y")
     return boot.select("grp", F.round("mean", 4).alias("mean"), F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
@@ -174,6 +174,15 @@ design as (
   select i, j, corr as y, (a.sub = b.sub)::int::double as same_sub, (a.sector = b.sector)::int::double as same_sector, (i + j)::double as raw
   from pairs join firms a on a.ticker = i join firms b on b.ticker = j
 ), zed as (select *, (raw - avg(raw) over ()) / stddev_pop(raw) over () as z from design)"""
+
+
+def boot_sql(firms: str, key: str, draws: int, seed: int) -> str:
+    """CTEs that end in ``wts`` (b, firm, w): the company bootstrap weights."""
+    return f"""nums as (select {key} as firm, row_number() over (order by {key}) - 1 as idx, count(*) over () as total from (select distinct {key} from {firms})),
+picks as (select b, ('0x' || substr(md5('{seed}:' || b || ':' || s), 1, 13))::bigint % (select max(total) from nums) as idx from range({draws}) t(b), range((select max(total) from nums)) u(s)),
+wts as (select b, firm, count(*) as w from picks join nums using (idx) group by all)"""
+
+
 _TERMS = ["1", "same_sub", "same_sector", "z", "y"]
 _CELLS = " union all ".join(
     f"select '{a}*{b}' as cell, round(sum({'1.0::double' if a == '1' else a} * {'1.0::double' if b == '1' else b}), 4) + 0.0::double as v from zed" for i, a in enumerate(_TERMS) for b in _TERMS[i:]
@@ -195,6 +204,9 @@ select round(avg(c), 4) as peer_corr, count(*) as n_firms from f""",
   select unnest(list_filter([case when same_sub = 1 then 'same_sub' end, case when same_sector = 1 and same_sub = 0 then 'same_sector_only' end,
     case when same_sector = 0 then 'unrelated' end, 'all'], lambda x: x is not null)) as grp, y from design)
 select grp, count(*) as n, round(avg(y), 4) as mean from g group by grp""",
+    "group_means_boot": f"""with {PANEL}, {boot_sql('firms', 'ticker', 200, 0)}, d as (select i, j, y, case when same_sub = 1 then 'same_sub' else 'other' end as grp from design),
+m as (select grp, b, sum(wi.w * wj.w * y) / sum(wi.w * wj.w) as m from d join wts wi on wi.firm = i join wts wj using (b) where wj.firm = j group by all)
+select grp, round(avg(y), 4) as mean, (select round(quantile_cont(m, 0.025), 4) from m where m.grp = d.grp) as lo, (select round(quantile_cont(m, 0.975), 4) from m where m.grp = d.grp) as hi from d group by grp""",
     "lead_lag_corr": f"""with {PANEL}, z as (
   select ticker, day, (e - avg(e) over (partition by ticker)) / stddev_pop(e) over (partition by ticker) as z from resid)
 select a.ticker as i, b.ticker as j, round(avg(a.z * b.z), 4) + 0.0::double as corr from z a join z b on b.day = a.day + 1 and a.ticker <> b.ticker group by all having count(*) >= 2""",

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,9 +63,11 @@ def test_auc_counts_ties_half(spark):
 def test_bootstrap_matches_numpy(spark):
     values = [1.0, 2.0, None, 4.0, 8.0]
     df = spark.createDataFrame([("m", i, v) for i, v in enumerate(values)], "method string, firm_idx int, value double")
-    got = ev.bootstrap_mean(df, ev.boot_weights(spark, 5, 200, 3), ["method"]).first()
-    picks = np.random.default_rng(3).integers(0, 5, size=(200, 5))
-    draws = [np.nanmean(np.array(values, float)[p]) for p in picks]
+    weights = ev.boot_weights(spark, 5, 200, 3)
+    got = ev.bootstrap_mean(df, weights, ["method"]).first()
+    picks = [[int(hashlib.md5(f"3:{b}:{s}".encode()).hexdigest()[:13], 16) % 5 for s in range(5)] for b in range(200)]
+    assert sorted(map(tuple, weights.collect())) == sorted((b, f, p.count(f)) for b, p in enumerate(picks) for f in set(p))
+    draws = [np.nanmean(np.array(values, float)[p]) if {values[i] for i in p} != {None} else np.nan for p in picks]
     lo, hi = np.nanpercentile(draws, [2.5, 97.5])
     assert (got["mean"], got.lo, got.hi) == pytest.approx((3.75, lo, hi))
 
