@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries after which a memo is emptied: bounds a worker's memory.
-MEMO = 300_000
-MEMO_PAIRS = 1_000_000
+from peergraph.llm.common import fresh
+
+#: Entries after which a memo is emptied: both together stay below 50 MB in a worker.
+MEMO = 100_000
+MEMO_PAIRS = 200_000
 #: Longer pieces are encoded but not remembered.
 MEMO_PIECE = 48
 NO_RANK = 1 << 62
@@ -46,11 +48,12 @@ class PieceEncoder(dict):
 
         super().__init__()
         self.ranks = ranks
-        self.tokens = {r: t for t, r in ranks.items()}
+        self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         self.compatible: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
+            self.tokens[rank] = token
+            self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
 
     def __missing__(self, piece: str) -> bytes:
@@ -95,8 +98,8 @@ class PieceEncoder(dict):
         if whole is not None:
             return [whole]
         starting: list[list[int]] = [[] for _ in piece]
-        for end, (length, rank) in self.automaton.iter(piece.decode("latin-1")):
-            starting[end - length + 1].append(rank)  # by growing length
+        for end, rank in self.automaton.iter(piece.decode("latin-1")):
+            starting[end - len(self.tokens[rank]) + 1].append(rank)  # by growing length
         out: list[int] = []
         at, dead = 0, set()
         while at < len(piece):
@@ -144,12 +147,18 @@ def _codec(ranks, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``token_ids`` (binary: little-endian unsigned 32-bit integers).
+def _sent(docs: DataFrame, ranks_path: str):
+    """The vocabulary, a fixed file of a few megabytes at most, read on the driver and broadcast."""
+    return docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
 
-    The vocabulary, a fixed file of a few megabytes at most, is read on the driver and broadcast.
-    """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+def _without(docs: DataFrame, *names: str) -> DataFrame:
+    return docs.select(*[c for c in docs.columns if c.lower() not in names])
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens`` and ``token_ids`` (binary: little-endian unsigned 32-bit integers)."""
+    ranks = _sent(docs, ranks_path)
 
     @F.arrow_udf("binary")
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -157,15 +166,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
         for batch in texts:
             yield pa.array([codec.encode(t.as_py() or "") for t in batch], pa.binary())
 
-    kept = [c for c in docs.columns if c.lower() not in {"token_ids", "n_tokens"}]
-    return docs.select(*kept).withColumn("token_ids", ids(F.col(text))).withColumn(
+    return _without(docs, "token_ids", "n_tokens").withColumn("token_ids", ids(F.col(text))).withColumn(
         "n_tokens", (F.octet_length("token_ids") / 4).cast("long")
     )
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``encoded`` with ``decoded``: the bytes that ``token_ids`` stand for."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = _sent(encoded, ranks_path)
 
     @F.arrow_udf("binary")
     def decoded(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -173,5 +181,26 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
         for batch in ids:
             yield pa.array([codec.decode(x.as_py() or b"") for x in batch], pa.binary())
 
-    kept = [c for c in encoded.columns if c.lower() != "decoded"]
-    return encoded.select(*kept).withColumn("decoded", decoded(F.col("token_ids")))
+    return _without(encoded, "decoded").withColumn("decoded", decoded(F.col("token_ids")))
+
+
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``token_ids``, ``n_tokens`` and ``decoded`` in one pass: one worker and one codec to a task."""
+    ranks = _sent(docs, ranks_path)
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    def coded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _codec(ranks, pattern)
+        for batch in texts:
+            ids = [codec.encode(t.as_py() or "") for t in batch]
+            yield pa.StructArray.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())], names=["ids", "decoded"]
+            )
+
+    kept = _without(docs, "token_ids", "n_tokens", "decoded")
+    both = fresh(kept, "coded")
+    marked = kept.withColumn(both, coded(F.col(text)))
+    return marked.select(
+        *[F.col(c) for c in kept.columns], F.col(both)["ids"].alias("token_ids"),
+        (F.octet_length(F.col(both)["ids"]) / 4).cast("long").alias("n_tokens"), F.col(both)["decoded"].alias("decoded"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,13 +32,16 @@ def count_words(text: Column) -> Column:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder made;
-    it is remembered on the SparkContext so that one session uses one folder.
+    Where that is unset, the folder given to ``SparkContext.setCheckpointDir``; where
+    there is neither, a session in one JVM (tests, a laptop) makes a temporary folder of
+    its own, and a cluster fails with a message.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_peergraph_scratch", None):
         sc._peergraph_scratch = "file://" + tempfile.mkdtemp(prefix="peergraph-")
     return sc._peergraph_scratch
@@ -61,6 +65,16 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Free the disk of shuffles whose results have been written down.
+
+    Spark removes a shuffle's files when the driver's collector finds that nothing refers
+    to it, which a driver with little to do may put off until the job is over.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when its measured row count proves it small."""
     return F.broadcast(df) if rows <= limit else df
@@ -74,3 +88,25 @@ def fresh(df: DataFrame, stem: str) -> str:
         n += 1
         name = f"__{stem}{n}"
     return name
+
+
+#: Keys that hold more than this share of a table's rows are dealt over several tasks; there are at most 1 / share of them.
+HOT_SHARE = 1 / 2_000
+SALTS = 64
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str, total: int, deal: list[str]) -> DataFrame:
+    """Inner join on the columns ``keys``, which both sides have, with hot keys dealt over ``SALTS`` tasks.
+
+    ``small`` is a written table with one row to a key; its column ``rows`` (dropped here) is
+    the number of rows that ``big`` has of the key, out of ``total``.  The hot keys are at
+    most ``1 / HOT_SHARE``, whatever the input, and are sent to every task; their rows of
+    ``big`` are dealt by a hash of the columns ``deal`` and their rows of ``small`` repeated.
+    """
+    hot = small.where(F.col(rows) > F.lit(max(total * HOT_SHARE, 100.0)))
+    salt, flag = "__salt_of_join", "__hot_of_join"
+    marked = big.join(F.broadcast(hot.select(*keys, F.lit(True).alias(flag))), keys, "left").withColumn(
+        salt, F.when(F.col(flag), F.pmod(F.xxhash64(*deal), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    ).drop(flag)
+    copies = F.when(F.col(rows) > F.lit(max(total * HOT_SHARE, 100.0)), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return marked.join(small.withColumn(salt, F.explode(copies)).drop(rows), [*keys, salt]).drop(salt)
