@@ -46,9 +46,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids, and whether decoding gives the text back."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = bpe.decode_documents(bpe.encode_documents(docs.select(*COLUMNS), path, pattern), path, pattern)
+    coded = bpe.encode_and_decode(docs.select(*COLUMNS), path, pattern)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "token_ids", same.alias("round_trip"))
+    return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids", same.alias("round_trip"))
 
 
 STAGES = [
