@@ -1,17 +1,23 @@
 """Quality rules: repetition inside a text and line frequency across documents, built-in functions alone.
 
 Each line is normalised (ASCII lower case, white space to one space, trimmed) and
-hashed (60 bits of MD5).  Per host the distinct documents that hold a line are
-counted; a line in more than ``max(min_docs, share * documents of the host)`` of
-them is boilerplate and is removed; a document that is left with too few words is
-rejected.  Two documents count as distinct when the rest of them differs, told by
-two 64-bit hashes of all their lines: a thousand copies of one text do not make its
-sentences boilerplate (finding copies is the task of near-duplicate removal), while
-a notice pasted under a thousand different texts does, however many lines it has.
+hashed (64 bits).  Per host the distinct documents that hold a line are counted; a
+line in more than ``max(min_docs, share * documents of the host)`` of them is
+boilerplate and is removed; a document that is left with too few words is rejected.
+Documents are told apart by two 64-bit hashes of the whole text: a thousand copies
+of one text count once and do not make its sentences boilerplate (finding copies is
+the task of near-duplicate removal), while a notice pasted under a thousand
+different texts does, however many lines it has.
+
+Lines are counted as rows of (host, line hash, text hashes), made distinct and then
+counted, both with partial sums before the shuffle, so neither a common line nor a
+large host is gathered in one task.  Where there are too many boilerplate lines to
+send to every task, lines are joined with them under a salt.
 
 Edge cases: null text has no words and fails the base rules; null host is a host
-of its own; repeated rows get equal verdicts and count once; an empty table gives
-an empty result; extra columns pass through.
+of its own; repeated rows get equal verdicts and count once; empty and very long
+texts and lines are treated alike; an empty table gives an empty result; extra
+columns pass through, a column named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ SHARE = 0.01
 LEFT_PERCENT = 50
 #: Boilerplate lines that are sent to every task; beyond it they are joined by hash.
 BROADCAST_LINES = 2_000
+#: Parts that the texts of one line are dealt into where lines are joined.
+SALTS = 32
 
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,35 +102,32 @@ def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def line_hash(line: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), r"[\x20\x09-\x0D]+", " "))
-    return F.conv(F.substring(F.md5(plain.cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.xxhash64(F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), r"[\x20\x09-\x0D]+", " ")))
 
 
-def hashed_lines(text: Column) -> Column:
-    """array<struct<h:long,w:long>>: the lines that hold a word, hashed, with their words."""
+def line_hashes(text: Column) -> Column:
+    """The distinct hashes of the lines that hold a word."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    return F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), count_words(x).alias("w")))
+    return F.array_distinct(F.transform(lines, line_hash))
+
+
+def _lines(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """(host, t1, t2, h): the lines of every text, once for each task that holds a copy of it at least."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(
+        F.col(host).alias("host"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2"), F.explode(line_hashes(body)).alias("h")
+    )
 
 
 def boilerplate(docs: DataFrame, text: str, host: str, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """(host, h) of the lines above the limits."""
     body = F.coalesce(F.col(text), F.lit(""))
-    # exact copies are merged before anything is shuffled; two 64-bit hashes tell texts apart
-    texts = docs.groupBy(
-        F.col(host).alias("host"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2")
-    ).agg(F.first(F.array_distinct(F.transform(hashed_lines(body), lambda x: x["h"]))).alias("lines"))
-    texts = Scratch(docs.sparkSession, "quality").table(texts, "texts")
-    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    # a line's other lines are its text's lines without it, so they differ where the whole sets differ
-    whole = F.array_sort("lines")
+    hosts = docs.select(F.col(host).alias("host"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2")).distinct()
+    hosts = Scratch(docs.sparkSession, "quality").table(hosts.groupBy(F.col("host").alias("its_host")).agg(F.count(F.lit(1)).alias("docs")), "hosts")
     seen = (
-        texts.groupBy("host", F.xxhash64(whole).alias("s1"), F.xxhash64(F.lit(1), whole).alias("s2")).agg(F.first("lines").alias("lines"))
-        .select("host", F.explode("lines").alias("h"))
-        .groupBy("host", "h").agg(F.count(F.lit(1)).alias("seen"))
-        .where(F.col("seen") > min_docs)
+        _lines(docs, text, host).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") > min_docs)
     )
     n = hosts.count()
-    hosts = hosts.withColumnRenamed("host", "its_host")
     return seen.join(
         F.broadcast(hosts) if n <= BROADCAST_ROWS else hosts, F.col("host").eqNullSafe(F.col("its_host"))
     ).where(F.col("seen") > F.col("docs") * F.lit(share)).select("host", "h")
@@ -140,38 +145,32 @@ def quality(
     own = {"n_boilerplate_words", "kept", "clean_text"}
     docs = docs.select(*[c for c in docs.columns if c.lower() not in own])
     lines = Scratch(docs.sparkSession, "quality").table(boilerplate(docs, text, host, min_docs, share), "lines")
-    n = lines.count()
     stats = base_stats(docs, text)
     body = F.coalesce(F.col(text), F.lit(""))
     gone, key = fresh(stats, "gone"), fresh(stats, "host")
-    if n <= broadcast_lines:
+    if lines.count() <= broadcast_lines:
         per_host = lines.groupBy(F.col("host").alias(key)).agg(F.collect_list("h").alias(gone))
         judged = stats.join(F.broadcast(per_host), F.col(host).eqNullSafe(F.col(key)), "left").drop(key)
-    else:  # by text: (host, text hashes) -> the hashes of its boilerplate lines
+    else:  # by text: (host, text hashes) -> the hashes of its boilerplate lines; a text has a bounded number of lines
         t1, t2 = fresh(stats, "t1"), fresh(stats, "t2")
-        texts = docs.groupBy(
-            F.col(host).alias("host"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2")
-        ).agg(F.first(F.array_distinct(F.transform(hashed_lines(body), lambda x: x["h"]))).alias("hs"))
-        at = texts.select("host", "t1", "t2", F.explode("hs").alias("h"))
-        marks = lines.select(F.col("host").alias("lh"), F.col("h").alias("lx"))
-        hits = (
-            at.join(marks, (F.col("h") == F.col("lx")) & F.col("host").eqNullSafe(F.col("lh")))
-            .groupBy(F.col("host").alias(key), F.col("t1").alias(t1), F.col("t2").alias(t2)).agg(F.collect_list("h").alias(gone))
-        )
+        at = _lines(docs, text, host).distinct().withColumn("salt", F.pmod("t1", F.lit(SALTS)))
+        marks = lines.select(F.col("host").alias("lh"), F.col("h").alias("lx"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+        hits = at.join(
+            marks, (F.col("h") == F.col("lx")) & (F.col("salt") == F.col("part")) & F.col("host").eqNullSafe(F.col("lh"))
+        ).groupBy(F.col("host").alias(key), F.col("t1").alias(t1), F.col("t2").alias(t2)).agg(F.collect_list("h").alias(gone))
         judged = stats.join(
             hits,
             (F.xxhash64(body) == F.col(t1)) & (F.xxhash64(F.lit(1), body) == F.col(t2)) & F.col(host).eqNullSafe(F.col(key)), "left",
         ).drop(key, t1, t2)
-    lost = F.aggregate(
-        F.filter(hashed_lines(body), lambda x: F.array_contains(F.col(gone), x["h"])), F.lit(0).cast("long"), lambda a, x: a + x["w"]
-    )
-    rest = F.array_join(
-        F.filter(F.split(body, "\n", -1), lambda x: ~F.array_contains(F.col(gone), line_hash(x))), "\n"
-    )
+    rest = F.array_join(F.filter(F.split(body, "\n", -1), lambda x: ~F.array_contains(F.col(gone), line_hash(x))), "\n")
+    clean = fresh(judged, "clean")
+    judged = judged.withColumn(clean, F.when(F.col(gone).isNotNull(), rest))
+    # words do not cross lines, so what is lost is the difference; a line without a word is no loss
+    lost = F.when(F.col(clean).isNull(), F.lit(0)).otherwise(F.col("n_words") - count_words(F.col(clean)))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     return (
-        judged.withColumn("n_boilerplate_words", F.when(F.col(gone).isNull(), F.lit(0)).otherwise(lost).cast("long"))
+        judged.withColumn("n_boilerplate_words", lost.cast("long"))
         .withColumn("kept", ~(F.col("base_failed") | (left < MIN_WORDS) | (left * 100 < F.col("n_words") * LEFT_PERCENT)))
-        .withColumn("clean_text", F.when(F.col("n_boilerplate_words") > 0, rest).otherwise(F.col(text)))
-        .drop(gone)
+        .withColumn("clean_text", F.when(F.col("n_boilerplate_words") > 0, F.col(clean)).otherwise(F.col(text)))
+        .drop(gone, clean)
     )
