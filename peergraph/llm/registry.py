@@ -42,9 +42,8 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    decoded = bpe.decode_documents(encoded, path, pattern)
-    return decoded.select(
+    coded = bpe.encode_and_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    return coded.select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -58,7 +57,7 @@ def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substrings.repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("mark")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,18 +154,10 @@ with docs as (
 ), hashed as (
   select doc_id, source, text, line,
          len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as n,
-         ('0x' || substr(md5(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))), 1, 15))::bigint as h
+         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') as h
   from lines
-), each as (
-  select distinct source, text, h from hashed
-), ranked as (
-  select *, row_number() over (partition by source, text order by h) as r from each
-), sketches as (
-  select source, text, min(h) as m1, min(case when r = 2 then h end) as m2 from ranked group by source, text
 ), seen as (
-  select each.source, h, count(distinct case when h = m1 then coalesce(m2, -1) else m1 end) as seen
-  from each join sketches using (text) where each.source is not distinct from sketches.source
-  group by each.source, h
+  select source, h, count(distinct text) as seen from hashed group by source, h
 ), hosts as (
   select source, count(distinct text) as docs from docs group by source
 ), boiler as (
@@ -192,8 +183,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from stats""",
     "op5_chat_format": """
 select conv_id, turn, coalesce(role, '') as role, turn as anchor, 0::int as level, false as is_result,
-       0::bigint as n_calls, 0::bigint as n_answered, 0::bigint as n_invalid, 'plain' as status,
+       0::bigint as n_calls, 0::bigint as n_answered, 0::bigint as n_invalid, 'plain' as status, '' as errors,
        '{"content":' || to_json(coalesce(text, ''))::varchar || ',"role":' || to_json(coalesce(role, ''))::varchar || '}' as message
-from conversations
-where not regexp_matches(coalesce(text, ''), '^\\s*\\{')""",
+from conversations""",
 }
