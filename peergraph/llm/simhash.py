@@ -8,6 +8,10 @@ exclusive-or and bit counts.  A tile pair yields a spanning forest of its links,
 most as many rows as it has fingerprints; components of all forests are those of
 all links.
 
+What is sent to every task is the number of fingerprints by key, 17**4 rows at most.
+A fingerprint or a component that holds more than a two-thousandth of the rows is dealt
+over many tasks where documents are given their component.
+
 Edge cases: null text is empty; a text without words has fingerprint zero; a null
 identifier is ignored when the least of a component is taken (a component of nulls
 alone has a null id); repeated rows share a fingerprint; an empty table gives an
@@ -18,13 +22,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peergraph.llm.common import Scratch
+from peergraph.llm.common import Scratch, spread_join
 from peergraph.llm.components import components
 
 SEED = 42
@@ -81,22 +86,21 @@ def quarter_key(fp):
     return sum((part(i) * (17**i) for i in range(1, QUARTERS)), part(0)).cast("int")
 
 
-def neighbour_keys(keys: list[int], radius: int) -> dict[int, list[int]]:
-    """key -> the present keys, itself included, that are not smaller and within the radius."""
-    present = set(keys)
-    offsets = [o for o in itertools.product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, o)) <= radius]
-    out = {}
-    for key in present:
-        digits = [key // 17**i % 17 for i in range(QUARTERS)]
-        near = []
-        for o in offsets:
-            moved = [d + x for d, x in zip(digits, o)]
-            if all(0 <= d <= 16 for d in moved):
-                other = sum(d * 17**i for i, d in enumerate(moved))
-                if other >= key and other in present:
-                    near.append(other)
-        out[key] = near
-    return out
+def steps(radius: int) -> list[tuple[int, ...]]:
+    """Differences of the four counts within the radius, the first that is not zero positive: one of each pair of opposites."""
+    every = (o for o in itertools.product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, o)) <= radius)
+    return [o for o in every if next((x for x in o if x), 1) > 0]
+
+
+def neighbour(key: Column, radius: int, sign: int) -> Column:
+    """array<int>: the keys that lie one of the ``steps`` from ``key``; null where a count would leave 0 to 16."""
+    digits = [F.floor(key / 17**i).cast("int") % 17 for i in range(QUARTERS)]
+
+    def moved(o: tuple[int, ...]) -> Column:
+        fits = [d.between(-min(sign * x, 0), 16 - max(sign * x, 0)) for d, x in zip(digits, o) if x]
+        return F.when(reduce(lambda a, b: a & b, fits, F.lit(True)), key + sign * sum(x * 17**i for i, x in enumerate(o)))
+
+    return F.array(*[moved(o) for o in steps(radius)])
 
 
 def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
@@ -121,30 +125,22 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> list
 
 def near_links(classes: DataFrame, radius: int, scratch: Scratch, tile: int = TILE) -> DataFrame:
     """(a, b): a spanning forest of the links within ``radius`` among distinct fingerprints ``fp``."""
-    spark = classes.sparkSession
     keyed = scratch.table(classes.select("fp", quarter_key(F.col("fp")).alias("key")), "keyed")
-    sizes = dict(keyed.groupBy("key").count().collect())  # 17**4 rows at most, whatever the input
-    chunks = {k: -(-n // tile) for k, n in sizes.items()}
-    near = neighbour_keys(list(sizes), radius)
-    pairs = spark.createDataFrame(
-        [(k, chunks[k], o, chunks[o]) for k, others in near.items() for o in others] or [(-1, 1, -1, 1)],
-        "lk int, lc int, rk int, rc int",
-    )  # tile pairs by key: bounded as the keys are
-    known = spark.createDataFrame([(k, c) for k, c in chunks.items()] or [(-1, 1)], "key int, n int")
+    # 17**4 rows at most, whatever the input
+    known = F.broadcast(scratch.table(keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("n")), "known"))
     tiles = (
-        keyed.join(F.broadcast(known), "key")
+        keyed.join(known, "key")
         .groupBy("key", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("chunk"))
         .agg(F.collect_list("fp").alias("fps"))
     )
     tiles = scratch.table(tiles, "tiles")
-    pairs = F.broadcast(pairs)
-    left = tiles.join(pairs, F.col("key") == F.col("lk")).select(
-        "lk", F.col("chunk").alias("li"), "rk", F.explode(F.sequence(F.lit(0), F.col("rc") - 1)).alias("ri"), F.col("fps").alias("lf")
-    ).where("lk < rk or li <= ri")
-    right = tiles.join(pairs, F.col("key") == F.col("rk")).select(
-        "rk", F.col("chunk").alias("ri"), "lk", F.explode(F.sequence(F.lit(0), F.col("lc") - 1)).alias("li"), F.col("fps").alias("rf")
-    ).where("lk < rk or li <= ri")
-    both = left.join(right, ["lk", "li", "rk", "ri"])
+    others = F.broadcast(known.select(F.col("key").alias("other"), "n"))
+    side = lambda sign: tiles.select("key", "chunk", "fps", F.explode(neighbour(F.col("key"), radius, sign)).alias("other")).join(
+        others, "other"
+    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    left = side(1).select(F.col("key").alias("lk"), F.col("chunk").alias("li"), F.col("other").alias("rk"), F.col("part").alias("ri"), F.col("fps").alias("lf"))
+    right = side(-1).select(F.col("other").alias("lk"), F.col("part").alias("li"), F.col("key").alias("rk"), F.col("chunk").alias("ri"), F.col("fps").alias("rf"))
+    both = left.where("lk <> rk or li <= ri").join(right.where("lk <> rk or li <= ri"), ["lk", "li", "rk", "ri"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +163,10 @@ def near_groups(
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", n, seed)
     marked = scratch.table(marked.select("doc_id", "fp"), "marked")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = components(near_links(classes, radius, scratch, tile), scratch)
-    rooted = scratch.table(classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    classes = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "classes")
+    joined = components(near_links(classes, radius, scratch, tile), scratch).withColumnRenamed("node", "fp")
+    rooted = scratch.table(classes.join(joined, "fp", "left").select("fp", "rows", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    names = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "names")
+    n, total = rooted.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    named = scratch.table(spread_join(rooted, names, ["root"], "size", n, ["fp"]).select("fp", "rows", "component_id"), "named")
+    return spread_join(marked, named, ["fp"], "rows", total or 0, ["doc_id"]).select("doc_id", "fp", "component_id")
