@@ -41,15 +41,19 @@ def ols(pairs: DataFrame, xs: list[str], y: str, weight: str | None = None) -> d
     return solve(gram(pairs, xs, y, weight).first(), xs, y)
 
 
-def firm_effects_ols(pairs: DataFrame, xs: list[str], y: str, weight: str | None = None) -> dict[str, float | None]:
+def firm_effects_ols(pairs: DataFrame, xs: list[str], y: str, weight: str | None = None, most: int = 3_000) -> dict[str, float | None]:
     """OLS with an additive effect of both firms, y = x b + a_i + a_j (minimum-norm solution).
 
     Three aggregations give the normal equations: among the covariates, by firm, and the
-    pair weights themselves for the firm block, which has the size of the company list.
+    pair weights themselves for the firm block.  That block has the square of the company
+    list's size, so companies are counted first and more than ``most`` are refused.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     whole = pairs.dropna(subset=[*xs, y]).withColumn("_w", w)
     row = gram(whole, xs, y, "_w").first()
+    n_firms = whole.select(F.explode(F.array("i", "j")).alias("f")).distinct().count()
+    if n_firms > most:
+        raise ValueError(f"{n_firms} companies: the firm block is solved on the driver for {most} at most")
     both = whole.select(F.col("i").alias("f"), "_w", *xs, y).unionByName(whole.select(F.col("j").alias("f"), "_w", *xs, y))
     sums = both.groupBy("f").agg(F.sum("_w").alias("n"), *[F.sum(F.col("_w") * F.col(c).cast("double")).alias(f"s_{c}") for c in [*xs, y]]).toPandas()
     cells = whole.groupBy("i", "j").agg(F.sum("_w").alias("w")).toPandas()

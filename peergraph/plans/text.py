@@ -66,7 +66,7 @@ def cross_duplicate(spark, sf_dir):
 
 def chunk_text(spark, sf_dir):
     """T17, T18."""
-    return tx.chunk_text(_docs(spark, sf_dir), "doc_id", "text", 120).select("doc_id", "chunk_idx", F.length("text").alias("chars"), "n_tokens")
+    return tx.chunk_text(_docs(spark, sf_dir), "doc_id", "text", 120)
 
 
 def leading_chunks(spark, sf_dir):
@@ -103,7 +103,7 @@ def mention_spans(spark, sf_dir):
     """The evidence spans of the mentions."""
     hits = nm.find_names(_docs(spark, sf_dir), "doc_id", "text", _dictionary(spark, sf_dir))
     d = _docs(spark, sf_dir).withColumn("section", F.lit("business"))
-    return mn.find_mentions(d, hits, "doc_id", "text", "section").select("doc_id", "start", "span_start", "span_end", "lead_text", "exec_bio")
+    return mn.find_mentions(d, hits, "doc_id", "text", "section").select("doc_id", "start", "span_start", "span_end", "span_text", "lead_text", "exec_bio")
 
 
 def span_cues(spark, sf_dir):

@@ -15,31 +15,52 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+ASIDE = ".replaced"
+
+
+def set_aside(spark: SparkSession, path: str) -> None:
+    """Move the table at ``path`` to where :func:`load` still finds it."""
+    target, fs = _fs(spark, path)
+    old, _ = _fs(spark, path.rstrip("/") + ASIDE)
+    fs.delete(old, True)
+    if not fs.rename(target, old):
+        raise OSError(f"{path} cannot be moved aside")
+
+
 def load(spark: SparkSession, path: str, stage: str) -> DataFrame:
-    """The table at ``path``, or an error that names the stage to run first."""
+    """The table at ``path``, or an error that names the stage to run first.
+
+    Where a publisher died between its two renames, the table it had moved aside is put back.
+    """
     p, fs = _fs(spark, path)
+    old, _ = _fs(spark, path.rstrip("/") + ASIDE)
+    if not fs.exists(p) and fs.exists(old):
+        fs.rename(old, p)
     if not fs.exists(p):
         raise FileNotFoundError(f"{path} is missing: run `{stage}` first")
     return spark.read.parquet(path)
 
 
 def publish(df: DataFrame, path: str, checks: DataFrame | None = None) -> None:
-    """Write beside ``path``, check, then swap: readers see the old table or the new one.
+    """Write beside ``path``, check, then swap by renames: :func:`load` finds the old table or the new one, whole, at any time.
 
-    ``checks`` (check, n) must be zero throughout.
+    ``checks`` (check, n) must be zero throughout.  The old table is moved aside and deleted
+    only when the new one is in its place.
     """
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}"
     df.write.parquet(staged)
+    source, fs = _fs(spark, staged)
     if checks is not None and (bad := checks.where("n > 0").collect()):
-        old, fs = _fs(spark, staged)
-        fs.delete(old, True)
+        fs.delete(source, True)
         raise ValueError("integrity: " + ", ".join(f"{r['check']}={r['n']}" for r in bad))
-    target, fs = _fs(spark, path)
-    source, _ = _fs(spark, staged)
+    target, _ = _fs(spark, path)
+    old, _ = _fs(spark, path.rstrip("/") + ASIDE)
     if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(source, target)
+        set_aside(spark, path)
+    if not fs.rename(source, target):
+        raise OSError(f"{staged} cannot be moved to {path}")
+    fs.delete(old, True)
 
 
 def append_cache(cache_path: str, new: DataFrame) -> None:

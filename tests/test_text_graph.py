@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from peergraph.functions import mentions as mn
 from peergraph.functions import names as nm
+from peergraph.functions import sentences as st
 from peergraph.functions import text as tx
 from peergraph.operators import graph as gr
 from peergraph.operators import scoring as sc
@@ -36,21 +37,59 @@ def test_chunks(spark):
     assert tx.pack_chunks("a b c\nd e\nf", 6, count) == [("a b c\nd e", 6), ("f", 1)]
     assert tx.pack_chunks("a b. c d e f g", 3, count) == [("a b.", 2), ("c d e", 3), ("f g", 2)]
     assert tx.pack_chunks("", 3, count) == []
+    assert tx.pack_chunks("abcdefgh ij", 3, len) == [("abc", 3), ("def", 3), ("gh", 2), ("ij", 2)]
     with pytest.raises(ValueError):
         tx.pack_chunks("a", 0, count)
 
 
-def test_sentences_lead_ins_and_bios():
-    t = "We compete with Huawei Technologies Co. Ltd. and Intel. Sales rose."
-    assert [t[a:b] for a, b in mn.sentences(t)] == ["We compete with Huawei Technologies Co. Ltd. and Intel.", "Sales rose."]
-    t = "merchant vendors of silicon for many large networks of customers,\nBroadcom and others.\nnext\n• item"
-    assert len(mn.sentences(t)) == 3
-    t = "Key competitors:\n• Amazon\n• UPS\nWe grew."
-    s = mn.sentences(t)
-    assert [mn.lead_in(t, s, i) is not None for i in range(4)] == [False, True, True, False]
-    t = "Executive Officers of the Registrant\nJane Doe (52) served as chief executive.\nOur products are many."
-    assert [t[a:b] for a, b in mn.biographies(t)] == ["Executive Officers of the Registrant\nJane Doe (52) served as chief executive."]
-    assert mn.nearby("One. Two.\nThree. X here. Four.\nFive.", 17, 18, 1000) == ("One. Two.\nThree.", "here. Four.\nFive.")
+def sentences_of(spark, text):
+    df = spark.createDataFrame([(1, text)], "k int, t string")
+    return [r.text for r in st.sentences(df, "k", "t").orderBy("i").collect()]
+
+
+def spans_of(spark, text, *words, most=300):
+    df = spark.createDataFrame([(1, text, "business")], "k int, t string, s string")
+    hits = spark.createDataFrame([(1, text.index(w), text.index(w) + len(w)) for w in words], "k int, start int, end int")
+    return {text[r.start : r.end]: r for r in mn.find_mentions(df, hits, "k", "t", "s", most).collect()}
+
+
+def test_sentences_break_and_join(spark):
+    assert sentences_of(spark, "Our rival is Nordwind Motors Co. Ltd. and Brix. Margins fell.  ") == ["Our rival is Nordwind Motors Co. Ltd. and Brix.", "Margins fell."]
+    wrapped = "third parties who supply us with the steel that we need for many of the plants,\nOstwerk and more.\nlater\n• point"
+    assert sentences_of(spark, wrapped) == ["third parties who supply us with the steel that we need for many of the plants,\nOstwerk and more.", "later", "• point"]
+    assert sentences_of(spark, "") == [] and sentences_of(spark, " \n\n ") == [] and sentences_of(spark, "One\n\ntwo") == ["One", "two"]
+
+
+def test_spans_take_lead_ins_and_prior_sentences(spark):
+    got = spans_of(spark, "Main rivals are:\n• Brix\n• Calder\nWe expand Dunes.", "Brix", "Calder", "Dunes")
+    assert [got[w].lead_text for w in ("Brix", "Calder", "Dunes")] == ["Main rivals are:", "Main rivals are:", None]
+    got = spans_of(spark, "Brix buys steel. They also sell Calder. Dunes grows.", "Calder", "Dunes")
+    assert got["Calder"].span_text == "Brix buys steel. They also sell Calder." and got["Dunes"].span_text == "Dunes grows."
+    long = "a" * 400 + " Brix " + "b" * 400
+    assert spans_of(spark, long, "Brix", most=100)["Brix"].span_text == long[351:455]
+
+
+def test_biographies_end_at_the_first_other_line(spark):
+    text = "Executive Officers of the Company\nIda Brix (44) has served as treasurer.\nOle Calder\nHe joined us (51) as counsel.\nWe sell Dunes to many.\nEdda (40) is a director."
+    got = spans_of(spark, text, "Ida", "Ole", "Dunes", "Edda")
+    assert [got[w].exec_bio for w in ("Ida", "Ole", "Dunes", "Edda")] == [True, True, False, False]
+
+
+def test_nearby_text_stops_at_paragraphs_and_sentences(spark):
+    text = "Skipped.\nUno. Dos.\nTres. MARK quatro. Cinco.\nSeis.\nSkipped too."
+    at = text.index("MARK")
+    near = lambda most: tuple(spark.createDataFrame([(text,)], "t string").select(mn.nearby(F.col("t"), F.lit(at), F.lit(at + 4), most).alias("n")).first().n)
+    assert near(1000) == ("Uno. Dos.\nTres.", "quatro. Cinco.\nSeis.") and near(12) == ("Tres.", "quatro.")
+
+
+def test_mention_tables_name_anonymous_parties_and_skip_the_filer(spark):
+    text = "Customer B was 14% of our total revenue in 2023. Brix supplies Calder.\nOur Executive Officers\nIda (50) was an officer of Calder."
+    docs = spark.createDataFrame([(7, "acc", "business", text, "2023-12-31"), (7, "acc", "risk_factors", None, None)], "cik long, accession string, section string, text string, period string")
+    names = spark.createDataFrame([("Brix", "cik:7", "base", None, None), ("Calder", "cik:9", "base", None, None)], "name string, node string, kind string, since int, until int")
+    got = mn.mention_tables(docs, names, [("supply", "nothing", None)])
+    assert {(r.matched_name, r.target_node, r.excluded) for r in got["mentions"].collect()} == {("Calder", "cik:9", "exec_bio"), ("Calder", "cik:9", None), ("Customer B", "anon:7:acc:customer-b", None)}
+    figure = got["figures"].first()
+    assert (figure.target_node, figure.value, figure.period) == ("anon:7:acc:customer-b", 14.0, "2023") and got["anonymous"].count() == 1 and got["spans"].count() == 3
 
 
 def test_figures_and_names(spark):
@@ -112,6 +151,10 @@ def test_sources(spark, tmp_path):
     assert artifacts.load(spark, path, "ingest").count() == 6
     with pytest.raises(FileNotFoundError, match="ingest"):
         artifacts.load(spark, path + "x", "ingest")
+    artifacts.set_aside(spark, path)  # a crash between the two renames
+    assert artifacts.load(spark, path, "ingest").count() == 6
+    artifacts.publish(rows.limit(1), path)
+    assert artifacts.load(spark, path, "ingest").count() == 1 and sorted(p.name for p in tmp_path.iterdir()) == ["t", "u.csv"]
     with pytest.raises(ValueError, match="bad=1"):
         artifacts.publish(rows, path, spark.createDataFrame([("bad", 1)], "check string, n long"))
     assert artifacts.to_json({"a": float("nan")}) == '{"a": null}' and artifacts.settings_changes({"a": {"x": 1}}, {"a": {"x": 2}, "b": 1}) == ["a.x", "b"]
