@@ -1,36 +1,91 @@
-"""Command line: list the queries, or run one and show it, write it, or print its plan."""
+"""Command line: the queries over a folder of tables, and the stages and views of a run.
+
+Stages that reach outside take ``--plugin module:name``: a fetcher of filings for
+``ingest``, a model for ``embed``, a scorer for ``judge``.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
-from peergraph import session
+from peergraph import config, session, stages
 from peergraph.plans import catalogue
 from peergraph.sources import artifacts
 
+STAGES = ("universe", "ingest", "documents", "embed", "neighbours", "evaluate", "mentions", "candidates", "judge", "export", "run")
+VIEWS = ("neighbours", "mentions", "candidates")
+
+
+def plugin(name: str | None):
+    """The object that ``module:name`` names."""
+    if not name:
+        return None
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def _aliases(spark, path: str | None):
+    columns = "cast(null as string) as name, cast(null as string) as node, cast(null as string) as kind, cast(null as int) as since, cast(null as int) as until"
+    return spark.read.parquet(path) if path else spark.sql(f"select {columns} where false")
+
+
+def run_stage(name: str, run: stages.Run, args: argparse.Namespace) -> None:
+    """One stage of a run, with what it needs from the arguments."""
+    spark, given = run.spark, plugin(args.plugin)
+    table = spark.read.parquet(args.table) if args.table else None
+    models = {m.name: given for m in run.config.methods if m.kind == "model"} if given else None
+    work = {
+        "universe": lambda: stages.stage_universe(run, table), "ingest": lambda: stages.stage_ingest(run, given), "documents": lambda: stages.stage_documents(run),
+        "embed": lambda: stages.stage_embed(run, models), "neighbours": lambda: stages.stage_neighbours(run), "evaluate": lambda: stages.stage_evaluate(run),
+        "mentions": lambda: stages.stage_mentions(run, _aliases(spark, args.aliases), []), "candidates": lambda: stages.stage_candidates(run, args.variant or run.config.methods[0].name),
+        "judge": lambda: stages.stage_judge(run, given or stages.cx.keyword_scorer), "export": lambda: stages.stage_export(run),
+        "run": lambda: stages.run_all(run, given, table=table, aliases=_aliases(spark, args.aliases)),
+    }
+    work[name]()
+
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="peergraph", description=__doc__)
-    parser.add_argument("query", choices=["list", *catalogue.QUERIES])
-    parser.add_argument("tables", nargs="?", help="folder of the Parquet tables")
-    parser.add_argument("--out", help="folder for the result; it is swapped in when it is complete")
-    parser.add_argument("--plan", action="store_true", help="print the physical plan only")
-    parser.add_argument("--rows", type=int, default=20, help="rows to show")
+    parser = argparse.ArgumentParser(prog="peergraph", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("--master")
+    commands = parser.add_subparsers(dest="command", required=True)
+    commands.add_parser("list", help="the queries, and whether they have SQL")
+    query = commands.add_parser("query", help="run a query and show it, write it, or print its plan")
+    query.add_argument("name", choices=list(catalogue.QUERIES))
+    query.add_argument("tables", help="folder of the Parquet tables")
+    query.add_argument("--out", help="folder for the result; it is swapped in when it is complete")
+    query.add_argument("--plan", action="store_true", help="print the physical plan only")
+    query.add_argument("--rows", type=int, default=20, help="rows to show")
+    stage = commands.add_parser("stage", help="run a stage of a run, or all of them")
+    stage.add_argument("name", choices=STAGES)
+    show = commands.add_parser("show", help="neighbours, mentions or candidates of a company")
+    show.add_argument("name", choices=VIEWS)
+    show.add_argument("ticker")
+    for p in (stage, show):
+        p.add_argument("--config", required=True)
+        p.add_argument("--folder", required=True, help="folder of the run")
+    for option in ("plugin", "table", "aliases", "variant"):
+        stage.add_argument(f"--{option}")
     args = parser.parse_args(argv)
-    if args.query == "list":
-        for name, query in sorted(catalogue.QUERIES.items()):
-            print(name, "-", (query.__doc__ or "").strip().split("\n")[0], "" if name in catalogue.ORACLES else "(no SQL)")
+    if args.command == "list":
+        for name, q in sorted(catalogue.QUERIES.items()):
+            print(name, "-", (q.__doc__ or "").strip().split("\n")[0], "" if name in catalogue.ORACLES else "(no SQL)")
+        return
+    spark = session.build(args.master)
+    if args.command == "query":
+        result = catalogue.QUERIES[args.name](spark, args.tables)
+        if args.plan:
+            result.explain("formatted")
+        elif args.out:
+            artifacts.publish(result, args.out)
+        else:
+            print(artifacts.markdown(result, args.rows))
         return
-    if not args.tables:
-        parser.error("the folder of the tables is missing")
-    result = catalogue.QUERIES[args.query](session.build(args.master), args.tables)
-    if args.plan:
-        result.explain("formatted")
-    elif args.out:
-        artifacts.publish(result, args.out)
+    run = stages.Run(spark, config.load(args.config), args.folder)
+    if args.command == "stage":
+        run_stage(args.name, run, args)
     else:
-        print(artifacts.markdown(result, args.rows))
+        print(artifacts.markdown(stages.views(run, args.name, args.ticker)))
 
 
 if __name__ == "__main__":

@@ -81,7 +81,8 @@ def fetch(wanted: DataFrame, others: DataFrame, get: Callable[[int], list[dict]]
                     rows += [{"cik": cik, "filer_cik": filer, "error": None, **r} for r in get(int(filer))]
                 except Exception as e:  # a failed request is a result, not a failed task
                     rows.append({"cik": cik, "filer_cik": filer, "error": str(e) or type(e).__name__})
-            yield pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame(rows, columns=names, dtype=object)
+            yield out.where(out.notna(), None).assign(accepted=pd.to_datetime(out["accepted"]))
 
     schema = ", ".join(c for c in SCHEMA.split(", ") if not c.startswith("status"))
     return firm_filings(with_status(filers.mapInPandas(run, schema), filers).select(*COLUMNS))
