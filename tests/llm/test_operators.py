@@ -216,18 +216,30 @@ def test_topk_matches_brute_force(spark):
     vectors[8] = [float("nan")] + vectors[9][1:]
     vectors[60:120] = [vectors[60]] * 60  # ties
     rows = [(i, v) for i, v in enumerate(vectors)] + [(None, vectors[0]), (400, vectors[5][:3])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    q = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in rows if i is not None and v is not None and np.isfinite(v).all()}
-    want = set()
-    for a in (i for i in q if i % 50 == 0):
-        same = sorted(((-int(q[a] @ q[b]), b) for b in q if b != a and len(q[b]) == len(q[a])))[:5]
-        want |= {(a, n + 1, b, -s) for n, (s, b) in enumerate(same)}
-    for block in (8192, 2):
-        got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=block).collect()}
-        assert got == want
+    rows += [(100, vectors[60])] * 9  # repeated rows of a query
+    rows += [(450, [1e5, 0.0]), (451, [7e4, 0.0]), (500, [1e5, 0.0]), (600, []), (601, [])]  # components beyond 24 bits; empty vectors
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<double>, q int, n int, block string").repartition(3)
+    q = [(i, [int(x) for x in np.floor(256 * np.array(v))]) for i, v in rows if i is not None and v is not None and np.isfinite(v).all()]
+    want = []
+    for a, x in q:
+        if a % 50 == 0:
+            same = sorted((-sum(s * t for s, t in zip(x, y)), b) for b, y in q if b != a and len(x) == len(y))[:5]
+            want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(same)]
+    for block, sent in ((1024, 1 << 25), (2, 0)):
+        got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=block, broadcast_bytes=sent).collect()]
+        assert sorted(got) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_uses_whole_numbers_and_refuses_what_does_not_fit(spark):
+    big = np.array([[2**40, 1]], np.int64)
+    assert topk.products(big, np.array([[2**21, -(2**61)]], np.int64)).tolist() == [0]
+    with pytest.raises(OverflowError):
+        topk.products(big, big)
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 # --- byte-level BPE ---------------------------------------------------------
 
 def test_bpe_equals_tiktoken_and_round_trips(spark):
@@ -319,27 +331,88 @@ def test_tool_call_levels_match_brute_force(spark):
 
 # --- Pitman-Yor -------------------------------------------------------------
 
-def test_pitman_yor_is_a_distribution_and_beats_the_base(spark):
+def test_pitman_yor_counts_by_brute_force_and_scores_junk_below_prose(spark):
+    import collections
+
     rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice(["the cat sat", "a dog ran", "le chat noir", "un chien gris"]) for _ in range(30))) for i in range(200)]
-    rows += [(None, None), (500, ""), (501, "Never Seen words"), (501, "Never Seen words")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    phrases = ["the cat sat on the mat", "a dog ran over the hill", "le chat noir dort bien", "un chien gris court vite"]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(30))) for i in range(200)]
+    junk = lambda n: " ".join("".join(rng.choice("qzxkjvwbpfgh") for _ in range(9)) for _ in range(n))
+    rows += [(None, None), (500, ""), (501, "Never Seen words"), (501, "Never Seen words"), (502, "x" * 200_000), (503, "É ü\n\tß \u00a0 a")]
+    junk_ids = [i for i in range(1000, 1100) if pitman_yor.held_out(i)]
+    rows += [(i, junk(150)) for i in junk_ids]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, chunk string, kind int")
     got = pitman_yor.score_documents(df).collect()
-    assert len(got) == len(rows) and all(np.isfinite(r.score) and r.score <= 0 for r in got)
-    held = [r for r in got if r.held_out and r.n_tokens > 10]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+    tokens = {(i, t): pitman_yor.tokens_of(t) for i, t in rows}
+    count = collections.Counter(w for i, t in rows if not pitman_yor.held_out(i) for w in tokens[i, t])
+    n, v = sum(count.values()), len(count)
+    by_id = {r.doc_id: r for r in got}
+    for i, t in rows:
+        r, own = by_id[i], tokens[i, t]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (pitman_yor.held_out(i), len(own), sum(count[w] > 0 for w in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own))
+        assert np.isfinite(r.score) and r.score <= 0
+    held = [r for r in got if r.held_out and r.n_known == r.n_tokens and r.n_tokens > 10]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    per_token = lambda rs: sum(r.score for r in rs) / sum(r.n_tokens for r in rs)
+    assert per_token([by_id[i] for i in junk_ids]) < per_token(held) - 3
     again = {(r.doc_id, r.n_tokens): r.score for r in pitman_yor.score_documents(df).collect()}
-    assert all(again[r.doc_id, r.n_tokens] == r.score for r in got)
+    assert all(again[r.doc_id, r.n_tokens] == pytest.approx(r.score) for r in got)
     assert pitman_yor.score_documents(df.limit(0)).count() == 0
-    # predictive probabilities of one restaurant sum to one over known words and "unknown"
-    words, ctx = np.arange(4), 300
-    totals = pitman_yor.Totals(4.0, 20.0, (0.5, 0.5, 0.5))
-    e = pitman_yor.Entries({"bucket": 0, "word_of": np.arange(5).astype("<u4").tobytes(), "context": np.full(5, ctx).astype("<u4").tobytes(), "count": np.array([5, 5, 5, 5, 0]).astype("<u8").tobytes()})
-    parents = np.bincount(e.parent, e.tables, len(e.parent_word))
-    totals.customers[ctx], totals.tables[ctx] = e.count.sum(), e.tables.sum()
-    totals.parent_customers[ctx & 0xFF], totals.parent_tables[ctx & 0xFF] = parents.sum(), np.minimum(parents, 1).sum()
-    totals.root_customers = np.minimum(parents, 1).sum()
-    assert pitman_yor.predictive(e, np.minimum(parents, 1), parents, totals)[1].sum() == pytest.approx(1.0)
+    only_held = pitman_yor.score_documents(df.where(F.col("doc_id").isin(junk_ids))).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and np.isfinite(r.score) for r in only_held)
+    with pytest.raises(TypeError):
+        pitman_yor.score_documents(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_pitman_yor_seating():
+    # the chance to sit alone, from all seatings of few customers
+    def seatings(c, d):
+        """{(sizes): weight} of all partitions of c customers."""
+        out = {(): 1.0}
+        for _ in range(c):
+            after: dict = {}
+            for sizes, w in out.items():
+                for k in range(len(sizes)):
+                    new = tuple(sorted([*sizes[:k], sizes[k] + 1, *sizes[k + 1 :]]))
+                    after[new] = after.get(new, 0) + w * (sizes[k] - d)
+                new = tuple(sorted([*sizes, 1]))
+                after[new] = after.get(new, 0) + w
+            out = after
+        return out
+
+    for c in range(2, 9):
+        every = seatings(c, 0.6)
+        for t in range(1, c + 1):
+            mine = {s: w for s, w in every.items() if len(s) == t}
+            want = sum(w * s.count(1) / c for s, w in mine.items()) / sum(mine.values())
+            assert pitman_yor.alone_table(0.6)[c, t] == pytest.approx(want)
+    # the chain's long-run distribution of the number of tables: S(c, t) * weight**t
+    c, weight, n = 6, 0.8, 40_000
+    seed = np.arange(n, dtype=np.uint64) * np.uint64(7919)
+    tables = np.ones(n)
+    for sweep in range(12):
+        tables = pitman_yor.reseat(np.full(n, float(c)), tables, np.full(n, weight), 0.6, seed, sweep)
+    want = {}
+    for s, w in seatings(c, 0.6).items():
+        want[len(s)] = want.get(len(s), 0) + w * weight ** len(s)
+    for t in want:
+        assert np.mean(tables == t) == pytest.approx(want[t] / sum(want.values()), abs=0.02)
+    # the predictive probabilities of one restaurant sum to one, the base measure's share included
+    state = pitman_yor.State(0, (0.7, 1.3), (0.5, 0.6), customers=9.0, tables=4.0)
+    cost = np.array([100.0, 230.0, 300.0, 410.0])
+    known = state.unigram(np.array([4.0, 3.0, 1.0, 1.0]), np.ones(4), cost)
+    rest = (0.7 + 0.5 * 4) * (1 - np.exp(-cost / 100).sum()) / (0.7 + 9)
+    assert known.sum() + rest == pytest.approx(1.0)
+
+
+def test_spelling_model_is_a_distribution():
+    costs = pitman_yor.spelling_costs({10 << 8 | 97: 5, 97 << 8 | 98: 3, 97 << 8 | 10: 2, 98 << 8 | 10: 3})
+    assert np.exp(-costs).sum(axis=1) == pytest.approx(np.ones(256))
+    got = pitman_yor.word_costs(b"ab\n\na\n", costs)
+    want = [costs[10, 97] + costs[97, 98] + costs[98, 10], costs[10, 10], costs[10, 97] + costs[97, 10]]
+    assert got.tolist() == [round(x * 100) for x in want]
 
 
 # --- substring dedup --------------------------------------------------------
@@ -366,6 +439,28 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
     assert substrings.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_repeats_are_told_apart_by_identifier_and_text(spark, monkeypatch):
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("aeioumnrstlkp") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    fresh = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage, common = fresh(60), fresh(55)
+    rows = [(1, f"{fresh(40)} {passage} {fresh(30)}"), (None, clean := fresh(120)), (None, f"{fresh(20)} {passage} {fresh(20)}"), (7, other := fresh(90)), (7, f"{fresh(10)} {passage}")]
+    rows += [(50, both := f"{fresh(30)} {fresh(60)}"), (50, both)] + [(100 + i, f"{fresh(20)} {common} {fresh(20)}") for i in range(40)] + [(900, long := fresh(60_000))]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, mark string, d1 int, start int")
+    plain = sorted(map(tuple, substrings.repeated_spans(df).collect()), key=str)
+    assert {r[0] for r in plain} == {None, 7, *range(101, 140)}
+    left = [(r.doc_id, r.text) for r in substrings.deduplicate(df).collect()]
+    assert len(left) == len(rows) and substrings.deduplicate(df).columns == df.columns
+    assert (None, clean) in left and (7, other) in left and left.count((50, both)) == 2 and (900, long) in left
+    assert not any(passage in t for d, t in left if d != 1)
+    from peergraph.llm import common as c
+
+    monkeypatch.setattr(c, "HOT_SHARE", 1e-9)  # every repeated chunk of over 100 is dealt
+    assert sorted(map(tuple, substrings.repeated_spans(df).collect()), key=str) == plain
+    with pytest.raises(TypeError):
+        substrings.repeated_spans(df.withColumn("doc_id", F.lit("a")))
+
+
 def test_cuts_survive_insertions_and_pieces(monkeypatch):
     table, rng = substrings.gear_table(), random.Random(7)
     data = prose(rng, 4000)
@@ -398,8 +493,9 @@ def test_simhash_groups_match_brute_force(spark):
 
 def test_components_of_chains_and_stars(spark):
     links = [(i + 1, i) for i in range(20, 60)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
-    got = {r.node: r.root for r in cc.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
-    assert got == {**{i: 20 for i in range(20, 61)}, **{i: 100 for i in range(100, 140)}}
+    for one_task in (cc.ONE_TASK, -1):
+        got = {r.node: r.root for r in cc.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), one_task=one_task).collect()}
+        assert got == {**{i: 20 for i in range(20, 61)}, **{i: 100 for i in range(100, 140)}}
 
 
 def test_near_duplicates_match_brute_force_jaccard(spark):
@@ -467,6 +563,17 @@ def test_long_boilerplate_blocks_are_found_whole(spark):
     assert all(got[i].n_boilerplate_words == 0 for i in got if i >= 100)
 
 
+def test_a_notice_under_few_documents_of_a_host_is_found_whole(spark):
+    rng = random.Random(16)
+    for n_lines in (20, 60):
+        notice = [f"{prose(rng, 7)} {i}" for i in range(n_lines)]
+        rows = [(i, "\n".join([prose(rng, 9 * n_lines), *notice]), "h") for i in range(200)]
+        got = quality.quality(docs(spark, rows)).agg(F.sum("n_boilerplate_words").alias("n"), F.count_if("kept").alias("k")).first()
+        assert got.n == 200 * n_lines * 8 and got.k == 200
+    one = [(i, "\n".join(prose(random.Random(3), 30) + f" {k}" for k in range(5)), "h") for i in range(500)]  # copies of one text count once
+    assert quality.quality(docs(spark, one)).where("n_boilerplate_words > 0 or not kept").count() == 0
+
+
 # --- HTML extraction --------------------------------------------------------
 
 def test_extraction_on_held_out_layouts():
@@ -492,6 +599,28 @@ def test_extraction_of_a_page_and_edges(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_extraction_of_unusual_and_long_pages(spark):
+    import time
+
+    body = "<article><h1>Title of it</h1><p>First paragraph goes on, and on, to its end.</p>{}<p>Last paragraph of the article, with more words in it.</p></article>"
+    for middle, want in (
+        ("<math><mi>energy equals mass times speed, squared.</mi></math>", "energy equals mass"), ("<object>A fallback text of some words, for the reader.</object>", "fallback text"),
+        ("<noscript><p>A picture of the house, seen from the road.</p></noscript>", "picture of the house"),
+    ):
+        text = extraction.main_text(body.format(middle), extraction.trained())
+        assert want in text and "Last paragraph" in text
+    for unclosed in ("<title>", "<textarea>", "<script>", "<svg>", "<canvas>"):
+        assert "Last paragraph" in extraction.main_text(body.format(unclosed), extraction.trained())
+    for part in ("<a b ", '<a b="', "<a =\'", "<!--", "<b>", "<div>", "<p>x", "<script>", "<b><div></b>"):
+        began = time.time()
+        extraction.blocks_of(part * (1_000_000 // len(part)))
+        assert time.time() - began < 60
+    rows = [(None, body.format(""), "a"), (None, body.format(""), "a"), (1, "x" * 1_000_000, "b")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = extraction.extract(df).collect()
+    assert len(got) == 3 and {r.text for r in got if r.page_id is None} == {extraction.main_text(body.format(""), extraction.trained())}
+
+
 def test_pipeline_stages_keep_their_columns(spark, tmp_path):
     import corpus_pipeline as cp
 
