@@ -70,7 +70,7 @@ def test_spans_take_lead_ins_and_prior_sentences(spark):
 
 
 def test_biographies_end_at_the_first_other_line(spark):
-    text = "Executive Officers of the Company\nIda Brix (44) has served as treasurer.\nOle Calder\nHe joined us (51) as counsel.\nWe sell Dunes to many.\nEdda (40) is a director."
+    text = "Executive Officers of the Company\nIda Brix (44) has served as treasurer.\nOle Calder\nHe joined us (51) as counsel.\nWe sell Dunes to many.\nDemand is high.\nEdda (40) is a director."
     got = spans_of(spark, text, "Ida", "Ole", "Dunes", "Edda")
     assert [got[w].exec_bio for w in ("Ida", "Ole", "Dunes", "Edda")] == [True, True, False, False]
 
