@@ -570,7 +570,8 @@ def test_a_notice_under_few_documents_of_a_host_is_found_whole(spark):
         rows = [(i, "\n".join([prose(rng, 9 * n_lines), *notice]), "h") for i in range(200)]
         got = quality.quality(docs(spark, rows)).agg(F.sum("n_boilerplate_words").alias("n"), F.count_if("kept").alias("k")).first()
         assert got.n == 200 * n_lines * 8 and got.k == 200
-    one = [(i, "\n".join(prose(random.Random(3), 30) + f" {k}" for k in range(5)), "h") for i in range(500)]  # copies of one text count once
+    text = "\n".join(prose(rng, 30) for _ in range(5))
+    one = [(i, text, "h") for i in range(500)]  # copies of one text count once
     assert quality.quality(docs(spark, one)).where("n_boilerplate_words > 0 or not kept").count() == 0
 
 
