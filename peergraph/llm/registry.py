@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from peergraph.llm import bpe, extraction, mixing, pitman_yor, quality, secrets, simhash, substrings, toolcalls, topk
+from peergraph.llm import bpe, divergence, extraction, mixing, pitman_yor, quality, quantization, secrets, simhash, substrings, toolcalls, topk
+from peergraph.llm import registry_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,11 +79,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source")).select(
+        "lang", "source", "part", "item", "value", "rank"
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = quantization.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return quantization.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(quantization.books_sha256(books)).alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_byte_bpe, op5_chat_format, op6_pitman_yor,
         op7_substring_dedup, op8_simhash, op9_quality_rules,
-        op10_html_extraction,
+        op10_html_extraction, op12_source_divergence, op13_vector_codes,
     )
 }
 
@@ -186,4 +200,6 @@ select conv_id, turn, coalesce(role, '') as role, turn as anchor, 0::int as leve
        0::bigint as n_calls, 0::bigint as n_answered, 0::bigint as n_invalid, 'plain' as status, '' as errors,
        '{"content":' || to_json(coalesce(text, ''))::varchar || ',"role":' || to_json(coalesce(role, ''))::varchar || '}' as message
 from conversations""",
+    "op12_source_divergence": registry_sql.SOURCE_DIVERGENCE,
+    "op13_vector_codes": registry_sql.VECTOR_CODES,
 }
