@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from peergraph.llm import bpe, divergence, extraction, mixing, pitman_yor, quality, quantization, secrets, simhash, substrings, toolcalls, topk
+from peergraph.llm import bpe, divergence, extraction, mixing, pitman_yor, quality, quantization, secrets, simhash, substrings, suffixes, toolcalls, topk
 from peergraph.llm import registry_sql
 
 
@@ -79,6 +79,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"]).cast("long"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source")).select(
         "lang", "source", "part", "item", "value", "rank"
@@ -96,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_secret_scan, op3_exact_topk, op4_byte_bpe, op5_chat_format, op6_pitman_yor,
         op7_substring_dedup, op8_simhash, op9_quality_rules,
-        op10_html_extraction, op12_source_divergence, op13_vector_codes,
+        op10_html_extraction, op11_suffix_dedup, op12_source_divergence, op13_vector_codes,
     )
 }
 
