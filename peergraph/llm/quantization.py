@@ -60,7 +60,7 @@ def columnar(rows: list[list[int]], width: int) -> np.ndarray:
 
 def _column(arrays: pa.Array, width: int) -> np.ndarray:
     lengths = np.diff(arrays.offsets.to_numpy())
-    if len(lengths) and (lengths == width).all():
+    if width and len(lengths) and (lengths == width).all():
         return np.ascontiguousarray(arrays.flatten().to_numpy().reshape(-1, width).T)
     return columnar(arrays.to_pylist(), width)
 
@@ -163,7 +163,7 @@ def compress(
     width = dims * parts
     first = whole.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()
     books = columnar([r["v"] for r in first], width).reshape(parts, dims, len(first)).transpose(0, 2, 1).copy()
-    if first:
+    if first and width:
         blocks = scratch.table(whole.select("v").mapInArrow(_blocks(width), "n int, block binary"), "blocks")
         books = learn(blocks, books, rounds)
         scratch.drop("blocks")
