@@ -25,12 +25,17 @@ def _filings(spark, sf_dir) -> DataFrame:
     return es.day_zero(e, _calendar(spark, sf_dir))
 
 
-def _series(spark, sf_dir) -> DataFrame:
-    """(ticker, day, e): a user's total value on a calendar day less the mean of all users that day."""
+def daily_values(spark, sf_dir) -> DataFrame:
+    """(ticker, day, v): a user's total value on a calendar day, in thousandths."""
     days = _calendar(spark, sf_dir)
-    daily = _events(spark, sf_dir).join(F.broadcast(days), F.to_date("ts") == F.col("date")).groupBy(F.col("user_id").alias("ticker"), "day").agg(
+    return _events(spark, sf_dir).join(F.broadcast(days), F.to_date("ts") == F.col("date")).groupBy(F.col("user_id").alias("ticker"), "day").agg(
         (F.sum(F.floor(F.col("value") * 1000 + 0.5)) / F.lit(1000.0)).alias("v")
     )
+
+
+def _series(spark, sf_dir) -> DataFrame:
+    """(ticker, day, e): a user's total value on a calendar day less the mean of all users that day."""
+    daily = daily_values(spark, sf_dir)
     mean = daily.groupBy("day").agg(F.avg("v").alias("m"))
     return daily.join(F.broadcast(mean), "day").select("ticker", "day", (F.col("v") - F.col("m")).alias("e"))
 
