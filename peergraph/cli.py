@@ -40,7 +40,7 @@ def run_stage(name: str, run: stages.Run, args: argparse.Namespace) -> None:
         "embed": lambda: stages.stage_embed(run, models), "neighbours": lambda: stages.stage_neighbours(run), "evaluate": lambda: stages.stage_evaluate(run),
         "mentions": lambda: stages.stage_mentions(run, _aliases(spark, args.aliases), []), "candidates": lambda: stages.stage_candidates(run, args.variant or run.config.methods[0].name),
         "judge": lambda: stages.stage_judge(run, given or stages.cx.keyword_scorer), "export": lambda: stages.stage_export(run),
-        "run": lambda: stages.run_all(run, given, table=table, aliases=_aliases(spark, args.aliases)),
+        "run": lambda: stages.run_all(run, given, listed=table, aliases=_aliases(spark, args.aliases)),
     }
     work[name]()
 
@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
     query = commands.add_parser("query", help="run a query and show it, write it, or print its plan")
     query.add_argument("name", choices=list(catalogue.QUERIES))
     query.add_argument("tables", help="folder of the Parquet tables")
-    query.add_argument("--out", help="folder for the result; it is swapped in when it is complete")
+    query.add_argument("--out", help="new folder for the result")
     query.add_argument("--plan", action="store_true", help="print the physical plan only")
     query.add_argument("--rows", type=int, default=20, help="rows to show")
     stage = commands.add_parser("stage", help="run a stage of a run, or all of them")
@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None) -> None:
         if args.plan:
             result.explain("formatted")
         elif args.out:
-            artifacts.publish(result, args.out)
+            result.write.parquet(args.out)
         else:
             print(artifacts.markdown(result, args.rows))
         return

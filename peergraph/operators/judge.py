@@ -42,6 +42,8 @@ def judge_cached(asked: DataFrame, cache: DataFrame, scorer: Callable[[list[str]
     (None) gives no scores and is not cached; without a scorer only the cache answers.
     """
     schema = "input_hash string, scores map<string,double>"
+    # the cache is appended to, so runs that met may have written a hash twice
+    cache = cache.groupBy("input_hash").agg(F.min_by("scores", F.to_json("scores")).alias("scores"))
     new = asked.sparkSession.createDataFrame([], schema)
     if scorer is not None:
         todo = asked.select("input_hash", "payload").dropDuplicates(["input_hash"]).join(cache, "input_hash", "left_anti")
@@ -55,7 +57,7 @@ def judge_cached(asked: DataFrame, cache: DataFrame, scorer: Callable[[list[str]
                 yield pd.DataFrame(rows, columns=["input_hash", "scores"])
 
         new = todo.mapInPandas(run, schema)
-    return asked.join(cache.select("input_hash", "scores").unionByName(new), "input_hash", "left"), new
+    return asked.join(cache.unionByName(new), "input_hash", "left"), new
 
 
 def unit_decisions(judged: DataFrame, thresholds: dict[str, tuple[float, float]], default: tuple[float, float] = (0.8, 0.2)) -> DataFrame:

@@ -72,6 +72,7 @@ def embed_with_cache(texts: DataFrame, text: str, cache: DataFrame, model: Calla
     Only distinct texts that the cache (text_key, vector) lacks reach the model, in Arrow batches.
     """
     keyed = texts.withColumn("text_key", F.sha2(F.col(text).cast("binary"), 256))
+    cache = cache.groupBy("text_key").agg(F.min("vector").alias("vector"))  # it is appended to: runs that met may have written a key twice
     todo = keyed.select("text_key", F.col(text).alias("t")).where("t is not null").dropDuplicates(["text_key"]).join(cache, "text_key", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,4 +82,4 @@ def embed_with_cache(texts: DataFrame, text: str, cache: DataFrame, model: Calla
 
     new = todo.mapInArrow(run, "text_key string, vector array<double>")
     new = new.withColumn("vector", l2_normalize(F.col("vector")))
-    return keyed.join(cache.select("text_key", "vector").unionByName(new), "text_key", "left"), new
+    return keyed.join(cache.unionByName(new), "text_key", "left"), new

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peergraph.operators.judge import shown_interval, significant
-from peergraph.sources import artifacts
+from peergraph.sources import snapshots
 
 #: What a quality note says, by its code; ``%s`` is the value after the colon.
 NOTES = {
@@ -170,7 +170,7 @@ def evaluation_report(tables: dict[str, DataFrame]) -> str:
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file on any file system that Spark knows."""
-    target, fs = artifacts._fs(spark, path)
+    target, fs = snapshots.hadoop_path(spark, path), snapshots.filesystem(spark, path)
     out = fs.create(target, True)
     try:
         out.write(bytearray(text.encode()))

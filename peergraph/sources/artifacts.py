@@ -4,63 +4,40 @@ from __future__ import annotations
 
 import json
 import math
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from peergraph.sources import snapshots
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-ASIDE = ".replaced"
-
-
-def set_aside(spark: SparkSession, path: str) -> None:
-    """Move the table at ``path`` to where :func:`load` still finds it."""
-    target, fs = _fs(spark, path)
-    old, _ = _fs(spark, path.rstrip("/") + ASIDE)
-    fs.delete(old, True)
-    if not fs.rename(target, old):
-        raise OSError(f"{path} cannot be moved aside")
+#: The table in the snapshots of a single table.
+TABLE = "rows"
 
 
 def load(spark: SparkSession, path: str, stage: str) -> DataFrame:
-    """The table at ``path``, or an error that names the stage to run first.
+    """The table at ``path`` as it is now, or an error that names the stage to run first.
 
-    Where a publisher died between its two renames, the table it had moved aside is put back.
+    A published table is pinned: what is published later does not change it.  A cache is a
+    plain folder that rows are appended to.
     """
-    p, fs = _fs(spark, path)
-    old, _ = _fs(spark, path.rstrip("/") + ASIDE)
-    if not fs.exists(p) and fs.exists(old):
-        fs.rename(old, p)
-    if not fs.exists(p):
+    if found := snapshots.read(spark, path):
+        return found.table(TABLE)
+    fs = snapshots.filesystem(spark, path)
+    if not fs.exists(snapshots.hadoop_path(spark, path)) or fs.exists(snapshots.hadoop_path(spark, f"{path}/data")):
         raise FileNotFoundError(f"{path} is missing: run `{stage}` first")
     return spark.read.parquet(path)
 
 
-def publish(df: DataFrame, path: str, checks: DataFrame | None = None) -> None:
-    """Write beside ``path``, check, then swap by renames: :func:`load` finds the old table or the new one, whole, at any time.
+def publish(df: DataFrame, path: str, checks: DataFrame | None = None) -> DataFrame:
+    """A new version of the table at ``path``, returned as it is read back.
 
-    ``checks`` (check, n) must be zero throughout.  The old table is moved aside and deleted
-    only when the new one is in its place.
+    ``checks`` (check, n) must be zero throughout.  Readers keep the version they have; of
+    older ones the last stays, and others for a day (:func:`snapshots.vacuum`).
     """
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}"
-    df.write.parquet(staged)
-    source, fs = _fs(spark, staged)
-    if checks is not None and (bad := checks.where("n > 0").collect()):
-        fs.delete(source, True)
-        raise ValueError("integrity: " + ", ".join(f"{r['check']}={r['n']}" for r in bad))
-    target, _ = _fs(spark, path)
-    old, _ = _fs(spark, path.rstrip("/") + ASIDE)
-    if fs.exists(target):
-        set_aside(spark, path)
-    if not fs.rename(source, target):
-        raise OSError(f"{staged} cannot be moved to {path}")
-    fs.delete(old, True)
+    made = snapshots.publish(spark, path, {TABLE: df}, checks=None if checks is None else lambda _: checks)
+    snapshots.vacuum(spark, path)
+    return made.table(TABLE)
 
 
 def append_cache(cache_path: str, new: DataFrame) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peergraph import reports
@@ -23,8 +23,11 @@ from peergraph.operators import graph as gr
 from peergraph.operators import judge as jg
 from peergraph.operators import judged as jd
 from peergraph.operators import pairs as pr
+from peergraph.operators import reviews as rv
+from peergraph.operators import scoring as sc
 from peergraph.operators import vectors as vec
-from peergraph.sources import artifacts, universe
+from peergraph.sources import artifacts, snapshots, universe
+from peergraph.sources.scratch import table
 
 CENTER = "+center"
 
@@ -42,8 +45,7 @@ class Run:
         return artifacts.load(self.spark, self.path(name), stage)
 
     def publish(self, df: DataFrame, name: str, checks: DataFrame | None = None) -> DataFrame:
-        artifacts.publish(df, self.path(name), checks)
-        return self.spark.read.parquet(self.path(name))
+        return artifacts.publish(df, self.path(name), checks)
 
 
 def neighbours_path(variant: str, ensembles: list[str]) -> str:
@@ -54,10 +56,10 @@ def neighbours_path(variant: str, ensembles: list[str]) -> str:
     return f"methods/{name}/neighbours{'_center' if variant != name else ''}"
 
 
-def stage_universe(run: Run, table: DataFrame | None = None, tickers: DataFrame | None = None) -> DataFrame:
+def stage_universe(run: Run, listed: DataFrame | None = None, tickers: DataFrame | None = None) -> DataFrame:
     """The companies, from a table or the configured CSV file."""
     own = run.config.universe
-    source = universe.load_csv(run.spark, own.path, tickers) if own.kind == "csv" else table
+    source = universe.load_csv(run.spark, own.path, tickers) if own.kind == "csv" else listed
     if source is None:
         raise ValueError("a universe of kind table needs a table")
     return run.publish(universe.build_universe(source, own.tickers, own.limit), "universe")
@@ -199,12 +201,23 @@ def stage_mentions(run: Run, aliases: DataFrame, generic: list[str], rules: list
     return found
 
 
+def ranked(run: Run, variant: str) -> DataFrame:
+    """(i, j, s, percentile, rank) of every ordered pair of a variant or ensemble."""
+    from peergraph.operators import research as rs
+
+    ensembles = {e.name: e.members for e in run.config.ensembles}
+    pairs = pr.symmetrise(pr.pair_percentiles(rs.similarity_for(variant, similarities(run), ensembles)))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "j")))
+
+
 def stage_candidates(run: Run, variant: str, top_k: int = 20, most: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs from text ranks and mentions, and the spans of each that a judge reads."""
-    ranks = run.load(neighbours_path(variant, [e.name for e in run.config.ensembles]), "neighbours")
+    """Candidate pairs from text ranks and mentions, and the spans of each that a judge reads.
+
+    Ranks come from the whole similarity matrix: a pair found by a mention keeps its rank and percentile.
+    """
     node = lambda c: F.concat(F.lit("cik:"), F.col(c).cast("string"))
     told = run.load("relations/mentions", "mentions")
-    cands = gr.build_candidates(ranks.select(node("cik").alias("a"), node("neighbor_cik").alias("b"), "rank", F.col("percentile").alias("pct")), told, top_k)
+    cands = gr.build_candidates(ranked(run, variant).select(node("i").alias("a"), node("j").alias("b"), "rank", F.col("percentile").alias("pct")), told, top_k)
     spans = run.load("relations/spans", "mentions")
     live = told.where("excluded is null").select("span_id", "doc_node", "target_node").distinct().withColumn("pair_key", gr.pair_key(F.col("doc_node"), F.col("target_node")))
     cue = F.coalesce(F.try_element_at(mn.span_cues(F.col("text")), F.lit(1)), F.lit("none"))
@@ -228,21 +241,61 @@ def stage_judge(run: Run, scorer: Callable[[list[str]], list[dict[str, float] |
     return run.publish(judged.select("unit_id", "input_hash", "scores"), "relations/judged")
 
 
-def stage_export(run: Run) -> dict[str, DataFrame]:
-    """The graph: edges and evidence from the judged units, published only if every reference holds."""
-    told, spans, nodes = (run.load(f"relations/{n}", "mentions") for n in ("mentions", "spans", "nodes"))
-    cands, judged = run.load("relations/candidates", "candidates"), run.load("relations/judged", "judge")
+def _timing(scores: Column) -> Column:
+    """The likeliest answer on when a relation holds: its scores have the keys ``status:<choice>``."""
+    choices = F.map_entries(F.map_filter(scores, lambda k, v: k.startswith("status:") & v.isNotNull()))
+    best = F.array_max(F.transform(choices, lambda e: F.struct(e["value"].alias("p"), e["key"].alias("k"))))
+    return F.when(F.size(choices) > 0, F.substring(best["k"], len("status:") + 1, 100))
+
+
+def reviewed(run: Run, edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``edges`` with review_state from the newest edge review, where there is a log of them."""
+    try:
+        log = run.load("reviews/edges", "review")
+    except FileNotFoundError:
+        return edges.withColumn("review_state", F.lit(None).cast("string"))
+    newest = sc.latest(log, ["edge_id"], "review_id").select("edge_id", "verdict", F.col("evidence_hash").alias("_seen"))
+    now = gr.evidence_hash(edges, evidence)
+    return edges.join(newest, "edge_id", "left").join(now, "edge_id").withColumn("review_state", gr.review_state(F.col("verdict"), F.col("_seen"), F.col("evidence_hash"))).drop("verdict", "_seen", "evidence_hash")
+
+
+def stage_export(run: Run) -> snapshots.Snapshot:
+    """The graph: all its tables as one version, published only if every reference holds.
+
+    Every live unit counts: one that was asked without an answer keeps its pair pending.
+    Reviews of edges overlay the judge; a review of other evidence asks for another look.
+    """
+    told, spans, nodes, figures = (run.load(f"relations/{n}", "mentions") for n in ("mentions", "spans", "nodes", "figures"))
+    cands, cand_spans = run.load("relations/candidates", "candidates"), run.load("relations/candidate_spans", "candidates")
+    docs, judged = run.load("documents", "documents").where("accession is not null"), run.load("relations/judged", "judge")
     limits = {q: (run.config.threshold(q).accept, run.config.threshold(q).reject) for q in jd.QUESTIONS}
-    units = gr.all_units(told).join(judged.select("unit_id", "scores"), "unit_id").join(spans.select("span_id", "accession", "text"), "span_id").withColumn("timing", F.lit(None).cast("string"))
-    units = jg.unit_decisions(units, limits)
+    asked = gr.all_units(told).join(judged.select("unit_id", "input_hash", "scores"), "unit_id", "left")
+    texts = spans.select("span_id", "accession", rv.full_text(F.col("text"), F.col("lead_text")).alias("text"))
+    units = table(jg.unit_decisions(asked.withColumn("timing", _timing(F.col("scores"))), limits).join(texts, "span_id"), "units")
     edges, evidence = gr.build_edges(units, list(jd.RELATIONS))
-    edges = run.publish(edges, "graph/edges_unchecked")
-    evidence = run.publish(evidence, "graph/evidence_unchecked")
-    checks = gr.integrity(nodes, edges, evidence, spans, cands)
-    out = {"edges": run.publish(edges, "graph/edges", checks), "evidence": run.publish(evidence, "graph/evidence")}
-    status = gr.candidate_status(cands, units.select("pair_key", F.lit(True).alias("judged")), edges.withColumn("review_state", F.lit(None).cast("string")))
-    out["candidates"] = run.publish(cands.drop("status").join(status, "pair_key"), "graph/candidates")
-    return out
+    evidence = table(evidence, "evidence")
+    edges = table(reviewed(run, edges, evidence), "edges")
+    status = gr.candidate_status(cands, asked.select("pair_key", F.col("scores").isNotNull().alias("judged")), edges)
+    node = F.concat(F.lit("cik:"), F.col("cik").cast("string")).alias("node_id")
+    tables = {
+        "nodes": nodes, "spans": spans, "mentions": told, "figures": figures, "candidate_spans": cand_spans, "edges": edges, "edge_evidence": evidence,
+        "filings": docs.select("accession", node, "period").dropDuplicates(["accession"]),
+        "documents": docs.select("accession", "section", "status", mn.text_hash(F.col("text")).alias("text_hash"), "text"),
+        "candidates": cands.drop("status").join(status, "pair_key"), "unit_judgements": units.drop("scores", "text"),
+    }
+    counted = asked.agg(F.count(F.lit(1)).alias("n"), F.count("scores").alias("judged")).first()
+    decisions = {f"{r['relation']}:{r['decision']}": r["n"] for r in edges.groupBy("relation", "decision").agg(F.count(F.lit(1)).alias("n")).collect()}
+    meta = {"name": run.config.name, "units": {"total": counted["n"], "judged": counted["judged"]}, "edges": decisions}
+    checks = lambda t: gr.integrity(t["nodes"], t["edges"], t["edge_evidence"], t["spans"], t["candidates"])
+    return snapshots.publish(run.spark, run.path("graph"), tables, meta, checks)
+
+
+def graph(run: Run, version: int | None = None) -> snapshots.Snapshot:
+    """A version of the graph of a run, the newest by default."""
+    found = snapshots.read(run.spark, run.path("graph"), version)
+    if found is None:
+        raise FileNotFoundError(f"{run.path('graph')} is missing: run `export` first")
+    return found
 
 
 def stage_evaluate_judge(run: Run, units: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
@@ -250,10 +303,10 @@ def stage_evaluate_judge(run: Run, units: DataFrame, log: DataFrame) -> dict[str
     judged = run.load("relations/judged", "judge").withColumn("choice", F.lit(None).cast("string"))
     limits = {q: (run.config.threshold(q).accept, run.config.threshold(q).reject) for q in jd.QUESTIONS}
     default = run.config.default_threshold
-    table = run.publish(jd.unit_table(jd.labelled_units(units, log), judged, (default.accept, default.reject), limits), "evaluation/units")
-    tables = jd.evaluate(table)
+    scored = run.publish(jd.unit_table(jd.labelled_units(units, log), judged, (default.accept, default.reject), limits), "evaluation/units")
+    tables = jd.evaluate(scored)
     reports.write_text(run.spark, run.path("reports/judge.md"), reports.evaluation_report(tables))
-    reports.write_disagreements(jd.disagreements(table), run.path("reports/disagreements.csv"))
+    reports.write_disagreements(jd.disagreements(scored), run.path("reports/disagreements.csv"))
     return tables
 
 
@@ -265,8 +318,7 @@ def views(run: Run, kind: str, ticker: str) -> DataFrame:
         raise ValueError(f"unknown ticker: {ticker}")
     node = own.select(F.concat(F.lit("cik:"), F.col("cik").cast("string")).alias("node"))
     if kind == "neighbours":
-        first = similarities(run)
-        name = next(iter(first))
+        name = run.config.methods[0].name
         return run.load(neighbours_path(name, []), "neighbours").join(own.select("cik"), "cik", "left_semi").orderBy("rank")
     if kind == "mentions":
         told, spans = run.load("relations/mentions", "mentions").where("excluded is null"), run.load("relations/spans", "mentions").select("span_id", "text")
@@ -280,9 +332,9 @@ def views(run: Run, kind: str, ticker: str) -> DataFrame:
     return a.unionByName(b).orderBy(F.col("rank").isNull(), "rank", "partner")
 
 
-def run_all(run: Run, fetch, models=None, table: DataFrame | None = None, aliases: DataFrame | None = None, scorer=cx.keyword_scorer, min_chars: int = 1_000) -> dict[str, DataFrame]:
+def run_all(run: Run, fetch, models=None, listed: DataFrame | None = None, aliases: DataFrame | None = None, scorer=cx.keyword_scorer, min_chars: int = 1_000) -> snapshots.Snapshot:
     """Every stage in order, from the universe to the graph; without aliases, names of the universe alone."""
-    stage_universe(run, table)
+    stage_universe(run, listed)
     stage_ingest(run, fetch)
     stage_documents(run, min_chars)
     stage_embed(run, models)

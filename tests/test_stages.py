@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from peergraph import cli, config, reports, stages
 from peergraph.operators import contexts as cx
 from peergraph.operators import years as yr
+from peergraph.sources import artifacts
 from peergraph.sources import earnings as er
 
 FIRMS = [(1, "AA", "Alder Inc."), (2, "BB", "Birch Corp."), (3, "CC", "Cedar Group"), (4, "DD", "Dogwood plc"), (5, "EE", "Elm Company")]
@@ -44,15 +45,42 @@ def test_a_run_goes_from_filings_to_the_graph(run, spark):
     assert {x.status for x in r.load("documents", "").where("cik < 5").collect()} == {"ok"}
     assert sorted(x.neighbor_cik for x in r.load("methods/words/neighbours", "").where("cik = 1 and rank = 1").collect()) == [3]
     assert r.load("ensembles/both/neighbours", "").count() == 4 * 2 and r.load("methods/model/neighbours_center", "").count() == 4 * 2
-    kinds = {(x.src, x.dst, x.relation, x.decision) for x in graph["edges"].collect()}
+    kinds = {(x.src, x.dst, x.relation, x.decision) for x in graph.table("edges").collect()}
     assert ("cik:1", "cik:2", "competitor", "accepted") in kinds and ("cik:1", "cik:3", "business", "accepted") in kinds
-    assert {x.status for x in graph["candidates"].collect()} <= {"accepted", "uncertain", "similar", "rejected"}
+    assert {x.status for x in graph.table("candidates").collect()} <= {"accepted", "uncertain", "similar", "rejected"}
+    assert len(graph.tables) == 11 and graph.meta["units"]["total"] == graph.meta["units"]["judged"] > 0
+    # every ordered pair has a rank, also those beyond the neighbour table
+    assert graph.table("candidates").where("source <> 'mention' and (rank_ab is null or rank_ba is null)").isEmpty() and graph.table("candidates").agg(F.max("rank_ab")).first()[0] == 3
     metrics = json.loads("".join(x.value for x in spark.read.text(r.path("metrics.json")).collect()))
     assert {m["metric"] for m in metrics} == {"auc", "p@1", "p@2", "random", "n"}
     with pytest.raises(FileNotFoundError, match="judge"):
         stages.Run(spark, r.config, r.path("nowhere")).load("relations/judged", "judge")
 
 
+def test_reviews_overlay_the_graph_and_open_units_stay_pending(run, spark):
+    r, first = run
+    edge = first.table("edges").where("src = 'cik:1' and dst = 'cik:2' and relation = 'competitor'").first()
+    seen = {x.edge_id: x.evidence_hash for x in stages.gr.evidence_hash(first.table("edges"), first.table("edge_evidence")).collect()}
+    own = stages.Run(spark, r.config, r.folder)
+    log = [(1, edge.edge_id, "accept", seen[edge.edge_id]), (2, edge.edge_id, "reject", seen[edge.edge_id]), (3, "business|cik:1|cik:3", "accept", "other")]
+    artifacts.append_cache(own.path("reviews/edges"), spark.createDataFrame(log, "review_id long, edge_id string, verdict string, evidence_hash string"))
+    # a judge that fails on all that is said of one pair, and knows when relations hold
+    judged = own.load("relations/judged", "judge")
+    silent = judged.where("unit_id like '%cik:2'").select("unit_id")
+    answered = judged.join(silent, "unit_id", "left_anti").withColumn("scores", F.map_concat("scores", F.create_map(F.lit("status:current"), F.lit(0.2), F.lit("status:historical"), F.lit(0.7))))
+    own.publish(answered.unionByName(judged.join(silent, "unit_id").withColumn("scores", F.lit(None).cast("map<string,double>"))), "relations/judged")
+    graph = stages.stage_export(own)
+    states = {x.edge_id: (x.review_state, x.status) for x in graph.table("edges").collect()}
+    assert states["business|cik:1|cik:3"] == ("needs_recheck", "historical")
+    pairs = {x.pair_key: x.status for x in graph.table("candidates").collect()}
+    assert "pending" in pairs.values() and graph.meta["units"]["judged"] < graph.meta["units"]["total"]
+    assert first.table("edges").where("review_state is not null").isEmpty() and graph.version == first.version + 1  # the first reader keeps its graph
+    own.publish(judged, "relations/judged")
+    again = stages.stage_export(own)
+    assert {x.edge_id: x.review_state for x in again.table("edges").collect()}[edge.edge_id] == "rejected"
+    assert stages.graph(own, first.version).version == first.version and stages.graph(own).version == again.version
+
+
 def test_views_and_command_line(run, spark, capsys, monkeypatch, tmp_path):
     r, _ = run
     assert {x.way for x in stages.views(r, "mentions", "aa").collect()} == {"in", "out"}

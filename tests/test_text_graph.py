@@ -17,8 +17,8 @@ def col(spark, values, f):
 
 
 def test_line_rules(spark):
-    assert col(spark, ["12", "K-3", "- 4 -", "Page 7", "Table of Contents", "Part IV", "Apple Inc. | 2024 Form 10-K | 5", "We sell 12"], tx.is_page_marker) == [True] * 7 + [False]
-    assert col(spark, ["North America186,751CCB141,640", "We sold 12 of 15 units.", "1 2 3"], tx.is_table_row) == [True, False, True]
+    assert col(spark, ["12", "K-3", "- 4 -", "Page 7", "Table of Contents", "Part IV", "Birch Paper Co. | 2023 Form 10-K | 31", "We sell 12"], tx.is_page_marker) == [True] * 7 + [False]
+    assert col(spark, ["Mills and forests92,410Sawn timber7,305", "Of 9 mills, 7 run at night.", "1 2 3"], tx.is_table_row) == [True, False, True]
     assert col(spark, ["Item 1A. Risk Factors", "ITEM I", "PART IItem 1A", "Items 1 and 2", "Item 10", "x" * 120, "Sales"], tx.item_token) == ["1a", "1", "1a", "1", "10", None, None]
 
 
@@ -93,9 +93,9 @@ def test_mention_tables_name_anonymous_parties_and_skip_the_filer(spark):
 
 
 def test_figures_and_names(spark):
-    df = spark.createDataFrame([("Customer A, represented 13% of total revenue for fiscal 2024.", 1), ("10% or more of our net sales each", 2), ("5% and 6% of sales in 2023 and 2024", 1)], "t string, n int")
+    df = spark.createDataFrame([("One buyer of pulp made up 17% of our revenue in fiscal 2022.", 1), ("10% or more of our net sales each", 2), ("5% and 6% of sales in 2023 and 2024", 1)], "t string, n int")
     got = [r.f for r in df.select(mn.parse_figures(F.col("t"), F.col("n")).alias("f")).collect()]
-    assert (got[0][0].value, got[0][0].operator, got[0][0].period) == (13.0, "=", "2024")
+    assert (got[0][0].value, got[0][0].operator, got[0][0].period) == (17.0, "=", "2022")
     assert (got[1][0].subject, got[1][0].operator) == ("each", ">=") and got[2][0].value is None
     assert col(spark, ["Amazon.com, Inc.", "Target Corporation", "Coca-Cola Company (The)"], nm.strip_name) == ["Amazon.com", "Target", "Coca-Cola"]
     assert col(spark, ["Kroger (The)", "Alphabet (Class A)"], mn.display_name) == ["The Kroger", "Alphabet"]
@@ -151,8 +151,6 @@ def test_sources(spark, tmp_path):
     assert artifacts.load(spark, path, "ingest").count() == 6
     with pytest.raises(FileNotFoundError, match="ingest"):
         artifacts.load(spark, path + "x", "ingest")
-    artifacts.set_aside(spark, path)  # a crash between the two renames
-    assert artifacts.load(spark, path, "ingest").count() == 6
     artifacts.publish(rows.limit(1), path)
     assert artifacts.load(spark, path, "ingest").count() == 1 and sorted(p.name for p in tmp_path.iterdir()) == ["t", "u.csv"]
     with pytest.raises(ValueError, match="bad=1"):
