@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peergraph.operators import quadratic
+
 
 def gram(pairs: DataFrame, xs: list[str], y: str, weight: str | None = None) -> DataFrame:
     """One row: the sums of products of (1, xs, y), named ``a*b``; the size is that of the design."""
@@ -84,15 +86,15 @@ def z_scored(pairs: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def regression_bootstrap(pairs: DataFrame, xs: list[str], y: str, weights: DataFrame, level: float = 0.95) -> DataFrame:
-    """(name, lo, hi): one weighted gram per draw in a single aggregation, solved on the driver."""
+    """(name, lo, hi): the sums of products of every draw as quadratic forms, solved on the driver, one small system a draw."""
     spark = pairs.sparkSession
-    wi = weights.select("b", F.col("firm_idx").alias("i"), F.col("w").alias("wi"))
-    wj = weights.select("b", F.col("firm_idx").alias("j"), F.col("w").alias("wj"))
-    drawn = pairs.dropna(subset=[*xs, y]).join(wi, "i").join(wj, ["b", "j"]).withColumn("_w", (F.col("wi") * F.col("wj")).cast("double"))
     terms = ["1", *xs, y]
     value = {t: F.lit(1.0) if t == "1" else F.col(t).cast("double") for t in terms}
-    grams = drawn.groupBy("b").agg(*[F.sum(F.col("_w") * value[a] * value[b]).alias(f"{a}*{b}") for i, a in enumerate(terms) for b in terms[i:]])
-    coefs = [solve(r, xs, y) for r in grams.collect()]  # one small row per draw
+    cells = {f"{a}*{b}": value[a] * value[b] for n, a in enumerate(terms) for b in terms[n:]}
+    whole = pairs.dropna(subset=[*xs, y]).select("i", "j", *[v.alias(f"c{n}") for n, v in enumerate(cells.values())])
+    packed = quadratic.draws(weights.select("b", F.col("firm_idx").alias("firm"), "w"))
+    grams = quadratic.pair_sums(whole, packed, [], [f"c{n}" for n in range(len(cells))]).where("c0 > 0")
+    coefs = [solve(r, xs, y) for r in grams.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(cells)]).collect()]  # one small row per draw
     tail = (1 - level) / 2 * 100
     rows = []
     for t in ["1", *xs]:

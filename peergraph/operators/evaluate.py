@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from peergraph.operators import quadratic
 from peergraph.operators.ranking import average_ranks, positions
 
 
@@ -125,14 +126,11 @@ def bootstrap_mean(values: DataFrame, weights: DataFrame, by: list[str], value:
 
 
 def pair_bootstrap_mean(pairs: DataFrame, weights: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
-    """(by, mean, lo, hi): a pair counts w_i * w_j times in a draw."""
+    """(by, mean, lo, hi): a pair counts w_i * w_j times in a draw; ``weights`` has b, firm_idx, w."""
     tail = (1 - level) / 2
-    wi = weights.select("b", F.col("firm_idx").alias("i"), F.col("w").alias("wi"))
-    wj = weights.select("b", F.col("firm_idx").alias("j"), F.col("w").alias("wj"))
-    own = pairs.where(F.col(value).isNotNull())
-    draws = own.join(wi, "i").join(wj, ["b", "j"]).groupBy(*by, "b").agg(
-        (F.sum(F.col("wi") * F.col("wj") * F.col(value)) / F.sum(F.col("wi") * F.col("wj"))).alias("m")
-    )
+    own = pairs.where(F.col(value).isNotNull()).withColumn("_one", F.lit(1.0))
+    sums = quadratic.pair_sums(own, quadratic.draws(weights.select("b", F.col("firm_idx").alias("firm"), "w")), by, [value, "_one"])
+    draws = sums.where("_one > 0").withColumn("m", F.col(value) / F.col("_one"))
     bounds = draws.groupBy(*by).agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1 - tail)).alias("hi"))
     return own.groupBy(*by).agg(F.avg(value).alias("mean")).join(bounds, by, "left")
 
