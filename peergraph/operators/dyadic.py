@@ -1,4 +1,4 @@
-"""Pair-level regressions from normal equations that Spark sums and the driver solves."""
+"""Pair-level regressions from normal equations that Spark sums and the driver solves; company effects are in :mod:`effects`."""
 
 from __future__ import annotations
 
@@ -43,42 +43,6 @@ def ols(pairs: DataFrame, xs: list[str], y: str, weight: str | None = None) -> d
     return solve(gram(pairs, xs, y, weight).first(), xs, y)
 
 
-def firm_effects_ols(pairs: DataFrame, xs: list[str], y: str, weight: str | None = None, most: int = 3_000) -> dict[str, float | None]:
-    """OLS with an additive effect of both firms, y = x b + a_i + a_j (minimum-norm solution).
-
-    Three aggregations give the normal equations: among the covariates, by firm, and the
-    pair weights themselves for the firm block.  That block has the square of the company
-    list's size, so companies are counted first and more than ``most`` are refused.
-    """
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    whole = pairs.dropna(subset=[*xs, y]).withColumn("_w", w)
-    row = gram(whole, xs, y, "_w").first()
-    n_firms = whole.select(F.explode(F.array("i", "j")).alias("f")).distinct().count()
-    if n_firms > most:
-        raise ValueError(f"{n_firms} companies: the firm block is solved on the driver for {most} at most")
-    both = whole.select(F.col("i").alias("f"), "_w", *xs, y).unionByName(whole.select(F.col("j").alias("f"), "_w", *xs, y))
-    sums = both.groupBy("f").agg(F.sum("_w").alias("n"), *[F.sum(F.col("_w") * F.col(c).cast("double")).alias(f"s_{c}") for c in [*xs, y]]).toPandas()
-    cells = whole.groupBy("i", "j").agg(F.sum("_w").alias("w")).toPandas()
-    firms = {f: n for n, f in enumerate(sorted(sums["f"]))}
-    k, m = len(xs), len(firms)
-    at = lambda a, b: row[f"{a}*{b}"] if f"{a}*{b}" in row.asDict() else row[f"{b}*{a}"]
-    xtx, xty = np.zeros((k + m, k + m)), np.zeros(k + m)
-    xtx[:k, :k] = [[at(a, b) for b in xs] for a in xs]
-    xty[:k] = [at(a, y) for a in xs]
-    for r in sums.itertuples(index=False):
-        p = k + firms[r.f]
-        xtx[p, p] += r.n
-        xty[p] += getattr(r, f"s_{y}")
-        for c, x in enumerate(xs):
-            xtx[p, c] = xtx[c, p] = getattr(r, f"s_{x}")
-    for i, j, v in cells.itertuples(index=False):
-        p, q = k + firms[i], k + firms[j]
-        xtx[p, q] += v
-        xtx[q, p] += v
-    coef, *_ = np.linalg.lstsq(xtx, xty, rcond=None)
-    return {x: (float(coef[n]) if at(x, x) > 0 else None) for n, x in enumerate(xs)}
-
-
 def z_scored(pairs: DataFrame, value: str, name: str) -> DataFrame:
     """``pairs`` with the population z-score of ``value``."""
     stats = pairs.agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))

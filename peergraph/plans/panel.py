@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peergraph.operators import dyadic, evaluate as ev, returns as rt
+from peergraph.operators import dyadic, effects, evaluate as ev, returns as rt
 
 MIN_OBS = 40
 
@@ -102,10 +102,29 @@ def pair_regression(spark, sf_dir):
 
 def firm_effects_regression(spark, sf_dir):
     """R18 with firm effects."""
-    coef = dyadic.firm_effects_ols(dyadic.z_scored(_design(spark, sf_dir), "raw", "z"), ["same_sub", "same_sector"], "y")
+    coef = effects.firm_effects(dyadic.z_scored(_design(spark, sf_dir), "raw", "z"), ["same_sub", "same_sector"], "y")[0]
     return spark.createDataFrame([(k, None if v is None else round(v, 5)) for k, v in coef.items()], "name string, value double")
 
 
+def firm_effects_boot(spark, sf_dir):
+    """R19 with firm effects: intervals of the coefficients over 200 draws of companies."""
+    out = effects.firm_effects_bootstrap(_design(spark, sf_dir), ["same_sub", "same_sector"], "y", _drawn(spark, sf_dir))
+    return out.select("name", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+
+
+def pair_regression_boot(spark, sf_dir):
+    """Intervals of the pair regression's coefficients over 200 draws of companies."""
+    weights = _drawn(spark, sf_dir).withColumnRenamed("firm", "firm_idx")
+    out = dyadic.regression_bootstrap(dyadic.z_scored(_design(spark, sf_dir), "raw", "z"), ["same_sub", "same_sector", "z"], "y", weights)
+    return out.select("name", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+
+
+def _drawn(spark, sf_dir):
+    """(b, firm, w) of 200 draws."""
+    names = ev.firm_numbers(_firms(spark, sf_dir), "ticker")
+    return ev.boot_weights(spark, names.count(), 200, 0).join(F.broadcast(names), "firm_idx").select("b", F.col("ticker").alias("firm"), "w")
+
+
 def pair_groups(spark, sf_dir):
     """Mutually informed masks, each pair in every group it belongs to."""
     d = _design(spark, sf_dir)
@@ -148,7 +167,7 @@ def coverage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        daily_returns, loo_market, market_beta, residuals, residual_corr, peer_corr_by_label, random_baseline, gram_matrix, pair_regression,
+        daily_returns, loo_market, market_beta, residuals, residual_corr, peer_corr_by_label, random_baseline, gram_matrix, pair_regression, firm_effects_boot, pair_regression_boot,
         firm_effects_regression, pair_groups, group_means_boot, lead_lag_corr, top_pairs, coverage,
     )
 }
