@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from peergraph.llm.common import fresh
 
-#: Entries after which a memo is emptied: both together stay below 50 MB in a worker.
-MEMO = 100_000
-MEMO_PAIRS = 200_000
+#: Entries after which a memo steps back for a new one; all four together stay below 150 MB in a worker.
+MEMO = 200_000
+MEMO_PAIRS = 400_000
 #: Longer pieces are encoded but not remembered.
 MEMO_PIECE = 48
 NO_RANK = 1 << 62
@@ -50,17 +50,24 @@ class PieceEncoder(dict):
         self.ranks = ranks
         self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         self.compatible: dict[int, bool] = {}
+        # what was remembered before the last time a memo was full
+        self.former: dict[str, bytes] = {}
+        self.former_compatible: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks.items():
             self.tokens[rank] = token
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
+        self.sizes = [len(t or b"") for t in self.tokens]
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.former.get(piece)
+        if packed is None:
+            ids = self.encode(piece.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= MEMO_PIECE:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO:  # pieces in use come back from the former memo
+                self.former = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -86,10 +93,12 @@ class PieceEncoder(dict):
         key = (before + 1) << 32 | after
         known = self.compatible.get(key)
         if known is None:
+            known = self.former_compatible.get(key)
+            if known is None:
+                head = [] if before < 0 else [before]
+                known = self.merge(b"".join(self.tokens[t] for t in (*head, after))) == [*head, after]
             if len(self.compatible) >= MEMO_PAIRS:
-                self.compatible.clear()
-            head = [] if before < 0 else [before]
-            known = self.merge(b"".join(self.tokens[t] for t in (*head, after))) == [*head, after]
+                self.former_compatible, self.compatible = self.compatible, {}
             self.compatible[key] = known
         return known
 
@@ -97,24 +106,29 @@ class PieceEncoder(dict):
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        sizes, n, known, fits = self.sizes, len(piece), self.compatible, self.fits
         starting: list[list[int]] = [[] for _ in piece]
         for end, rank in self.automaton.iter(piece.decode("latin-1")):
-            starting[end - len(self.tokens[rank]) + 1].append(rank)  # by growing length
+            starting[end - sizes[rank] + 1].append(rank)  # by growing length
         out: list[int] = []
-        at, dead = 0, set()
-        while at < len(piece):
+        at, last, dead = 0, -1, set()
+        while at < n:
             options = starting[at]
             while options:
                 token = options.pop()
-                if at + len(self.tokens[token]) not in dead and self.fits(out[-1] if out else -1, token):
-                    out.append(token)
-                    at += len(self.tokens[token])
-                    break
+                if at + sizes[token] not in dead:
+                    fit = known.get((last + 1) << 32 | token)
+                    if fits(last, token) if fit is None else fit:
+                        out.append(token)
+                        at += sizes[token]
+                        last = token
+                        break
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 dead.add(at)
-                at -= len(self.tokens[out.pop()])
+                at -= sizes[out.pop()]
+                last = out[-1] if out else -1
         return out
 
 
