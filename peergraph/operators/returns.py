@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peergraph.operators import panels
 from peergraph.operators.ranking import positions
 
 
@@ -54,14 +55,8 @@ def residuals(returns: DataFrame, min_obs: int) -> DataFrame:
 
 
 def pair_correlations(series: DataFrame, value: str, min_obs: int, key: str = "ticker") -> DataFrame:
-    """(i, j, corr, n): pairwise-complete Pearson correlation of i < j with at least ``min_obs`` joint days.
-
-    The join is by day, so a task holds a day's companies; moments are summed map-side.
-    """
-    a = series.select(F.col(key).alias("i"), "day", F.col(value).alias("x"))
-    b = series.select(F.col(key).alias("j"), "day", F.col(value).alias("y"))
-    both = a.join(b, "day").where("i < j and x is not null and y is not null")
-    return both.groupBy("i", "j").agg(F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_obs)
+    """(i, j, corr, n): pairwise-complete Pearson correlation of i < j with at least ``min_obs`` joint days."""
+    return panels.correlations(series, value, min_obs, key)
 
 
 def peer_means(pairs: DataFrame, peers: DataFrame) -> DataFrame:
@@ -79,8 +74,4 @@ def label_peers(labels: DataFrame, key: str, label: str) -> DataFrame:
 
 def lead_lag(series: DataFrame, value: str = "e") -> DataFrame:
     """(i, j, corr): of i's value with j's value the day after, z-scored by each column's own valid days."""
-    stats = series.groupBy("ticker").agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
-    z = series.join(stats, "ticker").where("sd > 0").select("ticker", "day", ((F.col(value) - F.col("mu")) / F.col("sd")).alias("z"))
-    a = z.select(F.col("ticker").alias("i"), "day", F.col("z").alias("x"))
-    b = z.select(F.col("ticker").alias("j"), (F.col("day") - 1).alias("day"), F.col("z").alias("y"))
-    return a.join(b, "day").where("i <> j").groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("corr"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    return panels.lagged(series, value).drop("n")
