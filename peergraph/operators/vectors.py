@@ -69,7 +69,8 @@ def require_terms(weights: DataFrame) -> DataFrame:
 def embed_with_cache(texts: DataFrame, text: str, cache: DataFrame, model: Callable[[list[str]], list[list[float]]]) -> tuple[DataFrame, DataFrame]:
     """(``texts`` with ``text_key`` and ``vector``, the rows to add to the cache).
 
-    Only distinct texts that the cache (text_key, vector) lacks reach the model, in Arrow batches.
+    Only distinct texts that the cache (text_key, vector) lacks reach the model, in Arrow batches;
+    :class:`asking.TokenBatches` makes a service a model.
     """
     keyed = texts.withColumn("text_key", F.sha2(F.col(text).cast("binary"), 256))
     cache = cache.groupBy("text_key").agg(F.min("vector").alias("vector"))  # it is appended to: runs that met may have written a key twice
@@ -81,5 +82,5 @@ def embed_with_cache(texts: DataFrame, text: str, cache: DataFrame, model: Calla
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["text_key", "vector"])
 
     new = todo.mapInArrow(run, "text_key string, vector array<double>")
-    new = new.withColumn("vector", l2_normalize(F.col("vector")))
+    new = new.where("vector is not null").withColumn("vector", l2_normalize(F.col("vector")))  # a text that got no answer is asked again
     return keyed.join(cache.unionByName(new), "text_key", "left"), new

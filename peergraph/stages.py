@@ -225,19 +225,24 @@ def stage_candidates(run: Run, variant: str, top_k: int = 20, most: int = 12) ->
     return run.publish(cands, "relations/candidates"), run.publish(gr.select_spans(rows, most), "relations/candidate_spans")
 
 
-def stage_judge(run: Run, scorer: Callable[[list[str]], list[dict[str, float] | None]] | None) -> DataFrame:
-    """Scores of every live unit: the cache answers first, the rest are asked once, failures stay open."""
+def stage_judge(run: Run, scorer: Callable[[list[str]], list[dict[str, float] | None]] | None, waves: int = 1) -> DataFrame:
+    """Scores of every live unit: the cache answers first, the rest are asked once, failures stay open.
+
+    ``scorer`` may be an :class:`asking.Asker`.  Units are asked in ``waves``, each kept in
+    the cache before the next begins, so that a job that dies loses one wave of answers.
+    """
     told, spans, nodes = (run.load(f"relations/{n}", "mentions") for n in ("mentions", "spans", "nodes"))
     firms = run.load("universe", "universe").select(F.concat(F.lit("cik:"), F.col("cik").cast("string")).alias("node_id"), "ticker", F.col("gics_sub_industry").alias("industry"))
     asked = cx.payloads(cx.requests(gr.all_units(told), spans.withColumn("filed", F.lit(None).cast("string")), nodes.join(firms, "node_id", "left"), told))
-    try:
-        cache = run.load("judgements", "judge")
-    except FileNotFoundError:
-        cache = run.spark.sql("select cast(null as string) as input_hash, cast(null as map<string,double>) as scores where false")
-    _, new = jg.judge_cached(asked, cache, scorer)
-    artifacts.append_cache(run.path("judgements"), new)
-    cache = run.spark.read.parquet(run.path("judgements"))
-    judged, _ = jg.judge_cached(asked, cache, None)
+    asked = table(asked.select("unit_id", "input_hash", "payload"), "asked")
+    for wave in range(waves):
+        try:
+            cache = run.load("judgements", "judge")
+        except FileNotFoundError:
+            cache = run.spark.sql("select cast(null as string) as input_hash, cast(null as map<string,double>) as scores where false")
+        _, new = jg.judge_cached(asked.where(F.pmod(F.xxhash64("input_hash"), F.lit(waves)) == wave), cache, scorer)
+        artifacts.append_cache(run.path("judgements"), new)
+    judged, _ = jg.judge_cached(asked, run.load("judgements", "judge"), None)
     return run.publish(judged.select("unit_id", "input_hash", "scores"), "relations/judged")
 
 
