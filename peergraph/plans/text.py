@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peergraph.functions import grids
 from peergraph.functions import mentions as mn
 from peergraph.functions import names as nm
 from peergraph.functions import text as tx
@@ -140,11 +141,27 @@ def html_table(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.posexplode(links).alias("pos", "link")).groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
 
 
+def html_grid(spark, sf_dir):
+    """Tables of suppliers by nation, written as HTML with spans and nested tables, read back as grids."""
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", "s_name", F.round("s_acctbal", 2).alias("bal"))
+    each = rows.groupBy("n_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name", "bal"))).alias("s")).join(F.broadcast(names), "n_nationkey")
+    line = lambda x: F.concat(F.lit("<td>"), x["s_suppkey"].cast("string"), F.lit("<td>"), x["s_name"], F.lit("<table><tr><td>"), x["bal"].cast("string"), F.lit("</table></td>"))
+    first = F.concat(F.lit('<td rowspan="0">'), F.col("n_name"), F.lit("&amp;co</td>"))
+    html = F.concat(
+        F.lit("<html><table id=t><thead><tr><th rowspan=2>Nation<th colspan='2'>Supplier<tr><th>Key<th>Name</thead><tbody><tr>"), first,
+        F.array_join(F.transform("s", line), "<tr>"), F.lit("</tbody></table>"),
+    )
+    found = grids.cells(each.select("n_nationkey", html.alias("html")), "html", ["n_nationkey"]).where("tab_id = 't'")
+    out = grids.records(found, ["n_nationkey"], {"Nation": "nation", "Supplier Key": "key", "Supplier Name": "name"})
+    return out.select("n_nationkey", (F.col("row") - 2).alias("pos"), "nation", "key", "name")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         line_flags, repeated_headers, clean_sections, assess_status, normalized_text, cross_duplicate, chunk_text, leading_chunks, name_dictionary,
-        dictionary_mentions, mention_spans, span_cues, context_exclusions, text_keys, revenue_figures, html_table,
+        dictionary_mentions, mention_spans, span_cues, context_exclusions, text_keys, revenue_figures, html_table, html_grid,
     )
 }
 
@@ -186,4 +203,7 @@ select case when k = 2 then 'unclear' else 'single' end as subject, case k when
     "html_table": """
 with l as (select page_id, regexp_extract_all(html, '<a href="(/[^"]*)">', 1) as links from pages),
 e as (select page_id, unnest(links) as link, unnest(range(len(links)))::int as pos from l) select page_id, link, min(pos) as pos from e group by all""",
+    "html_grid": """
+select n_nationkey, (row_number() over (partition by n_nationkey order by s_suppkey) - 1)::int as pos, n_name || '&co' as nation, s_suppkey::varchar as key, s_name as name
+from supplier join nation on s_nationkey = n_nationkey""",
 }

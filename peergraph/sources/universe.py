@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from peergraph.functions import grids
+
 COLUMNS = ["cik", "ticker", "name", "gics_sector", "gics_sub_industry"]
 
 
@@ -31,6 +33,23 @@ def load_csv(spark: SparkSession, path: str, tickers: DataFrame | None = None) -
     return df.withColumn("cik", known)
 
 
+#: Headers of a constituents table and the columns that they become (fixed values).
+CONSTITUENTS = {"Symbol": "ticker", "Security": "name", "GICS Sector": "gics_sector", "GICS Sub-Industry": "gics_sub_industry", "CIK": "cik"}
+
+
+def load_html(pages: DataFrame, html: str = "html", table_id: str | None = "constituents", names: dict[str, str] | None = None) -> DataFrame:
+    """Companies of the tables with the given id (any, if None) in pages of HTML; a CIK of several share classes keeps the first.
+
+    Rows whose CIK is no number are an error: the table is not the one that was meant.
+    """
+    found = grids.cells(pages.withColumn("_page", F.monotonically_increasing_id()), html, ["_page"])
+    found = found.where(F.col("tab_id") == table_id) if table_id else found
+    rows = grids.records(found, ["_page"], names or CONSTITUENTS).withColumn("_cik", F.col("cik").try_cast("long"))
+    known = F.when(F.col("_cik").isNull(), F.raise_error(F.concat(F.lit("no cik for "), F.coalesce("ticker", F.lit("?"))))).otherwise(F.col("_cik"))
+    rows = rows.withColumn("cik", known).withColumn("_at", F.struct("_page", "tab", "row"))
+    return first_share_class(rows, "_at").select(*COLUMNS)
+
+
 def first_share_class(df: DataFrame, order: str) -> DataFrame:
     """One row per cik, the first in ``order``."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy("cik").orderBy(order))).where("_n = 1").drop("_n")
