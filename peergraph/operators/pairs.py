@@ -100,11 +100,10 @@ def symmetrise(pairs: DataFrame) -> DataFrame:
 
 
 def sparse_cosine_pairs(weights: DataFrame, key: str, least: float = 0.0) -> DataFrame:
-    """(i, j, s) of the pairs that share a term, by an inverted-index join; others have similarity 0."""
-    a = weights.select(F.col(key).alias("i"), "term", F.col("weight").alias("wa"))
-    b = weights.select(F.col(key).alias("j"), "term", F.col("weight").alias("wb"))
-    pairs = a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
-    return pairs.where(F.col("s") >= least) if least > 0 else pairs
+    """(i, j, s) of the pairs that share a term, and score ``least`` or more if that is above 0; others have similarity 0."""
+    from peergraph.operators import sparse
+
+    return sparse.products(weights, key, least) if least <= 0 else sparse.above(weights, key, least)
 
 
 def pair_percentiles(pairs: DataFrame, score: str = "s") -> DataFrame:
