@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from peergraph.llm.common import fresh
 
-#: Entries after which a memo steps back for a new one; all four together stay below 150 MB in a worker.
+#: Entries after which a memo steps back for a new one; all four together stay below 150 MB in a
+#: worker, and are given back when its task ends.
 MEMO = 200_000
 MEMO_PAIRS = 400_000
 #: Longer pieces are encoded but not remembered.
@@ -72,6 +73,11 @@ class PieceEncoder(dict):
             self[piece] = packed
         return packed
 
+    def forget(self) -> None:
+        """Gives the memos back: a worker that waits for other work keeps the vocabulary alone."""
+        self.clear()
+        self.former, self.compatible, self.former_compatible = {}, {}, {}
+
     def merge(self, piece: bytes) -> list[int]:
         """The definition: join the adjacent pair of least rank, leftmost first, as long as there is one."""
         rank_of, none = self.ranks.get, NO_RANK
@@ -177,8 +183,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     @F.arrow_udf("binary")
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks, pattern)
-        for batch in texts:
-            yield pa.array([codec.encode(t.as_py() or "") for t in batch], pa.binary())
+        try:
+            for batch in texts:
+                yield pa.array([codec.encode(t.as_py() or "") for t in batch], pa.binary())
+        finally:
+            codec.pieces.forget()
 
     return _without(docs, "token_ids", "n_tokens").withColumn("token_ids", ids(F.col(text))).withColumn(
         "n_tokens", (F.octet_length("token_ids") / 4).cast("long")
@@ -205,11 +214,14 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str
     @F.arrow_udf("struct<ids:binary,decoded:binary>")
     def coded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks, pattern)
-        for batch in texts:
-            ids = [codec.encode(t.as_py() or "") for t in batch]
-            yield pa.StructArray.from_arrays(
-                [pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())], names=["ids", "decoded"]
-            )
+        try:
+            for batch in texts:
+                ids = [codec.encode(t.as_py() or "") for t in batch]
+                yield pa.StructArray.from_arrays(
+                    [pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())], names=["ids", "decoded"]
+                )
+        finally:
+            codec.pieces.forget()
 
     kept = _without(docs, "token_ids", "n_tokens", "decoded")
     both = fresh(kept, "coded")
