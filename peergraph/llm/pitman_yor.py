@@ -4,14 +4,14 @@ Restaurants: one per previous word (and one for the start of a text); all share
 unigram restaurant as their parent, whose base measure is a model of spellings, so an
 unknown word has the small chance of its letters and all words together have chance one.
 
-Customers of a dish (a word) in a restaurant are seated by Gibbs: one customer is
-removed and seated again given all others, as often per sweep as the dish has customers,
-:data:`STEPS` times at most.  The sizes of its tables are summed out: whether the
-removed customer sat alone has the chance S(c-1, t-1) / S(c, t) of generalised Stirling
-numbers.  The totals of the other dishes are those of the sweep before, so all dishes
-are seated at once.  Concentrations are sampled each sweep from their auxiliary
-variables; discounts are estimated from the counts of ones and twos.  The predictive
-probabilities are averaged over the sweeps after the burn-in.
+The tables of a dish (a word) in a restaurant are drawn by Gibbs, given all other dishes:
+the chance of t tables goes with weight**t and a generalised Stirling number, in which the
+sizes of the tables are summed out (exact to 64 customers, moments of a saddle point
+beyond).  The totals of the other dishes are those of the sweep before, so all dishes are
+seated at once.  Concentrations are sampled each sweep from their auxiliary variables;
+discounts are estimated from the counts of ones and twos.  The predictive probabilities are
+averaged over the sweeps after the burn-in.  Random numbers are hashes of word or pair,
+sweep and step, so a score does not depend on how the rows are dealt.
 
 Flow; tables in the shared folder, arrays packed:
 
@@ -59,10 +59,12 @@ from peergraph.llm.common import Scratch, release_shuffles
 CHUNK_BYTES = 8 << 20
 #: Entries to a range of hashes, about.
 RANGE = 400_000
-SWEEPS, BURN_IN, STEPS = 4, 1, 8
+SWEEPS, BURN_IN = 4, 1
 END, START = b"\n", b""  # never words
-#: Counts up to this have exact chances to sit alone.
+#: The tables of up to so many customers are drawn exactly.
 EXACT = 64
+#: Means up to this are drawn from a binomial distribution, others from a normal one.
+SMALL = 12
 #: What the frequency of a byte alone counts for beside that of a pair of bytes.
 SMOOTH = 20.0
 #: The log of the base measure is kept to this part of a nat.
@@ -162,61 +164,132 @@ def uniform(seed: np.ndarray, sweep: int, step: int) -> np.ndarray:
 # --- seating --------------------------------------------------------------------
 
 @lru_cache(maxsize=8)
-def alone_table(discount: float) -> np.ndarray:
-    """[c, t]: the chance S(c-1, t-1) / S(c, t) that one of c customers at t tables sits alone, c up to EXACT."""
-    log_s = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    log_s[0, 0] = 0.0
-    out = np.zeros((EXACT + 1, EXACT + 1))
+def log_stirling(discount: float) -> np.ndarray:
+    """[c, t]: the log of the generalised Stirling number S(c, t), c up to EXACT."""
+    out = np.full((EXACT + 1, EXACT + 2), -np.inf)
+    out[0, 0] = 0.0
     for c in range(1, EXACT + 1):
         t = np.arange(1, c + 1)
-        first = log_s[c - 1, t - 1]
         factor = c - 1 - discount * t
-        second = np.where(factor > 0, log_s[c - 1, t] + np.log(np.maximum(factor, 1e-300)), -np.inf)
-        log_s[c, t] = np.logaddexp(first, second)
-        out[c, t] = np.exp(first - log_s[c, t])
+        more = np.where(factor > 0, out[c - 1, t] + np.log(np.maximum(factor, 1e-300)), -np.inf)
+        out[c, t] = np.logaddexp(out[c - 1, t - 1], more)
     return out
 
 
-def alone(count: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
-    """The chance that a customer sits alone; of many customers, a share ``discount`` of all tables but the largest."""
-    few = count <= EXACT
-    at = np.minimum(count, EXACT).astype(np.int64), np.minimum(tables, EXACT).astype(np.int64)
-    return np.where(few, alone_table(discount)[at], discount * (tables - 1) / np.maximum(count - 1, 1))
+def normal(seed: np.ndarray, sweep: int, step: int) -> np.ndarray:
+    """Normal numbers from two uniform ones."""
+    radius = np.sqrt(-2 * np.log(np.maximum(uniform(seed, sweep, step), 1e-16)))
+    return radius * np.cos(2 * np.pi * uniform(seed, sweep, step + 1))
 
 
-def reseat(count: np.ndarray, tables: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndarray, sweep: int, steps: int = STEPS) -> np.ndarray:
-    """Tables after one sweep: customers are removed and seated again, one after the other.
+def _many_moments(count: np.ndarray, weight: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the tables of many customers.
 
-    ``weight`` is (concentration + discount * tables of the restaurant) * parent probability.
+    The number of tables is that of a compound Poisson process given its sum: with
+    phi(z) = (1 - (1 - z)**d) / d the tilt z solves weight z phi'(z) = count, and the mean is
+    weight phi(z) with a correction of the second order.  Where one table is so large that it
+    makes the sum by itself, that correction is one table.
     """
-    tables = tables.astype(np.float64)
-    for step in range(steps):
-        live = np.flatnonzero(count > max(step, 1))
+    low, high = np.full(len(count), -700.0), np.zeros(len(count))
+    for _ in range(64):
+        middle = (low + high) / 2
+        over = weight * -np.expm1(middle) * np.exp(middle * (discount - 1)) > count
+        low, high = np.where(over, middle, low), np.where(over, high, middle)
+    u = np.exp((low + high) / 2)
+    z, phi = 1 - u, (1 - u**discount) / discount
+    s1 = z * u ** (discount - 1)  # phi times the mean size of a table, of its square and cube
+    f2, f3 = (1 - discount) * z**2 * u ** (discount - 2), (1 - discount) * (2 - discount) * z**3 * u ** (discount - 3)
+    s2, s3 = s1 + f2, s1 + 3 * f2 + f3
+    mean = weight * phi
+    second = (s1 * s3 / s2**2 - 1) / 2
+    many = -np.expm1(-1.2 * np.sqrt(mean * u**discount))
+    return mean + 1 + many * (second - 1), mean * np.maximum(1 - s1**2 / (phi * s2), 0)
+
+
+def seated(count: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of each dish, drawn given all other dishes: the chance of t tables goes with weight**t S(count, t).
+
+    This is where a Gibbs sampler that reseats one customer after the other, as long as it
+    takes, ends up; the sizes of the tables are summed out.  ``weight`` is (concentration +
+    discount * tables of the restaurant) * parent probability.  Exact to EXACT customers;
+    beyond, a binomial or normal number of the right mean and variance.
+    """
+    tables = np.minimum(count, 1).astype(np.float64)
+    weight = np.maximum(weight, 1e-300)
+    logs, chance = log_stirling(discount), uniform(seed, sweep, 0)
+    few = np.flatnonzero((count > 1) & (count <= EXACT))
+    order = few[np.argsort(count[few], kind="stable")]
+    sizes = count[order].astype(np.int64)
+    for c, begin in zip(*np.unique(sizes, return_index=True)):
+        end = np.searchsorted(sizes, c, side="right")
+        for at in range(begin, end, 1 << 16):
+            own = order[at : min(at + (1 << 16), end)]
+            t = np.arange(1, c + 1)
+            log_p = np.log(weight[own])[:, None] * t + logs[c, 1 : c + 1]
+            p = np.cumsum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), axis=1)
+            tables[own] = 1 + (p < chance[own, None] * p[:, -1:]).sum(axis=1)
+    many = np.flatnonzero(count > EXACT)
+    if len(many):
+        c = count[many].astype(np.float64)
+        mean, variance = _many_moments(c, weight[many], discount)
+        rest = np.maximum(mean - 1, 0)
+        drawn = np.floor(mean + np.sqrt(variance) * normal(seed[many], sweep, 1) + 0.5)
+        small = np.flatnonzero(rest <= SMALL)
+        drawn[small] = 1 + binomial(rest[small], variance[small], chance[many[small]])
+        tables[many] = np.clip(drawn, 1, c)
+    return tables
+
+
+def binomial(mean: np.ndarray, variance: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Binomial numbers of the given means, up to SMALL, and variances below them, by inversion."""
+    share = np.clip(1 - variance / np.maximum(mean, 1e-300), 1e-6, 0.999)
+    trials = np.maximum(np.ceil(mean / share), 1)
+    share = np.minimum(mean / trials, 1 - 1e-12)
+    out, p = np.zeros(len(mean)), np.exp(trials * np.log1p(-share))
+    below = p.copy()
+    for k in range(8 * SMALL):
+        over = chance >= below
+        if not over.any():
+            break
+        out += over
+        p = p * np.maximum(trials - k, 0) / (k + 1) * share / (1 - share)
+        below = below + p
+    return out
+
+
+def gammas(shape: np.ndarray, seed: np.ndarray, sweep: int, step: int) -> np.ndarray:
+    """Gamma numbers of shapes of 1 or more, fixed by the seeds: Marsaglia and Tsang's rejection."""
+    d = shape - 1 / 3
+    c, out, live = 1 / np.sqrt(9 * d), d.copy(), np.arange(len(shape))
+    for attempt in range(24):
+        x = normal(seed[live], sweep, step + 3 * attempt)
+        u = np.maximum(uniform(seed[live], sweep, step + 3 * attempt + 2), 1e-16)
+        v = (1 + c[live] * x) ** 3
+        ok = v > 0
+        ok[ok] = np.log(u[ok]) < x[ok] ** 2 / 2 + d[live[ok]] * (1 - v[ok] + np.log(v[ok]))
+        out[live[ok]] = d[live[ok]] * v[ok]
+        live = live[~ok]
         if not len(live):
             break
-        c, t, s = count[live], tables[live], seed[live]
-        t = t - (uniform(s, sweep, 2 * step) < alone(c, t, discount))
-        new = weight[live]
-        t = t + (uniform(s, sweep, 2 * step + 1) * (new + np.maximum(c - 1 - discount * t, 1e-9)) < new)
-        tables[live] = np.clip(t, 1, c)
-    return tables
+    return out
 
 
-def tables_drawn(tables: np.ndarray, concentration: float, discount: float, rng: np.random.Generator) -> float:
+def tables_drawn(tables: np.ndarray, concentration: float, discount: float, seed: np.ndarray, sweep: int) -> float:
     """Sum over restaurants of Bernoulli(concentration / (concentration + discount * i)), i from 1 below the tables.
 
-    Beyond 32 tables the sum of rare events is drawn as a Poisson number.
+    Beyond 32 tables the sum of rare events is a rounded normal number.
     """
     total = 0.0
     for i in range(1, 32):
-        n = int(np.count_nonzero(tables > i))
-        if not n:
+        more = tables > i
+        if not more.any():
             return total
-        total += rng.binomial(n, concentration / (concentration + discount * i))
-    many = tables[tables > 32]
-    if len(many):
+        total += float(np.count_nonzero(uniform(seed[more], sweep, 1_000 + i) < concentration / (concentration + discount * i)))
+    many = tables > 32
+    if many.any():
         part = concentration / discount
-        total += rng.poisson(float((part * (np.log(many + part - 0.5) - np.log(32 + part - 0.5))).sum()))
+        mean = part * (np.log(tables[many] + part - 0.5) - np.log(32 + part - 0.5))
+        total += float(np.maximum(np.floor(mean + np.sqrt(mean) * normal(seed[many], sweep, 1_100) + 0.5), 0).sum())
     return total
 
 
@@ -227,6 +300,7 @@ class State:
     sweep: int
     theta: tuple[float, float]  # unigram, words after words
     discount: tuple[float, float]
+    words: float = 0.0
     customers: float = 0.0  # of the unigram restaurant
     tables: float = 0.0
 
@@ -328,15 +402,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- spellings ------------------------------------------------------------------
 
 def _byte_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, n): how often a byte follows another in the words of training texts, END on either side of a word."""
+    """(code, n): how often a byte follows another in the words of training texts, END on either side of a word, each word as often as it occurs."""
     total = np.zeros(1 << 16, np.int64)
     for row in _rows(batches):
         chunk = Chunk(row, pairs=False)
         data = np.frombuffer(row["spelled"], np.uint8)
         ends = np.flatnonzero(data == END[0])
-        counts = np.repeat(chunk.word_train > 0, np.diff(ends, prepend=-1))
+        times = np.repeat(chunk.word_train, np.diff(ends, prepend=-1))
         before = np.concatenate([[END[0]], data[:-1]]).astype(np.int64)
-        total += np.bincount((before << 8 | data)[counts], minlength=1 << 16)
+        total += np.bincount(before << 8 | data, times, 1 << 16).astype(np.int64)
     codes = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(total[codes])], names=["code", "n"])
 
@@ -470,7 +544,7 @@ def _seat(state: State | None, adds: bool):
             answers = _by(mail, ANSWER, "bucket")
             up = state.unigram(_joined(answers, "a"), _joined(answers, "b"), _joined(known, "b"))
             weight = (state.theta[1] + state.discount[1] * _joined(answers, "c")[before]) * up[word]
-            tables = reseat(count, tables, weight, state.discount[1], seed, state.sweep)
+            tables = seated(count, weight, state.discount[1], seed, state.sweep)
             if adds:
                 total = total + tables
         base = {"chunk": entry["chunk"]}
@@ -494,21 +568,18 @@ def _own(state: State):
         cost, seed = _from_planes(owner["b"]), _from_ascending(owner["c"])
         at = np.concatenate(places)
         customers, restaurant = (np.bincount(at, _joined(sent, c), len(cost)) for c in "ab")
-        before = _by(mail, TABLES, "chunk")
-        tables = _from_planes(before[0]["a"]).astype(np.float64) if before else np.minimum(customers, 1)
-        tables = np.clip(tables, np.minimum(customers, 1), customers)
-        weight = (state.theta[0] + state.discount[0] * (state.tables or len(cost))) * np.exp(cost / -COST)
-        tables = reseat(customers, tables, weight, state.discount[0], seed, state.sweep + 1000)
-        rng = np.random.default_rng((owner["bucket"], state.sweep))
+        weight = (state.theta[0] + state.discount[0] * (state.tables or state.words)) * np.exp(cost / -COST)
+        tables = seated(customers, weight, state.discount[0], seed, state.sweep + 1000)
         size = _from_planes(owner["a"]).astype(np.float64)  # customers of a word's own restaurant: the words after it
-        drawn = tables_drawn(restaurant, state.theta[1], state.discount[1], rng)
-        logs = float(np.log(np.maximum(rng.beta(state.theta[1] + 1, size[(size > 1) & (restaurant > 0)] - 1), 1e-300)).sum())
+        drawn = tables_drawn(restaurant, state.theta[1], state.discount[1], seed, state.sweep)
+        live = (size > 1) & (restaurant > 0)
+        ones, rest = (gammas(np.broadcast_to(shape, int(live.sum())), seed[live], state.sweep, step) for shape, step in ((state.theta[1] + 1, 2_000), (size[live] - 1, 3_000)))
+        logs = float(np.log(np.maximum(ones / (ones + rest), 1e-300)).sum())
         bucket = owner["bucket"]
         out = [
             {"chunk": r["chunk"], "bucket": bucket, "kind": ANSWER, "a": _planes(customers[p]), "b": _planes(tables[p]), "c": _planes(restaurant[p])}
             for r, p in zip(asked, places)
         ]
-        out.append({"chunk": -1, "bucket": bucket, "kind": TABLES, "a": _planes(tables)})
         return _mail([*out, {"chunk": -1, "bucket": bucket, "kind": SUMS, "s": [float(customers.sum()), float(tables.sum()), drawn, logs]}])
 
     return run
@@ -555,9 +626,9 @@ def _score(states: list[State], words: float, tokens: float):
     return run
 
 
-def _bucketed(df: DataFrame, scratch: Scratch, name: str, buckets: int) -> DataFrame:
-    """``df`` as a table bucketed by chunk: what is joined with it by chunk moves, it does not."""
-    table = f"pitman_yor_{name}_{uuid.uuid4().hex[:12]}"
+def _bucketed(df: DataFrame, scratch: Scratch, names: dict[str, str], name: str, buckets: int) -> DataFrame:
+    """``df`` as a table bucketed by chunk: what is joined with it by chunk moves, it does not.  Its name is added to ``names``."""
+    table = names[name] = f"pitman_yor_{name}_{uuid.uuid4().hex[:12]}"
     df.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", f"{scratch.root}/{name}").saveAsTable(table)
     return scratch.spark.table(table)
 
@@ -569,9 +640,9 @@ def score_documents(
     if docs.schema[doc_id].dataType.typeName() not in {"byte", "short", "integer", "long"}:
         raise TypeError(f"identifiers must be integers, {doc_id} is {docs.schema[doc_id].dataType.simpleString()}")
     spark = docs.sparkSession
-    scratch = Scratch(spark, "pitman-yor")
+    scratch, names = Scratch(spark, "pitman-yor"), {}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = _bucketed(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_chunks, CHUNK), scratch, "chunks", parts)
+    chunks = _bucketed(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_chunks, CHUNK), scratch, names, "chunks", parts)
     n_words, n_tokens = chunks.agg(F.sum("n_words"), F.sum("n_tokens")).first()
     pair_ranges, word_ranges = (max(8, math.ceil((n or 0) / RANGE)) for n in (n_tokens, n_words))  # a chunk has fewer pairs than tokens
     counts = dict(chunks.mapInArrow(_byte_pairs, "code int, n long").groupBy("code").agg(F.sum("n")).collect())  # 2**16 rows at most
@@ -590,31 +661,33 @@ def score_documents(
     rng = np.random.default_rng(seed)
     together = lambda l, r: l.groupBy("chunk").cogroup(r.groupBy("chunk"))
     entries = _bucketed(
-        together(chunks, of(pairs, PAIRS).unionByName(of(owners, KNOWN))).applyInArrow(_prepare(discounts[1]), MAIL), scratch, "entries", parts
+        together(chunks, of(pairs, PAIRS).unionByName(of(owners, KNOWN))).applyInArrow(_prepare(discounts[1]), MAIL), scratch, names, "entries", parts
     )
-    seated = scratch.table(together(entries, entries.limit(0)).applyInArrow(_seat(None, False), MAIL), "seated")
-    state, kept = State(0, (1.0, 1.0), discounts), []
-    tables = None
+    seats = scratch.table(together(entries, entries.limit(0)).applyInArrow(_seat(None, False), MAIL), "seated")
+    state, kept = State(0, (1.0, 1.0), discounts, words), []
     for sweep in range(sweeps):
-        state = State(sweep, state.theta, discounts, state.customers, state.tables)
-        mail = of(owners, ASKED, OWNER).unionByName(of(seated, SENT))
-        if tables is not None:
-            mail = mail.unionByName(tables)
+        state = State(sweep, state.theta, discounts, words, state.customers, state.tables)
+        mail = of(owners, ASKED, OWNER).unionByName(of(seats, SENT))
         answered = scratch.table(dealt(mail, word_ranges).applyInArrow(_own(state), MAIL), f"answered{sweep}")
-        tables = of(answered, TABLES)
         customers, n_tables, drawn, logs = sums(answered, 4)
-        drawn0 = tables_drawn(np.array([n_tables]), state.theta[0], discounts[0], rng)
+        drawn0 = tables_drawn(np.array([n_tables]), state.theta[0], discounts[0], np.array([seed], np.uint64), sweep)
         logs0 = math.log(max(rng.beta(state.theta[0] + 1, max(customers - 1, 1)), 1e-300))
         theta = rng.gamma(1 + drawn0, 1 / (1 - logs0)), rng.gamma(1 + drawn, 1 / (1 - logs))
-        state = State(sweep, tuple(max(float(t), 1e-3) for t in theta), discounts, customers, n_tables)
-        seated = scratch.table(
-            together(entries, of(answered, ANSWER).unionByName(of(seated, TABLES))).applyInArrow(_seat(state, sweep >= burn_in), MAIL), f"seated{sweep}"
+        state = State(sweep, tuple(max(float(t), 1e-3) for t in theta), discounts, words, customers, n_tables)
+        seats = scratch.table(
+            together(entries, of(answered, ANSWER).unionByName(of(seats, TABLES))).applyInArrow(_seat(state, sweep >= burn_in), MAIL), f"seated{sweep}"
         )
         scratch.drop("seated" if not sweep else f"seated{sweep - 1}")
         release_shuffles(spark)
         if sweep >= burn_in:
             kept.append((state, of(answered, ANSWER).withColumn("s", F.array(F.lit(float(sweep))))))
-    mail = of(pairs, PAIRS).unionByName(of(owners, KNOWN)).unionByName(of(seated, TABLES))
+    mail = of(pairs, PAIRS).unionByName(of(owners, KNOWN)).unionByName(of(seats, TABLES))
     for _, answers in kept:
         mail = mail.unionByName(answers)
-    return together(chunks, mail).applyInArrow(_score([s for s, _ in kept], words, tokens), RESULT)
+    scored = scratch.table(together(chunks, mail).applyInArrow(_score([s for s, _ in kept], words, tokens), RESULT), "scored")
+    for name, table in names.items():
+        spark.sql(f"drop table if exists {table}")
+        scratch.drop(name)
+    for name in ("pairs", "words", f"seated{sweeps - 1}", *(f"answered{n}" for n in range(sweeps))):
+        scratch.drop(name)
+    return scored

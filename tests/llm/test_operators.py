@@ -366,8 +366,23 @@ def test_pitman_yor_counts_by_brute_force_and_scores_junk_below_prose(spark):
         pitman_yor.score_documents(df.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
+def table_chances(c, d, weight):
+    """Chances of 1, ..., c tables by the definition: weight**t S(c, t), with S by its recursion."""
+    logs = np.full(c + 2, -np.inf)
+    logs[1] = 0.0
+    for n in range(2, c + 1):
+        t = np.arange(1, n + 1)
+        factor = n - 1 - d * t
+        more = np.where(factor > 0, logs[1 : n + 1] + np.log(np.maximum(factor, 1e-300)), -np.inf)
+        logs[1 : n + 1] = np.logaddexp(logs[:n], more)
+    t = np.arange(1, c + 1)
+    logs = logs[1 : c + 1] + t * math.log(weight)
+    p = np.exp(logs - logs.max())
+    return p / p.sum()
+
+
 def test_pitman_yor_seating():
-    # the chance to sit alone, from all seatings of few customers
+    # S(c, t) counts seatings: from all partitions of few customers
     def seatings(c, d):
         """{(sizes): weight} of all partitions of c customers."""
         out = {(): 1.0}
@@ -385,20 +400,71 @@ def test_pitman_yor_seating():
     for c in range(2, 9):
         every = seatings(c, 0.6)
         for t in range(1, c + 1):
-            mine = {s: w for s, w in every.items() if len(s) == t}
-            want = sum(w * s.count(1) / c for s, w in mine.items()) / sum(mine.values())
-            assert pitman_yor.alone_table(0.6)[c, t] == pytest.approx(want)
-    # the chain's long-run distribution of the number of tables: S(c, t) * weight**t
-    c, weight, n = 6, 0.8, 40_000
+            assert pitman_yor.log_stirling(0.6)[c, t] == pytest.approx(math.log(sum(w for s, w in every.items() if len(s) == t)))
+    n = 40_000
     seed = np.arange(n, dtype=np.uint64) * np.uint64(7919)
-    tables = np.ones(n)
-    for sweep in range(12):
-        tables = pitman_yor.reseat(np.full(n, float(c)), tables, np.full(n, weight), 0.6, seed, sweep)
-    want = {}
-    for s, w in seatings(c, 0.6).items():
-        want[len(s)] = want.get(len(s), 0) + w * weight ** len(s)
-    for t in want:
-        assert np.mean(tables == t) == pytest.approx(want[t] / sum(want.values()), abs=0.02)
+    drawn = lambda c, weight, d: pitman_yor.seated(np.full(n, float(c)), np.full(n, weight), d, seed, 3)
+    for c, weight in ((6, 0.8), (2, 0.1), (64, 3.0)):
+        want, got = table_chances(c, 0.6, weight), drawn(c, weight, 0.6)
+        assert max(abs(np.mean(got == t + 1) - p) for t, p in enumerate(want)) < 0.01
+    # many customers, below and above the switch: mean and spread as those of the exact distribution
+    for d in (0.3, 0.6, 0.8):
+        for c in (64, 65, 100, 2_000):
+            for weight in (0.001, 0.1, 1.0, 5.0, 30.0, 200.0):
+                p, got = table_chances(c, d, weight), drawn(c, weight, d)
+                t = np.arange(1, c + 1)
+                mean = (p * t).sum()
+                spread = math.sqrt((p * (t - mean) ** 2).sum())
+                assert got.min() >= 1 and got.max() <= c
+                assert abs(got.mean() - mean) < 0.1 * spread + 0.02 + 0.005 * mean, (d, c, weight, got.mean(), mean)
+                assert abs(got.std() - spread) < 0.1 * spread + 0.02, (d, c, weight, got.std(), spread)
+    # everybody at an own table: the chance does not drop at the switch
+    assert drawn(64, 1e9, 0.6).mean() > 63.9 and drawn(65, 1e9, 0.6).mean() > 64.9
+    assert pitman_yor.seated(np.array([0.0, 1.0]), np.ones(2), 0.6, seed[:2], 0).tolist() == [0, 1]
+
+
+def test_reseating_one_customer_after_the_other_ends_where_tables_are_drawn():
+    """A plain chain over seatings with all sizes of tables, for as long as it takes."""
+    rng = np.random.default_rng(3)
+    c, weight, d, sizes, counts = 100, 4.0, 0.5, [100], []
+    for step in range(60_000):
+        k = rng.choice(len(sizes), p=np.array(sizes) / c)
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+        p = np.array([*(s - d for s in sizes), weight])
+        k = rng.choice(len(p), p=p / p.sum())
+        if k == len(sizes):
+            sizes.append(1)
+        else:
+            sizes[k] += 1
+        if step > 2_000:
+            counts.append(len(sizes))
+    got = pitman_yor.seated(np.full(20_000, float(c)), np.full(20_000, weight), d, np.arange(20_000, dtype=np.uint64), 1)
+    assert np.mean(counts) == pytest.approx(got.mean(), rel=0.1) and np.std(counts) == pytest.approx(got.std(), rel=0.2)
+
+
+def test_random_numbers_of_restaurants():
+    seed = np.arange(50_000, dtype=np.uint64)
+    for shape in (1.0, 2.5, 40.0):
+        got = pitman_yor.gammas(np.full(len(seed), shape), seed, 2, 2_000)
+        assert got.mean() == pytest.approx(shape, rel=0.02) and got.var() == pytest.approx(shape, rel=0.05)
+    for mean, variance in ((3.0, 3.0), (3.0, 1.5), (0.01, 0.01)):
+        got = pitman_yor.binomial(np.full(len(seed), mean), np.full(len(seed), variance), pitman_yor.uniform(seed, 1, 1))
+        assert got.mean() == pytest.approx(mean, rel=0.1 if mean < 1 else 0.02) and got.var() == pytest.approx(variance, rel=0.15)
+    tables = np.full(5_000, 100.0)
+    want = sum(0.7 / (0.7 + 0.5 * i) for i in range(1, 100))
+    assert pitman_yor.tables_drawn(tables, 0.7, 0.5, seed[:5_000], 1) / 5_000 == pytest.approx(want, rel=0.02)
+
+
+def test_pitman_yor_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    df = docs(spark, [(i, prose(rng, 60), "a") for i in range(120)]).select("doc_id", "text")
+    one, other = ({r.doc_id: r.score for r in pitman_yor.score_documents(df.repartition(n)).collect()} for n in (1, 7))
+    assert max(abs(one[k] - other[k]) for k in one) < 1e-6 and not [t for t in spark.catalog.listTables() if "pitman" in t.name]
+
+
+def test_predictive_probabilities_sum_to_one():
     # the predictive probabilities of one restaurant sum to one, the base measure's share included
     state = pitman_yor.State(0, (0.7, 1.3), (0.5, 0.6), customers=9.0, tables=4.0)
     cost = np.array([100.0, 230.0, 300.0, 410.0])
