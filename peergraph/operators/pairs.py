@@ -128,30 +128,28 @@ def similarity_bin(percentile: Column, edges: tuple[float, ...] = (50, 75, 90, 9
     return out
 
 
-def explain_pair(chunks: DataFrame, pair: list[str], key_a: str, key_b: str, score: str, top: int = 3) -> DataFrame:
-    """Greedy one-to-one matches: the best chunk pair first, each chunk used once.
-
-    ``chunks`` has a row for each chunk pair of a company pair; a company pair's rows,
-    bounded by its two documents, are matched in one task.
+def explain_pair(chunks: DataFrame, pair: list[str], key_a: str, key_b: str, score: str, top: int | None = 3) -> DataFrame:
+    """(pair, a, b, score, rank): greedy one-to-one matches, the best chunk pair first, ties to the smaller chunks; each chunk used once.
+
+    ``chunks`` has a row for each chunk pair of a company pair; all company pairs are matched
+    at once, in rounds.  A chunk pair that is the best of what is left for both its chunks is
+    one that the greedy rule takes as well, and after n rounds the first n of every company
+    pair are among them: so ``top`` rounds do for ``top`` matches, and without ``top`` rounds
+    go on until nothing is left.  A round is two aggregations and joins on their keys.
     """
-    schema = chunks.select(*pair, key_a, key_b, score).withColumn("rank", F.lit(1)).schema
-
-    def match(frame):
-        frame = frame.sort_values([score, key_a, key_b], ascending=[False, True, True], kind="stable")
-        used_a, used_b, rows = set(), set(), []
-        for row in frame.itertuples(index=False):
-            one = row._asdict()
-            if one[key_a] not in used_a and one[key_b] not in used_b:
-                used_a.add(one[key_a])
-                used_b.add(one[key_b])
-                rows.append({**one, "rank": len(rows) + 1})
-                if len(rows) == top:
-                    break
-        import pandas as pd
-
-        return pd.DataFrame(rows, columns=[f.name for f in schema])
-
-    return chunks.select(*pair, key_a, key_b, score).groupBy(*pair).applyInPandas(match, schema)
+    best = F.min(F.struct((-F.col(score)).alias("_s"), key_a, key_b))
+    left = table(chunks.select(*pair, key_a, key_b, score).where(F.col(score).isNotNull()), "chunks")
+    found, rounds = left.limit(0), 0
+    while (top is None or rounds < top) and not left.isEmpty():
+        of_a = left.groupBy(*pair, key_a).agg(best.alias("_m")).select(*pair, key_a, F.col(f"_m.{key_b}").alias(key_b), (-F.col("_m._s")).alias(score))
+        of_b = left.groupBy(*pair, key_b).agg(best.alias("_m")).select(*pair, key_b, F.col(f"_m.{key_a}").alias(key_a))
+        mutual = table(of_a.join(of_b, [*pair, key_a, key_b]).select(*left.columns), "mutual")
+        found = found.unionByName(mutual)
+        rest = left.join(mutual.select(*pair, key_a), [*pair, key_a], "left_anti").join(mutual.select(*pair, key_b), [*pair, key_b], "left_anti")
+        left, rounds = table(rest.select(*left.columns), "chunks"), rounds + 1
+    order = Window.partitionBy(*pair).orderBy(F.desc(score), key_a, key_b)
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= top) if top is not None else ranked
 
 
 def pair_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

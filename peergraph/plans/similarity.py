@@ -222,6 +222,19 @@ b as (with {centred} select i, j, li, lj, round(s, 6) as s from scored)""".forma
 _PCT_OF = "(select i, j, s, (rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double - 1) / (count(*) over () - 1) * 100 as p from {} where i < j)"
 _RANK_OF = "(select i, j, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double as r from {} where i < j)"
 _TOP_OF = "(select i, j, rank from (select i, j, row_number() over (partition by i order by s desc, j) as rank from {}) where rank <= 5)"
+_EXPLAIN = """
+with unit as (
+  select vec_id, vec_id // 12 as owner, list_transform(embedding, lambda x: x::double) as w from embeddings
+), scaled as (
+  select vec_id, owner, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))) as v from unit
+), c1 as (
+  select a.owner as pair, a.vec_id as a, b.vec_id as b, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 6) as s
+  from scaled a join scaled b on b.owner = a.owner + 1 and a.owner % 2 = 0
+)""" + "".join(
+    f""", m{n} as (select pair, a, b, s, {n} as rank from (select *, row_number() over (partition by pair order by s desc, a, b) as r from c{n}) where r = 1),
+c{n + 1} as (select * from c{n} c where not exists (select 1 from m{n} m where m.pair = c.pair and (m.a = c.a or m.b = c.b)))"""
+    for n in (1, 2, 3)
+) + " select * from m1 union all select * from m2 union all select * from m3"
 _TFIDF = """
 with docs as (select doc_id, coalesce(text, '') as text from documents),
 terms as (
@@ -290,4 +303,5 @@ with cached as (select distinct sha256(text) as k from documents where doc_id %
 select doc_id, sha256(text) as text_key,
        case when sha256(text) in (select k from cached) then 0.0::double else round(length(text) / sqrt(length(text)::double * length(text) + 1), 6) end as x
 from documents""",
+    "explain_pair": _EXPLAIN,
 }

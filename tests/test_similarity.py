@@ -89,3 +89,25 @@ def test_all_tfidf_pairs_keep_common_terms_and_copies(spark, tmp_path):
     got = {(r.kind, r.i, r.j): r.s for r in similarity.QUERIES["tfidf_cosine_all_pairs"](spark, str(tmp_path)).collect()}
     assert {k for k in got if k[0] == "copy"} == {("copy", 0, 1), ("copy", 0, 2)}
     assert {k for k in got if k[0] == "pair"} == {("pair", 0, 3)} and 0 < got["pair", 0, 3] < 1
+
+
+@pytest.mark.parametrize("top", [1, 3, None])
+def test_matching_in_rounds_is_the_greedy_rule(spark, top):
+    """Many company pairs at once, with ties, against the sequential rule."""
+    import random
+
+    rng = random.Random(top or 9)
+    rows = [(p, a, b, rng.randrange(6) / 4) for p in range(25) for a in range(rng.randrange(1, 7)) for b in range(rng.randrange(0, 7))] + [(0, 99, 99, None)]
+    want = []
+    for p in range(25):
+        used_a, used_b, rank = set(), set(), 0
+        for _, a, b, s in sorted((r for r in rows if r[0] == p and r[3] is not None), key=lambda r: (-r[3], r[1], r[2])):
+            if a not in used_a and b not in used_b and (top is None or rank < top):
+                used_a.add(a)
+                used_b.add(b)
+                rank += 1
+                want.append((p, a, b, s, rank))
+    df = spark.createDataFrame(rows, "p int, a int, b int, s double")
+    got = pr.explain_pair(df, ["p"], "a", "b", "s", top)
+    assert got.columns == ["p", "a", "b", "s", "rank"] and sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert pr.explain_pair(df.limit(0), ["p"], "a", "b", "s", top).count() == 0

@@ -158,6 +158,23 @@ def test_sources(spark, tmp_path):
     assert artifacts.to_json({"a": float("nan")}) == '{"a": null}' and artifacts.settings_changes({"a": {"x": 1}}, {"a": {"x": 2}, "b": 1}) == ["a.x", "b"]
 
 
+def test_chunks_without_python_are_those_of_the_counter(spark, capsys):
+    import os
+
+    count = lambda t: len(t.split())
+    texts = ["a b c\nd e\nf", "a b. c d e f g", "", None, "  \n \u00a0\n x\u2003y \x85 z ", "One two. Three!  Four?\tFive six seven eight nine. T.e.n", "w " * 40, "a\x1cb\x1fc d", "Ends here.\n\nNext: it goes on. And on! " * 9, "é ü. ß\u3000漢字 x"]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for most in (1, 3, 7, 256):
+        got = sorted((r.k, r.chunk_idx, r.text, r.n_tokens) for r in tx.chunk_text(df, "k", "t", most).collect())
+        assert got == [(k, n, t, c) for k, x in enumerate(texts) for n, (t, c) in enumerate(tx.pack_chunks(x or "", most, count))]
+    tx.chunk_text(df, "k", "t", 5).explain()
+    assert "Python" not in capsys.readouterr().out and tx.chunk_text(df, "k", "t", 5, count).count() > 0
+    with pytest.raises(ValueError):
+        tx.word_chunks(F.col("t"), 0)
+
+
 def test_config_is_strict():
     ok = {"name": "x", "methods": [{"name": "t"}, {"name": "d", "kind": "model", "center": True}]}
     assert config.Config.model_validate(ok).variant_names() == ["t", "d", "d+center"]
