@@ -63,6 +63,8 @@ SWEEPS, BURN_IN = 4, 1
 END, START = b"\n", b""  # never words
 #: The tables of up to so many customers are drawn exactly.
 EXACT = 64
+#: Chances that are held at a time.
+CELLS = 1 << 17
 #: Means up to this are drawn from a binomial distribution, others from a normal one.
 SMALL = 12
 #: What the frequency of a byte alone counts for beside that of a pair of bytes.
@@ -222,8 +224,9 @@ def seated(count: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndar
     sizes = count[order].astype(np.int64)
     for c, begin in zip(*np.unique(sizes, return_index=True)):
         end = np.searchsorted(sizes, c, side="right")
-        for at in range(begin, end, 1 << 16):
-            own = order[at : min(at + (1 << 16), end)]
+        step = max(1, CELLS // int(c))
+        for at in range(begin, end, step):
+            own = order[at : min(at + step, end)]
             t = np.arange(1, c + 1)
             log_p = np.log(weight[own])[:, None] * t + logs[c, 1 : c + 1]
             p = np.cumsum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), axis=1)
