@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from peergraph import cli, config, reports, stages
+from peergraph import analyses, cli, config, reports, stages
 from peergraph.operators import contexts as cx
 from peergraph.operators import years as yr
 from peergraph.sources import artifacts
@@ -158,3 +158,79 @@ def test_earnings_lists_are_asked_once_and_failures_stay_out(spark):
     listed, cache = er.merged(None, fresh, firms)
     assert listed.count() == 4 and sorted(r.cik for r in cache.collect()) == [1, 2, 4] and [r.cik for r in er.todo(cache, firms).collect()] == [3]
     assert er.todo(cache.drop("items"), firms).count() == 4
+
+
+@pytest.fixture(scope="module")
+def market(spark, tmp_path_factory):
+    """Closes of the four analysed companies on 70 weekdays, and three earnings filings of each."""
+    import datetime as dt
+    import random
+
+    rng, day, closes, rows = random.Random(3), dt.date(2024, 1, 1), {t: 100.0 for _, t, _ in FIRMS[:4]}, []
+    while len(rows) < 4 * 70:
+        if day.weekday() < 5:
+            common = rng.gauss(0, 0.01)
+            for t in closes:
+                closes[t] *= 1 + common + rng.gauss(0, 0.02)
+                rows.append((day, t, closes[t]))
+        day += dt.timedelta(days=1)
+    days = sorted({r[0] for r in rows})
+    filings = [(c, f"e{c}-{n}", dt.datetime.combine(days[12 + 15 * n + c], dt.time(12, 30)), None) for c, _, _ in FIRMS for n in range(3)]
+    folder = tmp_path_factory.mktemp("market")
+    spark.createDataFrame(rows, "date date, ticker string, close double").write.parquet(f"{folder}/prices")
+    spark.createDataFrame(filings, "cik long, accession string, accepted timestamp, report_date date").write.parquet(f"{folder}/filings")
+    return str(folder)
+
+
+def test_samples_are_drawn_evaluated_and_stopped(run, spark):
+    r = stages.Run(spark, run[0].config, run[0].folder)
+    first = analyses.stage_sample(r, "s1", "confirm", 1)
+    assert first.count() > 0 and {x.sample_id for x in first.collect()} == {"s1"}
+    with pytest.raises(ValueError, match="there is a sample s1"):
+        analyses.stage_sample(r, "s1", "dev", 1)
+    with pytest.raises(ValueError, match="dev or confirm"):
+        analyses.stage_sample(r, "s2", "other", 1)
+    labels = [(x.unit_id, n, "yes", '["competitor"]', None, False, None) for n, x in enumerate(first.collect())]
+    artifacts.append_cache(r.path("reviews/labels"), spark.createDataFrame(labels, "unit_id string, label_id long, is_entity string, relations string, status string, skipped boolean, note string"))
+    tables = analyses.stage_eval_relations(r, "s1")
+    assert tables["units"].first().labeled == first.count()
+    with pytest.raises(ValueError, match="run `sample` first"):
+        analyses.stage_eval_relations(r, "s9")
+    other = r.config.model_copy(update={"thresholds": {"competitor": config.Threshold(accept=0.99, reject=0.1)}})
+    with pytest.raises(ValueError, match="settings changed since sample s1 was drawn: thresholds"):
+        analyses.stage_eval_relations(stages.Run(spark, other, r.folder), "s1")
+
+
+def test_reports_on_relations_and_explain_by_command(run, spark, market, monkeypatch, tmp_path, capsys):
+    r = stages.Run(spark, run[0].config, run[0].folder)
+    monkeypatch.setattr(cli.session, "build", lambda master: spark)
+    (tmp_path / "c.yaml").write_text(json.dumps(r.config.model_dump()))
+    own = ["--config", str(tmp_path / "c.yaml"), "--folder", r.folder]
+    text = lambda name: "\n".join(x.value for x in spark.read.text(r.path(f"reports/{name}.md")).collect())
+    cli.main(["stage", "relations-report", "--prices", f"{market}/prices", "--min-obs", "30", "--draws", "5", *own])
+    groups = {x.grp: x for x in r.load("research/groups", "").collect()}
+    assert groups["all"].n_pairs == 6 and groups["all"].n_firms == 4 and "competitor" in groups and groups["all"].lo is not None
+    report = text("relations")
+    assert report.startswith("# Do related companies move together") and "## Contrasts" in report and "- competitor: " in report
+    with pytest.raises(SystemExit, match="--prices"):
+        cli.main(["stage", "relations-report", *own])
+    cli.main(["show", "explain", "AA", "CC", *own])
+    assert "| rank |" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="has no chunks"):
+        analyses.explain(r, "words", "AA", "CC")
+    # the same graph against itself: everything is kept
+    cli.main(["stage", "relations-changes", "--base", r.folder, *own])
+    pairs = r.load("changes/pairs", "")
+    assert pairs.count() > 0 and {x.status for x in pairs.collect()} == {"kept"} and text("changes").startswith("# Changes of a year")
+
+
+def test_the_event_study_of_a_run(run, spark, market):
+    r = stages.Run(spark, run[0].config, run[0].folder)
+    tables = analyses.stage_relations_events(r, spark.read.parquet(f"{market}/prices"), spark.read.parquet(f"{market}/filings"), "words", 30, 3, variants=["drift"])
+    sizes = {x.spec: (x.n, x.n_events) for x in tables["sizes"].collect()}
+    assert set(sizes) == {"d01", "placebo", "bad", "good", "drift"} and sizes["d01"][1] == 12 and 0 < sizes["d01"][0] <= 36
+    assert sizes["bad"][1] + sizes["good"][1] == 12
+    assert {x.outcome: x.n for x in tables["outcomes"].collect()} == {"event": 12, "no_returns": 3}
+    assert {x.grp for x in tables["exclusion"].collect()} >= {"all", "competitor"}
+    report = "\n".join(x.value for x in spark.read.text(r.path("reports/events.md")).collect())
+    assert report.startswith("# Earnings events") and "- competitor: " in report and "## Left out by overlap" in report
