@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peergraph.llm.common import fresh
+from peergraph.llm.common import fresh, small_batches
 
 #: Entries after which a memo steps back for a new one; all four together stay below 150 MB in a
 #: worker, and are given back when its task ends.
@@ -169,6 +169,7 @@ def _codec(ranks, pattern: str) -> Codec:
 
 def _sent(docs: DataFrame, ranks_path: str):
     """The vocabulary, a fixed file of a few megabytes at most, read on the driver and broadcast."""
+    small_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
 

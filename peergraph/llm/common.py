@@ -48,10 +48,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc._peergraph_scratch
 
 
+#: Bytes of an Arrow batch between the JVM and a worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches end at ``BATCH_BYTES``: a batch is held several times, in the JVM and as Python objects.
+
+    A setting of the session, as plans are run after the operator has returned; a smaller one stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower()
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = now.rstrip("bkmg")
+    unit = now[len(digits) :].rstrip("b")
+    if int(digits) * scale.get(unit, 1) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
