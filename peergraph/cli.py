@@ -11,7 +11,7 @@ import importlib
 
 from peergraph import analyses, config, session, stages
 from peergraph.plans import catalogue
-from peergraph.sources import artifacts
+from peergraph.sources import aliases, artifacts
 
 STAGES = ("universe", "ingest", "documents", "embed", "neighbours", "evaluate", "mentions", "candidates", "judge", "export", "run")
 #: Stages after the graph, with the options that they need.
@@ -30,9 +30,11 @@ def plugin(name: str | None):
     return getattr(importlib.import_module(module), attribute)
 
 
-def _aliases(spark, path: str | None):
-    columns = "cast(null as string) as name, cast(null as string) as node, cast(null as string) as kind, cast(null as int) as since, cast(null as int) as until"
-    return spark.read.parquet(path) if path else spark.sql(f"select {columns} where false")
+def _aliases(run: stages.Run, path: str | None):
+    """Names from a YAML alias file or a Parquet table."""
+    if path and path.endswith((".yaml", ".yml")):
+        return aliases.resolve(run.spark, aliases.read(path), run.load("universe", "universe"))
+    return run.spark.read.parquet(path) if path else run.spark.createDataFrame([], aliases.ROWS)
 
 
 def run_stage(name: str, run: stages.Run, args: argparse.Namespace) -> None:
@@ -52,9 +54,9 @@ def run_stage(name: str, run: stages.Run, args: argparse.Namespace) -> None:
         "relations-changes": lambda: analyses.stage_relations_changes(stages.Run(spark, run.config, args.base), run),
         "universe": lambda: stages.stage_universe(run, table), "ingest": lambda: stages.stage_ingest(run, given), "documents": lambda: stages.stage_documents(run),
         "embed": lambda: stages.stage_embed(run, models), "neighbours": lambda: stages.stage_neighbours(run), "evaluate": lambda: stages.stage_evaluate(run),
-        "mentions": lambda: stages.stage_mentions(run, _aliases(spark, args.aliases), []), "candidates": lambda: stages.stage_candidates(run, variant),
+        "mentions": lambda: stages.stage_mentions(run, _aliases(run, args.aliases)), "candidates": lambda: stages.stage_candidates(run, variant),
         "judge": lambda: stages.stage_judge(run, given or stages.cx.keyword_scorer), "export": lambda: stages.stage_export(run),
-        "run": lambda: stages.run_all(run, given, listed=table, aliases=_aliases(spark, args.aliases)),
+        "run": lambda: stages.run_all(run, given, listed=table, aliases=_aliases(run, args.aliases)),
     }
     work[name]()
 

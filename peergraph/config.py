@@ -92,6 +92,7 @@ class Config(Strict):
     name: str
     universe: Universe = Field(default_factory=Universe)
     sections: list[str] = Field(default_factory=lambda: ["business", "risk_factors"])
+    exclude_suspect: bool = True
     methods: list[Method]
     ensembles: list[Ensemble] = Field(default_factory=list)
     evaluation: Evaluation = Field(default_factory=Evaluation)
@@ -114,6 +115,10 @@ class Config(Strict):
     def variant_names(self) -> list[str]:
         return [v for m in self.methods for v in ([m.name, f"{m.name}+center"] if m.center else [m.name])]
 
+    def statuses(self) -> tuple[str, ...]:
+        """Section statuses that are read."""
+        return ("ok",) if self.exclude_suspect else ("ok", "suspect")
+
     def threshold(self, question: str) -> Threshold:
         return self.thresholds.get(question, self.default_threshold)
 

@@ -39,6 +39,15 @@ def leave_one_out_market(returns: DataFrame) -> DataFrame:
     return joined.withColumn("m", F.when(others > 0, (F.col("total") - F.coalesce("r", F.lit(0.0))) / others)).drop("total", "n")
 
 
+def index_market(returns: DataFrame, index: str | int) -> DataFrame:
+    """``returns`` of the others with ``m``: the return of the ticker ``index`` that day, null without one."""
+    own = returns.where(F.col("ticker") == index).select("day", F.col("r").alias("m"))
+    if own.isEmpty():
+        raise ValueError(f"no returns of the index {index}")
+    # a series: one row to a day
+    return returns.where(F.col("ticker") != index).join(F.broadcast(own), "day", "left").select("ticker", "day", "r", "m")
+
+
 def market_betas(returns: DataFrame, min_obs: int) -> DataFrame:
     """(ticker, alpha, beta, n): OLS of r on m over the days that have both."""
     return returns.groupBy("ticker").agg(

@@ -49,6 +49,14 @@ def session_label(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", es.session(es.local_time(F.col("ts"))).alias("session"))
 
 
+def early_close_sessions(spark, sf_dir):
+    """Sessions where every tenth calendar day closes at 13:00, and the day that an announcement then counts for."""
+    e = _events(spark, sf_dir).where("event_type = 'signup'").select(F.col("user_id").alias("firm"), F.col("event_id").alias("accession"), F.col("ts").alias("accepted"), F.lit(None).cast("date").alias("report_date"))
+    days = _calendar(spark, sf_dir)
+    early = days.where("day % 10 = 0").select("date", F.lit(13).alias("close_hour"))
+    return es.day_zero(e, days, early).select("accession", "session", "day0")
+
+
 def day_zero_asof(spark, sf_dir):
     return _filings(spark, sf_dir).select("accession", "session", "day0", "moved")
 
@@ -145,7 +153,7 @@ def spill_examples(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        session_label, day_zero_asof, event_dedupe, window_car, own_event_overlap, event_moments, group_slopes, news_transfer, spill_regression,
+        session_label, early_close_sessions, day_zero_asof, event_dedupe, window_car, own_event_overlap, event_moments, group_slopes, news_transfer, spill_regression,
         day_profile, winsorized_moves, placebo_slopes, spill_examples,
     )
 }
@@ -180,6 +188,12 @@ ORACLES = {
     "session_label": """
 select event_id, case when hour(l) >= 16 then 'after' when hour(l) * 60 + minute(l) < 570 then 'pre' else 'intraday' end as session
 from (select event_id, timezone('America/New_York', timezone('UTC', ts)) as l from events)""",
+    "early_close_sessions": """
+with cal as (select date, row_number() over (order by date) - 1 as day from (select distinct ts::date as date from events) where dayofweek(date) between 1 and 5),
+l as (select event_id as accession, timezone('America/New_York', timezone('UTC', ts)) as t from events where event_type = 'signup'),
+s as (select accession, t::date as d, case when hour(t) >= case when cal.day % 10 = 0 then 13 else 16 end then 'after' when hour(t) * 60 + minute(t) < 570 then 'pre' else 'intraday' end as session from l left join cal on cal.date = t::date),
+z as (select *, (select min(day) from cal where case when session = 'after' then date > d else date >= d end) as own from s)
+select accession, session, case when own >= 1 then own else -1 end::bigint as day0 from z""",
     "day_zero_asof": f"with {STUDY} select accession, session, day0, moved from filed",
     "event_dedupe": f"""with {STUDY} select outcome, count(*) as n from (
   select case when firm % 5 = 0 then 'no_returns' when day0 < 0 then 'outside'

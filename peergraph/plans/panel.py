@@ -54,6 +54,13 @@ def residuals(spark, sf_dir):
     return _residuals(spark, sf_dir).select("ticker", "day", F.round("e", 4).alias("e"))
 
 
+def index_residuals(spark, sf_dir):
+    """Residuals against an index, the supplier of the smallest number."""
+    returns = _returns(spark, sf_dir)
+    index = returns.agg(F.min("ticker")).first()[0]
+    return rt.residuals(rt.index_market(returns, index), MIN_OBS).select("ticker", "day", (F.round("e", 4) + 0.0).alias("e"))
+
+
 def residual_corr(spark, sf_dir):
     return _corr(spark, sf_dir).select("i", "j", (F.round("corr", 4) + 0.0).alias("corr"), "n")
 
@@ -167,7 +174,7 @@ def coverage(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        daily_returns, loo_market, market_beta, residuals, residual_corr, peer_corr_by_label, random_baseline, gram_matrix, pair_regression, firm_effects_boot, pair_regression_boot,
+        daily_returns, loo_market, market_beta, residuals, index_residuals, residual_corr, peer_corr_by_label, random_baseline, gram_matrix, pair_regression, firm_effects_boot, pair_regression_boot,
         firm_effects_regression, pair_groups, group_means_boot, lead_lag_corr, top_pairs, coverage,
     )
 }
@@ -212,6 +219,9 @@ ORACLES = {
     "loo_market": f"with {PANEL} select ticker, day, round(m, 6) as m from market",
     "market_beta": f"with {PANEL} select ticker, round(alpha, 4) as alpha, round(beta, 4) as beta, n from betas",
     "residuals": f"with {PANEL} select ticker, day, round(e, 4) as e from resid",
+    "index_residuals": f"""with {PANEL}, ix as (select min(ticker) as t from rets), im as (select a.ticker, a.day, a.r, b.r as m from rets a join ix on a.ticker <> ix.t left join rets b on b.ticker = ix.t and b.day = a.day),
+ib as (select ticker, regr_intercept(r, m) as alpha, regr_slope(r, m) as beta from im group by ticker having regr_count(r, m) >= 40)
+select ticker, day, round(r - (alpha + beta * m), 4) + 0.0::double as e from im join ib using (ticker) where m is not null""",
     "residual_corr": f"with {PANEL} select i, j, round(corr, 4) + 0.0::double as corr, n from pairs",
     "peer_corr_by_label": f"""with {PANEL}, f as (
   select i, avg(corr) as c from both_ways join firms a on a.ticker = i join firms b on b.ticker = j where a.sub = b.sub group by i)

@@ -119,6 +119,15 @@ def context_exclusions(spark, sf_dir):
     return lines.where("excluded is not null").select("doc_id", "pos", "excluded")
 
 
+def window_exclusions(spark, sf_dir):
+    """M5: rules on the document around a mention, here the first full stop of every text."""
+    at = F.instr(F.col("text"), ".") - 1
+    spots = _docs(spark, sf_dir).where("instr(text, '.') > 0").select("doc_id", "text", at.alias("start"), (at + 1).alias("end"), F.lit("n").alias("node"), F.lit("").alias("own"))
+    rules = [("near_number", r"[0-9]", None, 25), ("capital", r"[A-Z][a-z]+ [A-Z]", None, 60), ("other", r".", ["m"], 5), ("span", r"x", None)]
+    found = nm.exclude(spots, rules, "node", "own", "text")
+    return found.select("doc_id", "start", F.coalesce("excluded", F.lit("-")).alias("excluded"))
+
+
 def text_keys(spark, sf_dir):
     """Hashes and slugs."""
     return _docs(spark, sf_dir).select("doc_id", mn.text_hash(F.coalesce("text", F.lit(""))).alias("text_hash"), mn.slug(F.concat_ws(" / ", "source", "lang")).alias("slug"))
@@ -161,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_flags, repeated_headers, clean_sections, assess_status, normalized_text, cross_duplicate, chunk_text, leading_chunks, name_dictionary,
-        dictionary_mentions, mention_spans, span_cues, context_exclusions, text_keys, revenue_figures, html_table, html_grid,
+        dictionary_mentions, mention_spans, span_cues, context_exclusions, window_exclusions, text_keys, revenue_figures, html_table, html_grid,
     )
 }
 
@@ -194,6 +203,10 @@ select * from c where cue is not null""",
     "context_exclusions": f"""with {_LINES}, e as (select doc_id, pos::int as pos, case when regexp_matches(line, '(?i)token|password|secret') then 'context:secret'
   when regexp_matches(line, '[0-9]{{6,}}') then 'context:digits' when regexp_matches(line, '^[A-Z !,.]+$') then 'context:shout' end as excluded from lines)
 select * from e where excluded is not null""",
+    "window_exclusions": """
+with p as (select doc_id, text, instr(text, '.') - 1 as start from documents where instr(text, '.') > 0),
+w as (select doc_id, start, substr(text, greatest(start - 25, 0) + 1, start + 26 - greatest(start - 25, 0)) as near, substr(text, greatest(start - 60, 0) + 1, start + 61 - greatest(start - 60, 0)) as far from p)
+select doc_id, start::int as start, case when regexp_matches(near, '[0-9]') then 'context:near_number' when regexp_matches(far, '[A-Z][a-z]+ [A-Z]') then 'context:capital' else '-' end as excluded from w""",
     "text_keys": r"""select doc_id, substr(sha1(coalesce(text, '')), 1, 16) as text_hash,
   regexp_replace(regexp_replace(lower(concat_ws(' / ', source, lang)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents""",
     "revenue_figures": """

@@ -27,6 +27,7 @@ from peergraph.operators import reviews as rv
 from peergraph.operators import scoring as sc
 from peergraph.operators import vectors as vec
 from peergraph.sources import artifacts, snapshots, universe
+from peergraph.sources.aliases import Aliases
 from peergraph.sources.scratch import table
 
 CENTER = "+center"
@@ -112,7 +113,7 @@ def stage_embed(run: Run, models: dict[str, Callable[[list[str]], list[list[floa
     """Vectors of every method: TF-IDF weights, or a model's chunk vectors, cached and pooled; meta.json beside them."""
     docs, out = run.load("documents", "documents"), {}
     for m in run.config.methods:
-        usable = universe.usable(docs, [m.section])
+        usable = universe.usable(docs, [m.section], with_suspect=not run.config.exclude_suspect)
         own = docs.where(F.col("section") == m.section).join(usable, "cik", "left_semi").select("cik", "ticker", "text")
         n = own.count()
         if n < 3:
@@ -189,15 +190,26 @@ def stage_evaluate(run: Run) -> DataFrame:
     return kept
 
 
-def stage_mentions(run: Run, aliases: DataFrame, generic: list[str], rules: list[tuple[str, str, list[str] | None]] = ()) -> dict[str, DataFrame]:
-    """mentions, spans, figures and nodes of the analysed sections."""
-    docs = run.load("documents", "documents").where("status = 'ok' and accession is not null").select("cik", "accession", "section", "text", "period")
+def stage_mentions(
+    run: Run, aliases: DataFrame | Aliases, generic: list[str] = (), rules: list[tuple] = ()
+) -> dict[str, DataFrame]:
+    """mentions, spans, figures and nodes of the analysed sections; ``aliases`` as a table of names, or an alias file's."""
+    docs = run.load("documents", "documents").where(F.col("status").isin(*run.config.statuses()) & F.col("accession").isNotNull())
+    docs = docs.select("cik", "accession", "section", "text", "period")
     firms = run.load("universe", "universe")
-    node = F.concat(F.lit("cik:"), F.col("cik").cast("string"))
-    dictionary = nm.build_dictionary(firms.select(node.alias("node"), "name"), aliases, generic)
-    found = {k: run.publish(v, f"relations/{k}") for k, v in mn.mention_tables(docs, dictionary, rules).items()}
-    external = aliases.where("node not like 'cik:%'").groupBy("node").agg(F.min("name").alias("name")).select(F.col("node").alias("node_id"), "name").unionByName(found["anonymous"])
-    found["nodes"] = run.publish(artifacts.nodes(firms, docs.select("cik"), external), "relations/nodes")
+    named = firms.select(F.concat(F.lit("cik:"), F.col("cik").cast("string")).alias("node"), "name")
+    declared = None
+    if isinstance(aliases, Aliases):
+        named = named.join(F.broadcast(aliases.periods), "node", "left")  # an alias file's companies
+        generic, rules, declared, aliases = [*generic, *aliases.generic], [*rules, *aliases.rules], aliases.externals, aliases.names
+    dictionary = nm.build_dictionary(named, aliases, list(generic))
+    found = {k: run.publish(v, f"relations/{k}") for k, v in mn.mention_tables(docs, dictionary, list(rules)).items()}
+    external = aliases.where("node not like 'cik:%'").groupBy("node").agg(F.min("name").alias("name")).select(F.col("node").alias("node_id"), "name")
+    if declared is not None:
+        # companies outside the universe go by the name the file gives them, those with a number included
+        inside = named.select(F.col("node").alias("node_id"))
+        external = declared.join(inside, "node_id", "left_anti").unionByName(external.join(declared.select("node_id"), "node_id", "left_anti"))
+    found["nodes"] = run.publish(artifacts.nodes(firms, docs.select("cik"), external.unionByName(found["anonymous"])), "relations/nodes")
     return found
 
 
