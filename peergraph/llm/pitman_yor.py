@@ -178,6 +178,14 @@ def log_stirling(discount: float) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=8)
+def stirling_ratios(discount: float) -> np.ndarray:
+    """[c, t]: S(c, t + 1) / S(c, t) for t from 1 below c, c up to EXACT."""
+    logs = log_stirling(discount)
+    with np.errstate(invalid="ignore"):
+        return np.nan_to_num(np.exp(logs[:, 1:] - logs[:, :-1]), nan=0.0, posinf=0.0)
+
+
 def normal(seed: np.ndarray, sweep: int, step: int) -> np.ndarray:
     """Normal numbers from two uniform ones."""
     radius = np.sqrt(-2 * np.log(np.maximum(uniform(seed, sweep, step), 1e-16)))
@@ -193,7 +201,7 @@ def _many_moments(count: np.ndarray, weight: np.ndarray, discount: float) -> tup
     makes the sum by itself, that correction is one table.
     """
     low, high = np.full(len(count), -700.0), np.zeros(len(count))
-    for _ in range(64):
+    for _ in range(42):
         middle = (low + high) / 2
         over = weight * -np.expm1(middle) * np.exp(middle * (discount - 1)) > count
         low, high = np.where(over, middle, low), np.where(over, high, middle)
@@ -208,6 +216,19 @@ def _many_moments(count: np.ndarray, weight: np.ndarray, discount: float) -> tup
     return mean + 1 + many * (second - 1), mean * np.maximum(1 - s1**2 / (phi * s2), 0)
 
 
+def _drawn(c: int, weight: np.ndarray, chance: np.ndarray, discount: float) -> np.ndarray:
+    """Tables of dishes of ``c`` customers each, by inversion of weight**t S(c, t)."""
+    if weight.max() > 1e3:  # a product of so many weights could leave the range of numbers
+        log_p = np.log(weight)[:, None] * np.arange(1, c + 1) + log_stirling(discount)[c, 1 : c + 1]
+        p = np.cumsum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), axis=1)
+    else:
+        p = np.empty((len(weight), c))
+        p[:, 0] = 1.0
+        np.multiply(weight[:, None], stirling_ratios(discount)[c, 1:c], out=p[:, 1:])
+        np.cumsum(np.cumprod(p, axis=1, out=p), axis=1, out=p)
+    return 1.0 + (p < (chance * p[:, -1])[:, None]).sum(axis=1)
+
+
 def seated(count: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of each dish, drawn given all other dishes: the chance of t tables goes with weight**t S(count, t).
 
@@ -218,19 +239,17 @@ def seated(count: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndar
     """
     tables = np.minimum(count, 1).astype(np.float64)
     weight = np.maximum(weight, 1e-300)
-    logs, chance = log_stirling(discount), uniform(seed, sweep, 0)
+    chance = uniform(seed, sweep, 0)
     few = np.flatnonzero((count > 1) & (count <= EXACT))
-    order = few[np.argsort(count[few], kind="stable")]
-    sizes = count[order].astype(np.int64)
-    for c, begin in zip(*np.unique(sizes, return_index=True)):
-        end = np.searchsorted(sizes, c, side="right")
-        step = max(1, CELLS // int(c))
-        for at in range(begin, end, step):
-            own = order[at : min(at + step, end)]
-            t = np.arange(1, c + 1)
-            log_p = np.log(weight[own])[:, None] * t + logs[c, 1 : c + 1]
-            p = np.cumsum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), axis=1)
-            tables[own] = 1 + (p < chance[own, None] * p[:, -1:]).sum(axis=1)
+    sizes = count[few].astype(np.uint8)
+    order = np.argsort(sizes, kind="stable")  # small integers: counted, not compared
+    few, sizes = few[order], sizes[order]
+    edges = np.searchsorted(sizes, np.arange(EXACT + 2, dtype=np.uint8))
+    for c in range(2, EXACT + 1):
+        step = CELLS // c
+        for at in range(edges[c], edges[c + 1], step):
+            own = few[at : min(at + step, edges[c + 1])]
+            tables[own] = _drawn(c, weight[own], chance[own], discount)
     many = np.flatnonzero(count > EXACT)
     if len(many):
         c = count[many].astype(np.float64)
@@ -373,7 +392,7 @@ class Chunk:
         key = flat * n
         key[1:] += flat[:-1]
         key[self.first] += self.start - np.where(self.first > 0, flat[self.first - 1], 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         self.of = np.empty(len(flat), np.int32)
@@ -384,7 +403,7 @@ class Chunk:
     def coded(self) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of the pairs, the order in which they ascend)."""
         code = pair_hash(self.hashes[self.word], self.hashes[self.before])
-        return code, np.argsort(code, kind="stable")
+        return code, np.argsort(code)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -687,6 +706,8 @@ def score_documents(
     mail = of(pairs, PAIRS).unionByName(of(owners, KNOWN)).unionByName(of(seats, TABLES))
     for _, answers in kept:
         mail = mail.unionByName(answers)
+    spark.sql(f"drop table if exists {names.pop('entries')}")  # scores need the answers only
+    scratch.drop("entries")
     scored = scratch.table(together(chunks, mail).applyInArrow(_score([s for s, _ in kept], words, tokens), RESULT), "scored")
     for name, table in names.items():
         spark.sql(f"drop table if exists {table}")
