@@ -214,7 +214,38 @@ _CELLS = " union all ".join(
     f"select '{a}*{b}' as cell, round(sum({'1.0::double' if a == '1' else a} * {'1.0::double' if b == '1' else b}), 4) + 0.0::double as v from zed" for i, a in enumerate(_TERMS) for b in _TERMS[i:]
 )
 
+
+
+def _apart(x: str, others: tuple[str, str]) -> str:
+    """CTEs that end in r_<x>: what ``others`` do not explain of ``x``; its slope is the coefficient beside them."""
+    a, b = others
+    return f"""o_{x} as (select *, {b} - (select regr_slope({b}, {a}) from zed) * {a} as bb, {x} - (select regr_slope({x}, {a}) from zed) * {a} as xa from zed),
+r_{x} as (select *, xa - (select regr_slope(xa, bb) from o_{x}) * bb as e from o_{x})"""
+
+
+_XS = ("same_sub", "same_sector", "z")
+_FIT = f"""with {{panel}}, {', '.join(_apart(x, tuple(o for o in _XS if o != x)) for x in _XS)},
+b as (select (select regr_slope(y, e) from r_same_sub) as same_sub, (select regr_slope(y, e) from r_same_sector) as same_sector, (select regr_slope(y, e) from r_z) as z),
+m as (select avg(y) as y, avg(same_sub) as x1, avg(same_sector) as x2, avg(z) as x3, var_pop(y) as v from zed),
+c as (select b.*, m.y - b.same_sub * x1 - b.same_sector * x2 - b.z * x3 as one, m.v from b, m),
+f as (select var_pop(q.y - c.same_sub * q.same_sub - c.same_sector * q.same_sector - c.z * q.z) as r from zed q, c),
+g as (select same_sub, same_sector, y, y - (select regr_slope(y, same_sub) from zed) * same_sub as ya, same_sector - (select regr_slope(same_sector, same_sub) from zed) * same_sub as xa from zed),
+h as (select var_pop(ya - (select regr_slope(ya, xa) from g) * xa) as r from g)
+select '1' as name, round(one, 5) as value from c union all select 'same_sub', round(same_sub, 5) from c union all select 'same_sector', round(same_sector, 5) from c
+union all select 'z', round(z, 5) from c union all select 'r2', round(1 - f.r / c.v, 5) from c, f union all select 'r2_without', round(1 - h.r / c.v, 5) from c, h"""
+#: Every two suppliers are a pair, so the effects that sums by company call for have a closed form.
+_EFFECTS = """with {panel}, w as (select i, j, unnest(['same_sub', 'same_sector', 'y']) as c, unnest([same_sub, same_sector, y]) as v from zed),
+s as (select c, k, sum(v) as s from (select c, i as k, v from w union all select c, j, v from w) group by all),
+t as (select c, sum(s) / 2 as t, count(*) as n from s group by c),
+a as (select c, k, (s - t / (n - 1)) / (n - 2) as a from s join t using (c)),
+e as (select w.i, w.j, max(case when w.c = 'same_sub' then v - p.a - q.a end) as x1, max(case when w.c = 'same_sector' then v - p.a - q.a end) as x2, max(case when w.c = 'y' then v - p.a - q.a end) as y
+  from w join a p on p.c = w.c and p.k = w.i join a q on q.c = w.c and q.k = w.j group by w.i, w.j),
+g as (select sum(x1 * x1) as a, sum(x1 * x2) as b, sum(x2 * x2) as d, sum(x1 * y) as u, sum(x2 * y) as v from e)
+select 'same_sub' as name, round((d * u - b * v) / (a * d - b * b), 5) as value from g union all select 'same_sector', round((a * v - b * u) / (a * d - b * b), 5) from g"""
+
 ORACLES = {
+    "pair_regression": _FIT.format(panel=PANEL),
+    "firm_effects_regression": _EFFECTS.format(panel=PANEL),
     "daily_returns": f"with {PANEL} select ticker, day, round(r, 6) as r from rets",
     "loo_market": f"with {PANEL} select ticker, day, round(m, 6) as m from market",
     "market_beta": f"with {PANEL} select ticker, round(alpha, 4) as alpha, round(beta, 4) as beta, n from betas",
