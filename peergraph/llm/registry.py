@@ -206,6 +206,7 @@ select conv_id, turn, coalesce(role, '') as role, turn as anchor, 0::int as leve
        0::bigint as n_calls, 0::bigint as n_answered, 0::bigint as n_invalid, 'plain' as status, '' as errors,
        '{"content":' || to_json(coalesce(text, ''))::varchar || ',"role":' || to_json(coalesce(role, ''))::varchar || '}' as message
 from conversations""",
+    "op11_suffix_dedup": registry_sql.SUFFIX_DEDUP,
     "op12_source_divergence": registry_sql.SOURCE_DIVERGENCE,
     "op13_vector_codes": registry_sql.VECTOR_CODES,
 }

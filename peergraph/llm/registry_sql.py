@@ -45,6 +45,33 @@ with docs as (
 )
 select lang, source, part, item, value, rank from ranked"""
 
+#: Bytes as pairs of hexadecimal digits; strings of 200 bytes by a 64-bit hash, cut from blocks as a cut counts from the start.
+SUFFIX_DEDUP = r"""
+with docs as (
+  select row_number() over () as d, doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), sized as (
+  select d, doc_id, h, length(h) // 2 as n from docs
+), blocks as (
+  select d, b, least(512, n - 199 - b) as m, h[2 * b + 1 : 2 * b + 1422] as part from (select d, n, h, unnest(range(0, n - 199, 512)) as b from sized where n >= 200)
+), starts as (
+  select d, b + j as i, hash(part[2 * j + 1 : 2 * j + 400]) as w from (select d, b, part, unnest(range(0, m)) as j from blocks)
+), again as (
+  select d, i from starts where w in (select w from starts group by w having count(*) > 1)
+), marked as (
+  select d, i, case when i > lag(i) over (partition by d order by i) + 200 then 1 else 0 end as new from again
+), runs as (
+  select d, r, min(i) as s, max(i) + 200 as e from (select d, i, sum(new) over (partition by d order by i) as r from marked) group by d, r
+), gaps as (
+  select d, coalesce(lag(e) over (partition by d order by s), 0) as a, s as b from runs
+  union all select d, max(e), null from runs group by d
+), kept as (
+  select d, string_agg(h[2 * a + 1 : 2 * coalesce(b, n)], '' order by a) as k from gaps join sized using (d) group by d
+), totals as (
+  select d, sum(e - s)::bigint as n_removed, count(*) as n_spans from runs group by d
+)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from sized left join totals using (d) left join kept using (d)"""
+
 _ASSIGN = """
 far{0} as (
   select p.rid, p.m, b.k, sum((p.x - b.x) * (p.x - b.x))::bigint as far
