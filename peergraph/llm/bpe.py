@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peergraph.llm.common import fresh, small_batches
+from peergraph.llm.common import fresh, give_back, small_batches
 
-#: Entries after which a memo steps back for a new one; all four together stay below 150 MB in a
+#: Entries after which a memo steps back for a new one; all four together stay below 100 MB in a
 #: worker, and are given back when its task ends.
-MEMO = 200_000
-MEMO_PAIRS = 400_000
+MEMO = 150_000
+MEMO_PAIRS = 200_000
 #: Longer pieces are encoded but not remembered.
 MEMO_PIECE = 48
 NO_RANK = 1 << 62
@@ -77,6 +77,7 @@ class PieceEncoder(dict):
         """Gives the memos back: a worker that waits for other work keeps the vocabulary alone."""
         self.clear()
         self.former, self.compatible, self.former_compatible = {}, {}, {}
+        give_back()
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: join the adjacent pair of least rank, leftmost first, as long as there is one."""
