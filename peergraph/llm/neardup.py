@@ -35,9 +35,11 @@ from peergraph.llm.components import components
 from peergraph.llm.simhash import SEED, fingerprint, shingles, words_of
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 34
-TILE, SUBTILE = 4_096, 512
-#: Shingles to a tile that carries its shingle sets.
-TILE_SHINGLES = 500_000
+#: A tile is sent to as many tasks as there are tiles near it, so larger tiles mean fewer copies: the bytes sent
+#: grow with rows squared / TILE, and 10 MB of a tile's rows are in a task at once.
+TILE, SUBTILE = 32_768, 512
+#: Shingles to a tile that carries its shingle sets, 8 bytes each.
+TILE_SHINGLES = 1_000_000
 BANDS = 4  # count bands to a factor of 1 / SIMILARITY
 #: Rows of (digest, identifier) that are broadcast: about 20 MB.
 SMALL = 200_000
@@ -86,17 +88,20 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
 
 
 class Tile:
-    """Classes of one tile, sorted by population count; with their shingle hashes where rows have ``set``."""
+    """Classes of one tile, sorted by population count; with their shingle hashes, in order, where rows have ``set``; a row without ``label`` is its own."""
 
-    def __init__(self, rows: list[dict]):
-        f = np.array([(r["f1"], r["f2"]) for r in rows], np.int64).view(np.uint64).reshape(-1, 2)
+    def __init__(self, rows: pa.StructArray):
+        column = lambda c: rows.field(c).to_numpy(zero_copy_only=False)
+        f = np.stack([column("f1"), column("f2")], axis=1).view(np.uint64)
         ones = np.bitwise_count(f).sum(axis=1, dtype=np.int64)
         order = np.argsort(ones, kind="stable")
         self.f, self.ones = f[order], ones[order]
-        self.size = np.array([r["size"] for r in rows], np.float64)[order]
-        self.k = [rows[i]["k"] for i in order]
-        self.label = [rows[i]["label"] for i in order]
-        self.sets = [frozenset(np.frombuffer(rows[i]["set"], np.uint64).tolist()) for i in order] if rows[0].get("set") is not None else None
+        self.size = column("size").astype(np.float64)[order]
+        names = {field.name for field in rows.type}
+        sorted_by_ones = lambda c: rows.field(c).take(pa.array(order)).to_pylist()
+        self.k = sorted_by_ones("k")
+        self.label = sorted_by_ones("label") if "label" in names else self.k
+        self.sets = [np.frombuffer(x, np.uint64) for x in sorted_by_ones("set")] if "set" in names else None
 
 
 def candidate_links(a: Tile, b: Tile, same: bool, radius: int, similarity: float) -> list[tuple[bytes, bytes]]:
@@ -140,21 +145,21 @@ def candidate_links(a: Tile, b: Tile, same: bool, radius: int, similarity: float
                 for c in hit[label[base + hit] != label[row]].tolist():
                     other = label[base + c]
                     if other != label[row]:
-                        both = len(own & b.sets[c])
+                        both = len(np.intersect1d(own, b.sets[c], assume_unique=True))
                         if both >= similarity * (len(own) + len(b.sets[c]) - both):
                             join(row, other, base + c)
     return out
 
 
 def tiled_links(classes: DataFrame, scratch: Scratch, name: str, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
-    """(a, b) of the forest links among ``classes`` (k, size, f1, f2, label, and set to confirm them)."""
+    """(a, b) of the forest links among ``classes`` (k, size, f1, f2; label, without which each is its own, and set to confirm them)."""
     spark = classes.sparkSession
-    carried = ["k", "size", "f1", "f2", "label", *(["set"] if "set" in classes.columns else [])]
+    carried = ["k", "size", "f1", "f2", *(c for c in ("label", "set") if c in classes.columns)]
     band = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / math.log(1 / similarity) * BANDS)).otherwise(-100).cast("int")
     keyed = scratch.table(classes.withColumn("band", band), f"{name}-keyed")
     counts = dict(keyed.groupBy("band").count().collect())  # a few hundred bands for any count of shingles
     # a tile with sets holds about TILE_SHINGLES shingles
-    rows = lambda b: min(tile, max(16, int(TILE_SHINGLES * similarity ** (b / BANDS)))) if len(carried) > 5 else tile
+    rows = lambda b: min(tile, max(16, int(TILE_SHINGLES * similarity ** (b / BANDS)))) if "set" in carried else tile
     chunks = {b: -(-n // rows(b)) for b, n in counts.items()}
     pairs = [(x, chunks[x], y, chunks[y]) for x in chunks for y in range(x, x + BANDS + 2) if y in chunks]
     pairs = F.broadcast(spark.createDataFrame(pairs or [(-1, 1, -1, 1)], "lb int, lc int, rb int, rc int"))
@@ -163,6 +168,7 @@ def tiled_links(classes: DataFrame, scratch: Scratch, name: str, radius: int, si
         F.collect_list(F.struct(*carried)).alias("rows")
     )
     tiles = scratch.table(tiles, f"{name}-tiles")
+    scratch.drop(f"{name}-keyed")
     ordered = "lb < rb or li <= ri"
     left = tiles.join(pairs, F.col("band") == F.col("lb")).select(
         "lb", F.col("chunk").alias("li"), "rb", F.explode(F.sequence(F.lit(0), F.col("rc") - 1)).alias("ri"), F.col("rows").alias("x")
@@ -175,16 +181,18 @@ def tiled_links(classes: DataFrame, scratch: Scratch, name: str, radius: int, si
         for batch in batches:
             links = []
             for i in range(batch.num_rows):
-                lb, li, rb, ri, x, y = (batch.column(c)[i].as_py() for c in range(6))
+                lb, li, rb, ri = (batch.column(c)[i].as_py() for c in range(4))
                 same = (lb, li) == (rb, ri)
-                a = Tile(x)
-                links += candidate_links(a, a if same else Tile(y), same, radius, similarity)
+                a = Tile(batch.column(4)[i].values)
+                links += candidate_links(a, a if same else Tile(batch.column(5)[i].values), same, radius, similarity)
             a, b = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     both = left.join(right, ["lb", "li", "rb", "ri"]).select("lb", "li", "rb", "ri", "x", "y")
     found = both.mapInArrow(compare, "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return scratch.table(found, f"{name}-links")
+    links = scratch.table(found, f"{name}-links")
+    scratch.drop(f"{name}-tiles")
+    return links
 
 
 def confirmed(links: DataFrame, docs: DataFrame, text: str, n: int, similarity: float, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
@@ -229,7 +237,7 @@ def near_duplicates(
         F.first("size").alias("size"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.count(F.lit(1)).alias("rows")
     ), "marked")
     classes = scratch.table(
-        marked.groupBy("k").agg(F.first("size").alias("size"), F.first("f1").alias("f1"), F.first("f2").alias("f2")).withColumn("label", F.col("k")), "classes"
+        marked.groupBy("k").agg(F.first("size").alias("size"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), "classes"
     )
     links, sets = confirmed(tiled_links(classes, scratch, "forest", radius, similarity, tile), docs, text, n, similarity, scratch, "forest")
     good = links.where("good").select("a", "b")
