@@ -90,33 +90,39 @@ def event_moments(spark, sf_dir):
     return m.select("firm", "partner", "n", *[(F.round(c, 3) + 0.0).alias(c) for c in ("sx", "sxx", "sy", "sxy")])
 
 
+def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(firm, day, x) of announcers and (partner, day, y) of those without an own event: their pairs are those of ``_pairs`` that do not overlap."""
+    car = es.window_sums(_series(spark, sf_dir), 0, 1)
+    own = _announced(spark, sf_dir).select("firm", "day0")
+    mine = own.join(car.select(F.col("ticker").alias("firm"), F.col("day").alias("day0"), F.col("car").alias("x")), ["firm", "day0"])
+    other = es.own_event_overlap(car.select(F.col("ticker").alias("partner"), F.col("day").alias("day0"), F.col("car").alias("y")), own, 0, 1).where("not overlap")
+    return mine.select("firm", F.col("day0").alias("day"), "x"), other.select("partner", F.col("day0").alias("day"), "y")
+
+
 def _grouped(spark, sf_dir) -> DataFrame:
-    m = es.pair_moments(_pairs(spark, sf_dir).where("not overlap"), ["firm", "partner"])
-    return es.cells(m.withColumn("near", F.abs(F.col("firm") - F.col("partner")) <= 5).withColumn("even", (F.col("firm") + F.col("partner")) % 2 == 0), ["near", "even"])
+    """Moments by whether two companies are at most 5 apart and their sum is even."""
+    return es.cell_moments(*_sides(spark, sf_dir), 5)
 
 
 def group_slopes(spark, sf_dir):
-    sums = es.re_add(_grouped(spark, sf_dir), ["cell"])
+    sums = _grouped(spark, sf_dir)
     return sums.select("cell", "n", F.round(es.slope(), 4).alias("slope"))
 
 
 def news_transfer(spark, sf_dir):
     """Events against all other days, by cell."""
-    pairs = _grouped(spark, sf_dir)
-    event = es.re_add(pairs, ["cell"]).select("cell", *[F.col(c).alias(f"e_{c}") for c in ("n", "sx", "sxx", "sy", "sxy")])
+    event = _grouped(spark, sf_dir).select("cell", *[F.col(c).alias(f"e_{c}") for c in ("n", "sx", "sxx", "sy", "sxy")])
     car = es.window_sums(_series(spark, sf_dir), 0, 1)
     quiet = car.join(_announced(spark, sf_dir).select(F.col("firm").alias("ticker"), F.col("day0").alias("day")), ["ticker", "day"], "left_anti")
     a = quiet.select(F.col("ticker").alias("firm"), "day", F.col("car").alias("x"))
     b = quiet.select(F.col("ticker").alias("partner"), "day", F.col("car").alias("y"))
-    normal = es.pair_moments(a.join(b, "day").where("firm <> partner"), ["firm", "partner"])
-    normal = es.cells(normal.withColumn("near", F.abs(F.col("firm") - F.col("partner")) <= 5).withColumn("even", (F.col("firm") + F.col("partner")) % 2 == 0), ["near", "even"])
-    normal = es.re_add(normal, ["cell"]).select("cell", *[F.col(c).alias(f"q_{c}") for c in ("n", "sx", "sxx", "sy", "sxy")])
+    normal = es.cell_moments(a, b, 5).select("cell", *[F.col(c).alias(f"q_{c}") for c in ("n", "sx", "sxx", "sy", "sxy")])
     return event.join(normal, "cell").select("cell", F.round(es.transfer("e_", "q_"), 4).alias("transfer"))
 
 
 def spill_regression(spark, sf_dir):
     """Interacted slopes from the cell moments."""
-    coef = es.interacted_slopes(es.re_add(_grouped(spark, sf_dir), ["cell"]), ["near", "even"])
+    coef = es.interacted_slopes(_grouped(spark, sf_dir), ["near", "even"])
     return spark.createDataFrame([(k, None if v is None else round(v, 5)) for k, v in coef.items()], "name string, value double")
 
 
@@ -135,8 +141,12 @@ def placebo_slopes(spark, sf_dir):
     shifts = F.explode(F.array(*[F.lit(s) for s in (-20, -10, 0, 10, 20)])).alias("shift")
     own = _announced(spark, sf_dir).select("firm", "day0", shifts).withColumn("day", F.col("day0") + F.col("shift"))
     x = own.join(car.select(F.col("ticker").alias("firm"), "day", F.col("car").alias("x")), ["firm", "day"])
-    y = car.select(F.col("ticker").alias("partner"), "day", F.col("car").alias("y"))
-    m = es.pair_moments(x.join(y, "day").where("firm <> partner"), ["shift"])
+    # all partners of a day by their count and sum, less the firm itself
+    days = car.groupBy("day").agg((F.count(F.lit(1)) - 1).cast("double").alias("n"), F.sum("car").alias("y"))
+    p, v, y = F.col("n"), F.col("x"), F.col("y") - F.col("x")
+    m = x.join(F.broadcast(days), "day").where("n > 0").groupBy("shift").agg(
+        F.sum(p).alias("n"), F.sum(v * p).alias("sx"), F.sum(v * v * p).alias("sxx"), F.sum(y).alias("sy"), F.sum(v * y).alias("sxy")
+    )
     return m.select("shift", "n", F.round(es.slope(), 4).alias("slope"))
 
 
@@ -144,7 +154,11 @@ def spill_examples(spark, sf_dir):
     """The ten largest moves with at most two partners per event."""
     from pyspark.sql import Window
 
-    p = _pairs(spark, sf_dir).where("not overlap").select("firm", "partner", "day0", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    mine, other = _sides(spark, sf_dir)
+    y, largest = F.round("y", 4), Window.partitionBy("day0").orderBy(F.desc(F.abs("y")), "partner")
+    # one of a day's three largest may be the announcer itself
+    three = other.select("partner", F.col("day").alias("day0"), y.alias("y")).withColumn("r", F.row_number().over(largest)).where("r <= 3").drop("r")
+    p = mine.select("firm", F.col("day").alias("day0"), F.round("x", 4).alias("x")).join(F.broadcast(three), "day0").where("firm <> partner").select("firm", "partner", "day0", "x", "y")
     w = Window.partitionBy("firm", "day0").orderBy(F.desc(F.abs("y")), "partner")
     top = p.withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r")
     return top.orderBy(F.desc(F.abs("x")), F.desc(F.abs("y")), "firm", "partner", "day0").limit(10)
