@@ -13,25 +13,34 @@ from peergraph.operators import graph as gr
 from peergraph.operators import judged as jd
 from peergraph.operators import reviews as rv
 from peergraph.plans.relations import _read
+from peergraph.sources.scratch import table
 
 DEFAULT, OVERRIDES = (0.7, 0.2), {"is_entity": (0.5, 0.1)}
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    """(span_id, doc_node, target_node, pair_key, q, p, d, t, timing, order, line) of the live units."""
-    a = _read(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'")
-    b = _read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("target"))
-    node = lambda c: F.concat(F.lit("cik:"), F.col(c).cast("string"))
-    start = F.col("l_linenumber") * 100
-    section = F.when(F.col("l_partkey") % 2 == 0, "business").otherwise("risk_factors")
-    rows = a.join(b, ["l_orderkey", "l_linenumber"]).where("l_suppkey <> target").select(
-        F.format_string("s:%d:%s:%d-%d", "l_orderkey", section, start, start + 80).alias("span_id"), node("l_suppkey").alias("doc_node"), node("target").alias("target_node"),
-        F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").alias("p"), F.round(F.col("l_discount") * 10, 2).alias("d"), F.round(F.col("l_tax") * 12.5, 3).alias("t"),
-        F.when(F.col("l_linestatus") == "O", "current").otherwise("historical").alias("timing"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"),
-        F.col("l_orderkey").alias("order"), F.col("l_linenumber").cast("long").alias("line"),
+    """(span_id, doc_node, target_node, pair_key, q, p, d, t, timing, order, line) of the live units.
+
+    Order lines are sent once, as numbers: the next line of an order and the lines that share
+    a number meet where (order, line) is, and are kept as a table.  Names are made where it is read.
+    """
+    part, node = F.col("p"), lambda c: F.concat(F.lit("cik:"), F.col(c).cast("string"))
+    section = lambda p: F.when(p % 2 == 0, "business").otherwise("risk_factors")
+    items = _read(spark, sf_dir, "lineitem")
+    a = items.where("l_returnflag <> 'R'").select(
+        F.col("l_orderkey").alias("order"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("int").alias("q"),
+        F.round(F.col("l_discount") * 10, 2).alias("d"), F.round(F.col("l_tax") * 12.5, 3).alias("t"), F.col("l_linestatus").eqNullSafe("O").alias("now"),
+    )
+    b = items.select(F.col("l_orderkey").alias("order"), (F.col("l_linenumber") - 1).cast("long").alias("line"), F.col("l_suppkey").alias("target"))
+    timing = F.when(F.col("now"), "current").otherwise("historical")
+    one = Window.partitionBy("order", "line", "odd").orderBy("p", node("target"), node("doc"), "q", "d", "t", timing)  # an order may repeat a line number
+    rows = a.join(b, ["order", "line"]).where("doc <> target").withColumn("odd", ~F.coalesce(part % 2 == 0, F.lit(False)))
+    rows = table(rows.withColumn("n", F.row_number().over(one)).where("n = 1").drop("n", "odd"), "lines")
+    start = F.col("line") * 100
+    rows = rows.select(
+        F.format_string("s:%d:%s:%d-%d", "order", section(part), start, start + 80).alias("span_id"), node("doc").alias("doc_node"), node("target").alias("target_node"),
+        "q", "p", "d", "t", timing.alias("timing"), F.concat(F.lit("part "), part.cast("string")).alias("text"), "order", "line",
     )
-    one = Window.partitionBy("span_id").orderBy("p", "target_node", "doc_node", "q", "d", "t", "timing")  # an order may repeat a line number
-    rows = rows.withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
     return rows.withColumn("pair_key", gr.pair_key(F.col("doc_node"), F.col("target_node"))).withColumn("unit_id", F.concat_ws("|", "span_id", "target_node"))
 
 
@@ -158,7 +167,7 @@ def label_rows(spark, sf_dir):
 
 def remapped_units(spark, sf_dir):
     """Units under the ids of the wider spans that cover them."""
-    m = _lines(spark, sf_dir).select("span_id", "target_node", "unit_id").distinct()
+    m = _lines(spark, sf_dir).select("span_id", "target_node", "unit_id")  # lines have distinct spans
     at = gr.span_range(F.col("span_id"))
     wide = F.when(at["start"] % 300 == 0, 3).otherwise(0)
     span = F.format_string("s:%s:%s:%d-%d", at["accession"], at["section"], at["start"] - wide, at["end"] + wide)

@@ -13,8 +13,9 @@ from peergraph.plans.relations_sql import _counts_as_bigint
 from peergraph.sources.scratch import table
 
 
-def _year(spark, sf_dir, n: int) -> dict[str, DataFrame]:
-    lines = _lines(spark, sf_dir).where((F.col("order") % 2 == n) & (F.col("p") % 5 != n))
+def _year(spark, sf_dir, n: int, every: DataFrame) -> dict[str, DataFrame]:
+    """Year ``n`` of the lines ``every``."""
+    lines = every.where((F.col("order") % 2 == n) & (F.col("p") % 5 != n))
     long = lines.withColumn("relation", F.explode(F.array_compact(F.array(F.when(F.col("t") >= 0.5, "business"), F.when(F.col("d") >= 0.5, "competitor")))))
     long = long.withColumn("edge_id", F.concat_ws("|", "relation", "pair_key"))
     state = F.when(F.max("q") >= 48, "confirmed").when(F.max("q") >= 40, "accepted").when(F.max("q") >= 30, "uncertain").otherwise("rejected")
@@ -31,29 +32,35 @@ def _year(spark, sf_dir, n: int) -> dict[str, DataFrame]:
         F.when(number % 3 > 0, F.concat(F.lit("T"), F.floor(number / 2).cast("string"))).alias("ticker"), F.col("s_name").alias("name"), (number % 10 != n).alias("analyzed"),
     )
     documents = nodes.select("node_id", F.explode(F.array(F.lit("business"), F.lit("risk_factors"))).alias("section"), (F.expr("cast(split(node_id, ':')[1] as int)") % 11 * (100 if n else 30) + 40).alias("chars"))
-    return {k: table(v, k) for k, v in yr.load_year(nodes, edges, evidence, units, documents.where("chars < 1000")).items()}
+    return yr.load_year(nodes, edges, evidence, units, documents.where("chars < 1000"))
+
+
+def _both(spark, sf_dir) -> list[dict[str, DataFrame]]:
+    """Two years of one table of lines; what a comparison reads more than once is written."""
+    every = _lines(spark, sf_dir)
+    return [{k: table(v, k) if k in ("edges", "asked") else v for k, v in _year(spark, sf_dir, n, every).items()} for n in (0, 1)]
 
 
 def year_graph(spark, sf_dir):
     """One year's relations by company keys."""
-    e = _year(spark, sf_dir, 0)["edges"]
+    e = _year(spark, sf_dir, 0, _lines(spark, sf_dir))["edges"]
     return e.select("key", "relation", "state", "status", F.size("texts").alias("n_texts"), F.array_join("sections", ",").alias("sections"), "excerpt")
 
 
 def year_changes(spark, sf_dir):
     """What stayed, came and went between two loaded years, and why."""
-    return yr.compare(_year(spark, sf_dir, 0), _year(spark, sf_dir, 1)).drop("b_edge_id", "c_edge_id")
+    return yr.compare(*_both(spark, sf_dir)).drop("b_edge_id", "c_edge_id")
 
 
 def year_types(spark, sf_dir):
     """The changes by relation."""
-    base, cur = _year(spark, sf_dir, 0), _year(spark, sf_dir, 1)
-    return yr.by_type(table(yr.compare(base, cur), "changes"), base, cur).withColumn("kept_same_text", F.round("kept_same_text", 4))
+    base, cur = _both(spark, sf_dir)
+    return yr.by_type(yr.compare(base, cur), base, cur).withColumn("kept_same_text", F.round("kept_same_text", 4))
 
 
 def year_silent(spark, sf_dir):
     """Whose filings no longer tell of a relation."""
-    base, cur = _year(spark, sf_dir, 0), _year(spark, sf_dir, 1)
+    base, cur = _both(spark, sf_dir)
     return yr.silent_filers(yr.compare(base, cur), base, "gone")
 
 
