@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from peergraph.operators import evaluate as ev
 from peergraph.operators import scoring as sc
+from peergraph.sources.scratch import table
 
 GATE = "is_entity"
 RELATIONS = ("competitor", "business", "equity")
@@ -92,14 +93,17 @@ def score_decisions(df: DataFrame, by: list[str], label: str, decision: str) ->
     )
 
 
-def question_scores(table: DataFrame) -> DataFrame:
-    """A row per question: the gate over units whose company is known, relations over units that are the company."""
-    _, known, company = scored_units(table)
-    out = None
-    for q in QUESTIONS:
-        rows = (known if q == GATE else company).withColumn("_y", F.col("is_entity") == "yes" if q == GATE else F.col(f"y_{q}"))
-        rows = rows.select(F.lit(q).alias("question"), F.col("_y").alias("y"), F.col(f"s_{q}").alias("s"), F.col(f"d_{q}").alias("d")).where("s is not null")
-        out = rows if out is None else out.unionByName(rows)
+def question_scores(units: DataFrame) -> DataFrame:
+    """A row per question: the gate over units whose company is known, relations over units that are the company.
+
+    ``units`` are read once; what every figure needs of them is written, four short rows a unit.
+    """
+    _, known, _ = scored_units(units)
+    each = F.explode(F.array(*[
+        F.struct(F.lit(q).alias("question"), (F.col("is_entity") == "yes" if q == GATE else F.col(f"y_{q}")).alias("y"), F.col(f"s_{q}").alias("s"), F.col(f"d_{q}").alias("d")) for q in QUESTIONS
+    ])).alias("o")
+    out = known.select("is_entity", each).where((F.col("o.question") == GATE) | (F.col("is_entity") == "yes")).select("o.*").where("s is not null")
+    out = table(out, "questions")
     sums = score_decisions(out, ["question"], "y", "d").join(
         out.groupBy("question").agg(
             F.round(F.avg(F.pow(F.col("s") - F.col("y").cast("double"), 2)), 3).alias("brier"),
@@ -149,21 +153,27 @@ def status_accuracy(table: DataFrame) -> DataFrame:
 
 
 def relation_sweep(table: DataFrame, grid: tuple[float, ...] = ACCEPT_GRID) -> DataFrame:
-    """(relation, threshold, units, unit_precision, unit_recall, pairs, pair_precision, pair_recall): every acceptance threshold, units and pairs together."""
+    """(relation, threshold, units, unit_precision, unit_recall, pairs, pair_precision, pair_recall): every acceptance threshold, units and pairs together.
+
+    A pair is one row of a relation, with counts for all thresholds side by side.
+    """
     _, known, _ = scored_units(table)
     each = F.explode(F.array(*[
         F.struct(F.lit(r).alias("relation"), ((F.col("is_entity") == "yes") & F.col(f"y_{r}")).alias("truth"), F.col(f"s_{r}").alias("s")) for r in RELATIONS
     ])).alias("o")
-    rows = known.select("pair_key", (F.col(f"d_{GATE}") == "yes").alias("gate"), each, F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("threshold"))
-    rows = rows.select("pair_key", "o.relation", "o.truth", "threshold", (F.coalesce("gate", F.lit(False)) & F.coalesce(F.col("o.s") >= F.col("threshold"), F.lit(False))).alias("yes"))
-    pairs = rows.groupBy("relation", "threshold", "pair_key").agg(
-        F.bool_or("yes").alias("yes"), F.bool_or("truth").alias("truth"), F.count_if("yes").alias("n_yes"),
-        F.count_if("truth").alias("n_true"), F.count_if(F.col("yes") & F.col("truth")).alias("n_both"),
-    )
-    sums = pairs.groupBy("relation", "threshold").agg(
-        F.sum("n_yes").alias("units"), F.sum("n_true").alias("truths"), F.sum("n_both").alias("both"),
-        F.count_if("yes").alias("pairs"), F.count_if("truth").alias("pair_truths"), F.count_if(F.col("yes") & F.col("truth")).alias("pair_both"),
+    rows = known.select("pair_key", F.coalesce(F.col(f"d_{GATE}") == "yes", F.lit(False)).alias("gate"), each).select("pair_key", "gate", "o.*")
+    yes = [F.col("gate") & F.coalesce(F.col("s") >= float(g), F.lit(False)) for g in grid]
+    pairs = rows.groupBy("relation", "pair_key").agg(
+        F.count_if("truth").alias("n_true"), *[F.count_if(y).alias(f"yes_{n}") for n, y in enumerate(yes)], *[F.count_if(y & F.col("truth")).alias(f"both_{n}") for n, y in enumerate(yes)]
     )
+    hit = lambda n: F.col(f"yes_{n}") > 0
+    wide = pairs.groupBy("relation").agg(F.sum("n_true").alias("truths"), F.count_if(F.col("n_true") > 0).alias("pair_truths"), F.array(*[
+        F.struct(
+            F.lit(float(g)).alias("threshold"), F.sum(f"yes_{n}").alias("units"), F.sum(f"both_{n}").alias("both"),
+            F.count_if(hit(n)).alias("pairs"), F.count_if(hit(n) & (F.col("n_true") > 0)).alias("pair_both"),
+        ) for n, g in enumerate(grid)
+    ]).alias("g"))
+    sums = wide.select("relation", "truths", "pair_truths", F.inline("g"))
     c = F.col
     return sums.select(
         "relation", "threshold", "units", sc.ratio(c("both"), c("units")).alias("unit_precision"), sc.ratio(c("both"), c("truths")).alias("unit_recall"),
