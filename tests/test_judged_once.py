@@ -1,7 +1,6 @@
 import pytest
 
 from peergraph.operators import evaluate as ev
-from peergraph.operators import graph as gr
 from peergraph.operators import judged as jd
 from peergraph.plans import judged
 from pyspark.sql import functions as F

@@ -1,7 +1,5 @@
 import pytest
 
-from peergraph.operators import evaluate as ev
-from peergraph.operators import judged as jd
 from peergraph.operators import years as yr
 from peergraph.plans import judged, years
 
