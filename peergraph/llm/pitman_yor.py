@@ -45,12 +45,13 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +64,8 @@ SWEEPS, BURN_IN = 4, 1
 END, START = b"\n", b""  # never words
 #: The tables of up to so many customers are drawn exactly.
 EXACT = 64
-#: Chances that are held at a time.
-CELLS = 1 << 17
+#: Dishes of one size that are drawn at a time: what is in use stays near the processor.
+BLOCK = 1 << 13
 #: Means up to this are drawn from a binomial distribution, others from a normal one.
 SMALL = 12
 #: What the frequency of a byte alone counts for beside that of a pair of bytes.
@@ -83,13 +84,39 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 # --- packing ------------------------------------------------------------------
 
 def _planes(values: np.ndarray, kind: str = "<u4") -> bytes:
-    """Numbers byte plane by byte plane: the high planes of small numbers compress to nothing."""
-    values = np.ascontiguousarray(values.astype(kind))
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """Numbers byte plane by byte plane, without high planes of nothing but zeros: how many numbers, how many planes, the planes."""
+    values = values.astype(kind)
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    planes = [(values >> np.array(8 * k, kind)).astype(np.uint8).tobytes() for k in range(width)]
+    return b"".join([len(values).to_bytes(8, "little"), bytes([width]), *planes])
+
+
+def _length(value: bytes) -> int:
+    """How many numbers were packed."""
+    return int.from_bytes(value[:8], "little")
 
 
 def _from_planes(value: bytes, kind: str = "<u4") -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(value, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    n = _length(value)
+    out = np.zeros(n, kind)
+    for k in range(value[8]):
+        out |= np.frombuffer(value, np.uint8, n, 9 + k * n).astype(kind) << np.array(8 * k, kind)
+    return out
+
+
+def _bytes(values: np.ndarray) -> bytes:
+    """Numbers most of which are below 255: a byte each, and those from 255 on in full behind."""
+    values = values.astype("<u4")
+    low = np.minimum(values, 255).astype(np.uint8)
+    return b"".join([len(values).to_bytes(8, "little"), low.tobytes(), _planes(values[low == 255])])
+
+
+def _from_bytes(value: bytes) -> np.ndarray:
+    n = _length(value)
+    low = np.frombuffer(value, np.uint8, n, 8)
+    out = low.astype("<u4")
+    out[low == 255] = _from_planes(value[8 + n :])
+    return out
 
 
 def _ascending(values: np.ndarray, kind: str = "<u8") -> bytes:
@@ -134,8 +161,21 @@ def _by(rows: list[dict], kind: int, order: str) -> list[dict]:
     return sorted((r for r in rows if r["kind"] == kind), key=lambda r: r[order])
 
 
-def _joined(rows: list[dict], column: str, kind: str = "<u4") -> np.ndarray:
-    return np.concatenate([_from_planes(r[column], kind) for r in rows]) if rows else np.zeros(0, kind)
+def _joined(rows: list[dict], column: str, unpack: Callable[[bytes], np.ndarray] = _from_bytes) -> np.ndarray:
+    return np.concatenate([unpack(r[column]) for r in rows]) if rows else np.zeros(0, "<u4")
+
+
+def _sorted(values: np.ndarray) -> np.ndarray:
+    """The order in which different 64-bit numbers ascend.
+
+    Their high bits and their places are sorted as one number each, which takes a fraction of
+    the time of sorting places; where that does not tell two of them apart, the places are.
+    """
+    bits = max(len(values) - 1, 1).bit_length()
+    low = np.uint64((1 << bits) - 1)
+    order = (np.sort(values & ~low | np.arange(len(values), dtype=np.uint64)) & low).astype(np.int64)
+    ascending = values[order]
+    return order if (ascending[1:] > ascending[:-1]).all() else np.argsort(values, kind="stable")
 
 
 # --- hashes and random numbers --------------------------------------------------
@@ -218,15 +258,33 @@ def _many_moments(count: np.ndarray, weight: np.ndarray, discount: float) -> tup
 
 def _drawn(c: int, weight: np.ndarray, chance: np.ndarray, discount: float) -> np.ndarray:
     """Tables of dishes of ``c`` customers each, by inversion of weight**t S(c, t)."""
-    if weight.max() > 1e3:  # a product of so many weights could leave the range of numbers
-        log_p = np.log(weight)[:, None] * np.arange(1, c + 1) + log_stirling(discount)[c, 1 : c + 1]
+    out = np.ones(len(weight))
+    large = weight > 1e3  # a product of so many weights could leave the range of numbers
+    if large.any():
+        log_p = np.log(weight[large])[:, None] * np.arange(1, c + 1) + log_stirling(discount)[c, 1 : c + 1]
         p = np.cumsum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), axis=1)
-    else:
-        p = np.empty((len(weight), c))
-        p[:, 0] = 1.0
-        np.multiply(weight[:, None], stirling_ratios(discount)[c, 1:c], out=p[:, 1:])
-        np.cumsum(np.cumprod(p, axis=1, out=p), axis=1, out=p)
-    return 1.0 + (p < (chance * p[:, -1])[:, None]).sum(axis=1)
+        out[large] = 1.0 + (p < (chance[large] * p[:, -1])[:, None]).sum(axis=1)
+        small = ~large
+        out[small] = _drawn(c, weight[small], chance[small], discount)
+        return out
+    ratios = stirling_ratios(discount)[c, 1:c].tolist()
+    total = np.ones(len(weight))
+    step = np.empty(len(weight))
+    for r in reversed(ratios):  # the sum of all chances, from the last on
+        np.multiply(weight, r, out=step)
+        np.multiply(total, step, out=total)
+        np.add(total, 1.0, out=total)
+    goal, live = chance * total, np.arange(len(weight))
+    p, below = np.ones(len(weight)), np.ones(len(weight))
+    for r in ratios:
+        more = np.flatnonzero(below < goal)
+        if not len(more):
+            break
+        live, weight, goal, p, below = live[more], weight[more], goal[more], p[more], below[more]
+        out[live] += 1
+        p *= weight * r
+        below += p
+    return out
 
 
 def seated(count: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndarray, sweep: int) -> np.ndarray:
@@ -240,15 +298,13 @@ def seated(count: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndar
     tables = np.minimum(count, 1).astype(np.float64)
     weight = np.maximum(weight, 1e-300)
     chance = uniform(seed, sweep, 0)
-    few = np.flatnonzero((count > 1) & (count <= EXACT))
-    sizes = count[few].astype(np.uint8)
-    order = np.argsort(sizes, kind="stable")  # small integers: counted, not compared
-    few, sizes = few[order], sizes[order]
-    edges = np.searchsorted(sizes, np.arange(EXACT + 2, dtype=np.uint8))
+    sizes = np.minimum(count, EXACT + 1).astype(np.uint8)
+    order = None if (sizes[1:] >= sizes[:-1]).all() else np.argsort(sizes, kind="stable")  # small integers: counted, not compared
+    edges = np.searchsorted(sizes if order is None else sizes[order], np.arange(EXACT + 2, dtype=np.uint8))
     for c in range(2, EXACT + 1):
-        step = CELLS // c
-        for at in range(edges[c], edges[c + 1], step):
-            own = few[at : min(at + step, edges[c + 1])]
+        for at in range(edges[c], edges[c + 1], BLOCK):
+            own = slice(at, min(at + BLOCK, edges[c + 1]))
+            own = own if order is None else order[own]
             tables[own] = _drawn(c, weight[own], chance[own], discount)
     many = np.flatnonzero(count > EXACT)
     if len(many):
@@ -303,10 +359,11 @@ def tables_drawn(tables: np.ndarray, concentration: float, discount: float, seed
     """
     total = 0.0
     for i in range(1, 32):
-        more = tables > i
-        if not more.any():
+        more = np.flatnonzero(tables > i)
+        if not len(more):
             return total
-        total += float(np.count_nonzero(uniform(seed[more], sweep, 1_000 + i) < concentration / (concentration + discount * i)))
+        tables, seed = tables[more], seed[more]
+        total += float(np.count_nonzero(uniform(seed, sweep, 1_000 + i) < concentration / (concentration + discount * i)))
     many = tables > 32
     if many.any():
         part = concentration / discount
@@ -342,36 +399,58 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 10 == 0
 
 
-class _Words(dict):
-    """word -> number in order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large strings one after the other, and where each begins and the last ends."""
+    _, edges, data = values.buffers()
+    edges = np.frombuffer(edges, np.int64, len(values) + 1, 8 * values.offset) if len(values) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[edges[0] : edges[-1]], edges - edges[0]
 
 
 class _Builder:
     def __init__(self):
-        self.words, self.ids, self.docs, self.bytes = _Words({START: 0}), [], [], 0
-
-    def add(self, doc_id: int | None, text: str | None) -> None:
-        tokens = tokens_of(text)
-        self.ids.append(np.fromiter(map(self.words.__getitem__, tokens), np.int32, len(tokens)))
-        self.docs.append(doc_id)
-        self.bytes += len(text or "")
+        self.docs, self.texts, self.bytes = [], [], 0
+
+    def add(self, docs: pa.Array, texts: pa.Array) -> None:
+        """Rows of identifiers and large strings."""
+        self.docs += docs.to_pylist()
+        self.texts.append(texts)
+        self.bytes += pc.sum(pc.binary_length(texts)).as_py() or 0
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(tokens of each text, its end included; tokens as numbers of words; words by number), as ``tokens_of`` has them."""
+        data, edges = _flat(pc.ascii_lower(pa.concat_arrays(self.texts)))
+        inside = ~((data == 32) | (data - np.uint8(9) < 5))  # of a word
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        begins[edges[:-1][edges[1:] > edges[:-1]]] = True  # texts stand one after the other
+        begins &= inside
+        lengths = np.diff(np.searchsorted(np.flatnonzero(begins), edges)) + 1
+        letters = data[inside]  # words one after the other
+        cuts = np.append(np.flatnonzero(begins[inside]), len(letters))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(letters)]).dictionary_encode()
+        flat = np.ones(int(lengths.sum()), np.int64)
+        inner = np.ones(len(flat), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        flat[inner] = found.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 2
+        spelled, cuts = _flat(found.dictionary)
+        spelled, cuts = spelled.tobytes(), cuts.tolist()
+        return lengths, flat, [START, END, *[spelled[i:j] for i, j in zip(cuts[:-1], cuts[1:])]]
 
     def row(self, number: int) -> dict:
-        words = list(self.words)
-        hashes = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+        from xxhash import xxh3_64_intdigest  # once, not word by word
+
+        lengths, flat, words = self.words()
+        hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        lengths = np.array([len(x) for x in self.ids], np.int64)
+        words[1] = START  # spelled by its mark alone
         return {
             "chunk": number, "doc_ids": [d or 0 for d in self.docs], "null_id": np.array([d is None for d in self.docs], np.uint8).tobytes(),
             "held": np.array([held_out(d) for d in self.docs], np.uint8).tobytes(), "lengths": _planes(lengths), "hashes": _ascending(hashes[order]),
-            "spelled": b"\n".join(words[i].strip(END) for i in order.tolist()) + END, "tokens": _planes(place[np.concatenate(self.ids)]), "n_words": len(words),
-            "n_tokens": int(lengths.sum()),
+            "spelled": END.join([words[i] for i in order.tolist()]) + END, "tokens": _planes(place[flat]), "n_words": len(words),
+            "n_tokens": len(flat),
         }
 
 
@@ -392,8 +471,13 @@ class Chunk:
         key = flat * n
         key[1:] += flat[:-1]
         key[self.first] += self.start - np.where(self.first > 0, flat[self.first - 1], 0)
-        order = np.argsort(key)
-        key = key[order]
+        bits = max(len(flat) - 1, 1).bit_length()
+        if (n * n).bit_length() + bits < 64:  # pairs and places sorted as one number each
+            key = np.sort(key << bits | np.arange(len(flat)))
+            key, order = key >> bits, key & (1 << bits) - 1
+        else:
+            order = np.argsort(key)
+            key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         self.of = np.empty(len(flat), np.int32)
         self.of[order] = np.cumsum(new) - 1
@@ -403,7 +487,12 @@ class Chunk:
     def coded(self) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of the pairs, the order in which they ascend)."""
         code = pair_hash(self.hashes[self.word], self.hashes[self.before])
-        return code, np.argsort(code)
+        return code, _sorted(code)
+
+    def by_customers(self, count: np.ndarray) -> np.ndarray:
+        """The pairs of two customers or more by their number, to EXACT, then by word."""
+        many = np.flatnonzero(count > 1)
+        return many[np.argsort(np.minimum(count[many], EXACT + 1).astype(np.uint8), kind="stable")]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,8 +501,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _arrow_schema(CHUNK)
     number, chunk = TaskContext.get().partitionId() << 32, _Builder()
     for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            chunk.add(doc_id.as_py(), text.as_py())
+        docs, texts = batch.column(0), pc.fill_null(batch.column(1), "").cast(pa.large_string())
+        ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+        while at < len(docs):
+            before = ends[at - 1] if at else 0
+            to = min(int(np.searchsorted(ends, before + CHUNK_BYTES - chunk.bytes)) + 1, len(docs))
+            chunk.add(docs[at:to], texts[at:to])
+            at = to
             if chunk.bytes >= CHUNK_BYTES:
                 yield pa.RecordBatch.from_pylist([chunk.row(number)], schema)
                 number, chunk = number + 1, _Builder()
@@ -465,7 +559,7 @@ def _ask_pairs(ranges: int):
             code, train = code[order], chunk.train[order]
             cuts = _cuts(code, ranges)
             yield pa.RecordBatch.from_pylist([
-                {"chunk": row["chunk"], "bucket": b, "kind": PAIRS, "a": _ascending(code[i:j]), "b": _planes(train[i:j])}
+                {"chunk": row["chunk"], "bucket": b, "kind": PAIRS, "a": _ascending(code[i:j]), "b": _bytes(train[i:j])}
                 for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j
             ], schema)
 
@@ -488,7 +582,7 @@ def _count_pairs(table: pa.Table) -> pa.Table:
     first[held[np.unique(of[held], return_index=True)[1]]] = True
     cuts = np.cumsum([len(c) for c in codes])[:-1]
     out = [
-        {"chunk": r["chunk"], "bucket": r["bucket"], "kind": PAIRS, "a": _planes(count[at]), "b": np.packbits(own).tobytes()}
+        {"chunk": r["chunk"], "bucket": r["bucket"], "kind": PAIRS, "a": _bytes(count[at]), "b": np.packbits(own).tobytes()}
         for r, at, own in zip(rows, np.split(of, cuts), np.split(first, cuts))
     ]
     return _mail([*out, {"chunk": -1, "bucket": rows[0]["bucket"], "kind": SUMS, "s": _ones_and_twos(count)}])
@@ -501,7 +595,7 @@ def _ask_words(ranges: int, costs: np.ndarray):
             chunk = Chunk(row, pairs=False)
             cost, cuts = word_costs(row["spelled"], costs), _cuts(chunk.hashes, ranges)
             yield pa.RecordBatch.from_pylist([
-                {"chunk": row["chunk"], "bucket": b, "kind": ASKED, "a": _ascending(chunk.hashes[i:j]), "b": _planes(chunk.word_train[i:j]), "c": _planes(cost[i:j])}
+                {"chunk": row["chunk"], "bucket": b, "kind": ASKED, "a": _ascending(chunk.hashes[i:j]), "b": _bytes(chunk.word_train[i:j]), "c": _planes(cost[i:j])}
                 for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j
             ], schema)
 
@@ -514,68 +608,70 @@ def _count_words(table: pa.Table) -> pa.Table:
     hashes = [_from_ascending(r["a"]) for r in rows]
     known, first, of = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     count = np.bincount(of, _joined(rows, "b"), len(known))
-    cost = _joined(rows, "c")[first]
+    cost = _joined(rows, "c", _from_planes)[first]
     out = []
     for r, at in zip(rows, np.split(of, np.cumsum([len(h) for h in hashes])[:-1])):
         base = {"chunk": r["chunk"], "bucket": r["bucket"]}
-        out.append(base | {"kind": KNOWN, "a": _planes(count[at]), "b": _planes(cost[at])})
-        out.append(base | {"kind": ASKED, "a": _ascending(at, "<u4")})
+        out.append(base | {"kind": KNOWN, "a": _bytes(count[at]), "b": _planes(cost[at])})
+        out.append(base | {"kind": ASKED, "a": _bytes(np.diff(at, prepend=0))})
     bucket = rows[0]["bucket"]
-    out.append({"chunk": -1, "bucket": bucket, "kind": OWNER, "a": _planes(count), "b": _planes(cost), "c": _ascending(known)})
+    out.append({"chunk": -1, "bucket": bucket, "kind": OWNER, "a": _bytes(count), "b": _planes(cost), "c": _ascending(known)})
     return _mail([*out, {"chunk": -1, "bucket": bucket, "kind": SUMS, "s": _ones_and_twos(count)}])
 
 
 # --- sweeps ---------------------------------------------------------------------
 
+def _sent(chunk: int, known: list[dict], sums: list[np.ndarray]) -> list[dict]:
+    """Sums by word and by word before for the owners of the words."""
+    cuts = np.cumsum([_length(r["b"]) for r in known])[:-1]
+    return [
+        {"chunk": chunk, "bucket": r["bucket"], "kind": SENT, "a": _bytes(a), "b": _bytes(b)}
+        for r, a, b in zip(known, *(np.split(x, cuts) for x in sums))
+    ]
+
+
 def _prepare(discount: float):
-    """A chunk's pairs of two customers or more, its words' costs, and what its pairs of one customer add to the tables."""
+    """A chunk's pairs of two customers or more, its words' costs, what its pairs of one customer add to the tables, and the first tables' sums."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out, mail = [], right.to_pylist()
         known, answers = _by(mail, KNOWN, "bucket"), _by(mail, PAIRS, "bucket")
         for row in left.to_pylist():
             chunk = Chunk(row)
             code, order = chunk.coded()
-            count = _joined(answers, "a").astype(np.int64)
-            sizes = [len(r["a"]) // 4 for r in answers]
-            own = np.concatenate([np.unpackbits(np.frombuffer(r["b"], np.uint8), count=n) for r, n in zip(answers, sizes)]).astype(bool)
-            word, before, n = chunk.word[order], chunk.before[order], len(chunk.hashes)
-            single, many = (count == 1) & own, count > 1
-            tables = np.maximum(np.floor(count[many] ** discount), 1)
+            count, own = np.empty(len(order), np.int64), np.empty(len(order), bool)
+            count[order] = _joined(answers, "a")
+            own[order] = np.concatenate([np.unpackbits(np.frombuffer(r["b"], np.uint8), count=_length(r["a"])) for r in answers])
+            n, single, many = len(chunk.hashes), np.flatnonzero((count == 1) & own), chunk.by_customers(count)
+            word, before, count, own = chunk.word[many], chunk.before[many], count[many], own[many]
+            fixed = [np.bincount(at[single], minlength=n) for at in (chunk.word, chunk.before)]
             out.append({
-                "chunk": row["chunk"], "bucket": 0, "kind": ENTRY, "a": _planes(word[many]), "b": _planes(before[many]), "c": _planes(count[many]),
-                "d": np.packbits(own[many]).tobytes(), "e": _planes(code[order][many] >> np.uint64(32)),
-                "f": _planes(np.concatenate([np.bincount(word[single], minlength=n), np.bincount(before[single], minlength=n)])),
+                "chunk": row["chunk"], "bucket": 0, "kind": ENTRY, "a": _bytes(np.diff(word.astype("<u4"), prepend=np.zeros(1, "<u4"))),
+                "b": _planes(before), "c": _bytes(count), "d": np.packbits(own).tobytes(), "e": _planes(code[many] >> np.uint64(32)),
+                "f": _bytes(np.concatenate(fixed)),
             })
-            out.append({"chunk": row["chunk"], "bucket": 0, "kind": TABLES, "a": _planes(tables), "b": _planes(np.zeros(len(tables)))})
+            tables = np.maximum(np.floor(count[own] ** discount), 1)
             out += [{"chunk": row["chunk"], "bucket": r["bucket"], "kind": KNOWN, "b": r["b"]} for r in known]
+            out += _sent(row["chunk"], known, [f + np.bincount(at[own], tables, n) for f, at in zip(fixed, (word, before))])
         return _mail(out)
 
     return run
 
 
-def _seat(state: State | None, adds: bool):
-    """One sweep of a chunk: its new tables, and their sums by word and by word before for the owners of the words."""
+def _seat(state: State, adds: bool):
+    """One sweep of a chunk: its new tables, added to those before, and their sums for the owners of the words."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out, mine, mail = [], left.to_pylist(), right.to_pylist()
-        known, entry = _by(mine, KNOWN, "bucket"), _by(mine, ENTRY, "bucket")[0]
-        word, before, count, seed = (_from_planes(entry[c]) for c in "abce")
-        count, own = count.astype(np.float64), np.unpackbits(np.frombuffer(entry["d"], np.uint8), count=len(word)).astype(bool)
-        here = (_by(mail, TABLES, "bucket") or _by(mine, TABLES, "bucket"))[0]
-        tables, total = _from_planes(here["a"]).astype(np.float64), _from_planes(here["b"]).astype(np.float64)
-        if state is not None:
-            answers = _by(mail, ANSWER, "bucket")
-            up = state.unigram(_joined(answers, "a"), _joined(answers, "b"), _joined(known, "b"))
-            weight = (state.theta[1] + state.discount[1] * _joined(answers, "c")[before]) * up[word]
-            tables = seated(count, weight, state.discount[1], seed, state.sweep)
-            if adds:
-                total = total + tables
-        base = {"chunk": entry["chunk"]}
-        out.append(base | {"bucket": 0, "kind": TABLES, "a": _planes(tables), "b": _planes(total)})
-        sizes = np.cumsum([0] + [len(r["b"]) // 4 for r in known])
-        fixed = _from_planes(entry["f"]).reshape(2, -1)
-        sums = [f + np.bincount(at[own], tables[own], sizes[-1]) for f, at in zip(fixed, (word, before))]
-        for r, i, j in zip(known, sizes[:-1], sizes[1:]):
-            out.append(base | {"bucket": r["bucket"], "kind": SENT, "a": _planes(sums[0][i:j]), "b": _planes(sums[1][i:j])})
+        mine, mail = left.to_pylist(), right.to_pylist()
+        known, entry, answers = _by(mine, KNOWN, "bucket"), _by(mine, ENTRY, "bucket")[0], _by(mail, ANSWER, "bucket")
+        word, before, count = np.cumsum(_from_bytes(entry["a"]), dtype="<u4"), _from_planes(entry["b"]), _from_bytes(entry["c"])
+        own = np.unpackbits(np.frombuffer(entry["d"], np.uint8), count=len(word)).astype(bool)
+        up = state.unigram(_joined(answers, "a"), _joined(answers, "b"), _joined(known, "b", _from_planes))
+        weight = (state.theta[1] + state.discount[1] * _joined(answers, "c"))[before] * up[word]
+        tables = seated(count, weight, state.discount[1], _from_planes(entry["e"]), state.sweep)
+        fixed = _from_bytes(entry["f"]).reshape(2, -1)
+        out = _sent(entry["chunk"], known, [f + np.bincount(at[own], tables[own], len(f)) for f, at in zip(fixed, (word, before))])
+        if adds:
+            total = sum((_from_bytes(r["b"]) for r in _by(mail, TABLES, "bucket")), tables)
+            out.append({"chunk": entry["chunk"], "bucket": 0, "kind": TABLES, "b": _bytes(total)})
         return _mail(out)
 
     return run
@@ -586,20 +682,20 @@ def _own(state: State):
     def run(table: pa.Table) -> pa.Table:
         mail = table.to_pylist()
         owner, asked, sent = _by(mail, OWNER, "chunk")[0], _by(mail, ASKED, "chunk"), _by(mail, SENT, "chunk")
-        places = [_from_ascending(r["a"], "<u4") for r in asked]
+        places = [np.cumsum(_from_bytes(r["a"]), dtype=np.int64) for r in asked]
         cost, seed = _from_planes(owner["b"]), _from_ascending(owner["c"])
         at = np.concatenate(places)
         customers, restaurant = (np.bincount(at, _joined(sent, c), len(cost)) for c in "ab")
         weight = (state.theta[0] + state.discount[0] * (state.tables or state.words)) * np.exp(cost / -COST)
         tables = seated(customers, weight, state.discount[0], seed, state.sweep + 1000)
-        size = _from_planes(owner["a"]).astype(np.float64)  # customers of a word's own restaurant: the words after it
+        size = _from_bytes(owner["a"]).astype(np.float64)  # customers of a word's own restaurant: the words after it
         drawn = tables_drawn(restaurant, state.theta[1], state.discount[1], seed, state.sweep)
         live = (size > 1) & (restaurant > 0)
         ones, rest = (gammas(np.broadcast_to(shape, int(live.sum())), seed[live], state.sweep, step) for shape, step in ((state.theta[1] + 1, 2_000), (size[live] - 1, 3_000)))
         logs = float(np.log(np.maximum(ones / (ones + rest), 1e-300)).sum())
         bucket = owner["bucket"]
         out = [
-            {"chunk": r["chunk"], "bucket": bucket, "kind": ANSWER, "a": _planes(customers[p]), "b": _planes(tables[p]), "c": _planes(restaurant[p])}
+            {"chunk": r["chunk"], "bucket": bucket, "kind": ANSWER, "a": _bytes(customers[p]), "b": _bytes(tables[p]), "c": _bytes(restaurant[p])}
             for r, p in zip(asked, places)
         ]
         return _mail([*out, {"chunk": -1, "bucket": bucket, "kind": SUMS, "s": [float(customers.sum()), float(tables.sum()), drawn, logs]}])
@@ -619,10 +715,8 @@ def _score(states: list[State], words: float, tokens: float):
             count = np.empty(len(order))
             count[order] = _joined(pairs, "a")
             tables = np.minimum(count, 1.0)
-            mean = _joined(_by(mail, TABLES, "bucket"), "b") / len(states)
-            many = np.flatnonzero(count[order] > 1)
-            tables[order[many]] = mean
-            train, cost = _joined(known, "a").astype(np.float64), _joined(known, "b")
+            tables[chunk.by_customers(count)] = _joined(_by(mail, TABLES, "bucket"), "b") / len(states)
+            train, cost = _joined(known, "a").astype(np.float64), _joined(known, "b", _from_planes)
             size = train.copy()
             size[chunk.start], size[chunk.end] = train[chunk.end], 0  # as many starts as ends; nothing follows an end
             chance = np.zeros(len(count))
@@ -630,8 +724,8 @@ def _score(states: list[State], words: float, tokens: float):
                 answers = [r for r in _by(mail, ANSWER, "bucket") if r["s"][0] == state.sweep]
                 up = state.unigram(_joined(answers, "a"), _joined(answers, "b"), cost)
                 theta, d = state.theta[1], state.discount[1]
-                u = chunk.before
-                chance += (np.maximum(count - d * tables, 0) + (theta + d * _joined(answers, "c")[u]) * up[chunk.word]) / (theta + size[u])
+                u, per = chunk.before, 1 / (theta + size)
+                chance += np.maximum(count - d * tables, 0) * per[u] + ((theta + d * _joined(answers, "c")) * per)[u] * up[chunk.word]
             score = np.log10(np.clip(chance / len(states), 1e-300, 1.0))
             base = np.log10((train + 0.1) / (tokens + 0.1 * (words + 1)))
             of = chunk.of
@@ -685,7 +779,7 @@ def score_documents(
     entries = _bucketed(
         together(chunks, of(pairs, PAIRS).unionByName(of(owners, KNOWN))).applyInArrow(_prepare(discounts[1]), MAIL), scratch, names, "entries", parts
     )
-    seats = scratch.table(together(entries, entries.limit(0)).applyInArrow(_seat(None, False), MAIL), "seated")
+    seats, entries = of(entries, SENT), of(entries, ENTRY, KNOWN)
     state, kept = State(0, (1.0, 1.0), discounts, words), []
     for sweep in range(sweeps):
         state = State(sweep, state.theta, discounts, words, state.customers, state.tables)
@@ -699,7 +793,10 @@ def score_documents(
         seats = scratch.table(
             together(entries, of(answered, ANSWER).unionByName(of(seats, TABLES))).applyInArrow(_seat(state, sweep >= burn_in), MAIL), f"seated{sweep}"
         )
-        scratch.drop("seated" if not sweep else f"seated{sweep - 1}")
+        if sweep:
+            scratch.drop(f"seated{sweep - 1}")
+        if sweep < burn_in:
+            scratch.drop(f"answered{sweep}")
         release_shuffles(spark)
         if sweep >= burn_in:
             kept.append((state, of(answered, ANSWER).withColumn("s", F.array(F.lit(float(sweep))))))
@@ -712,6 +809,6 @@ def score_documents(
     for name, table in names.items():
         spark.sql(f"drop table if exists {table}")
         scratch.drop(name)
-    for name in ("pairs", "words", f"seated{sweeps - 1}", *(f"answered{n}" for n in range(sweeps))):
+    for name in ("pairs", "words", f"seated{sweeps - 1}", *(f"answered{n}" for n in range(burn_in, sweeps))):
         scratch.drop(name)
     return scored
