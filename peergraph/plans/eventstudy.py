@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peergraph.operators import events as es
+from peergraph.sources.scratch import table
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -70,19 +71,16 @@ def window_car(spark, sf_dir):
     return es.window_sums(_series(spark, sf_dir), 0, 1).select("ticker", "day", (F.round("car", 4) + 0.0).alias("car"))
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
-    """(firm, partner, day0, x, y, overlap): an announcer's window sum and its partners'."""
-    car = es.window_sums(_series(spark, sf_dir), 0, 1)
-    mine = _announced(spark, sf_dir).select("firm", "day0").join(
-        car.select(F.col("ticker").alias("firm"), F.col("day").alias("day0"), F.col("car").alias("x")), ["firm", "day0"]
-    )
-    other = car.select(F.col("ticker").alias("partner"), F.col("day").alias("day0"), F.col("car").alias("y"))
-    pairs = mine.join(other, "day0").where("firm <> partner")
-    return es.own_event_overlap(pairs, _announced(spark, sf_dir).select("firm", "day0"), 0, 1)
-
-
 def own_event_overlap(spark, sf_dir):
-    return _pairs(spark, sf_dir).groupBy("overlap").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("firm", "partner").alias("n_pairs"))
+    """Event pairs and pairs of companies by whether the partner reacts to an own event."""
+    car = es.window_sums(_series(spark, sf_dir), 0, 1)
+    own = table(_announced(spark, sf_dir).select("firm", "day0"), "announced")
+    mine = own.join(car.select(F.col("ticker").alias("firm"), F.col("day").alias("day0")), ["firm", "day0"]).withColumnRenamed("day0", "day")
+    other = es.own_event_overlap(car.select(F.col("ticker").alias("partner"), F.col("day").alias("day0")), own, 0, 1).withColumnRenamed("day0", "day")
+    sums = es.meetings(mine, other, 5).agg(*[F.sum(c).alias(c) for c in ("n", "gone", "to_gone", "to_kept")])
+    row = lambda overlap, n, pairs: F.struct(F.lit(overlap).alias("overlap"), n.alias("n"), pairs.alias("n_pairs"))
+    both = F.array(row(True, F.col("gone"), F.col("to_gone")), row(False, F.col("n") - F.col("gone"), F.col("to_kept")))
+    return sums.select(F.inline(both)).where("n > 0")
 
 
 def event_moments(spark, sf_dir):
@@ -91,7 +89,7 @@ def event_moments(spark, sf_dir):
 
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(firm, day, x) of announcers and (partner, day, y) of those without an own event: their pairs are those of ``_pairs`` that do not overlap."""
+    """(firm, day, x) of announcers and (partner, day, y) of those without an own event: their pairs are the event pairs that do not overlap."""
     car = es.window_sums(_series(spark, sf_dir), 0, 1)
     own = _announced(spark, sf_dir).select("firm", "day0")
     mine = own.join(car.select(F.col("ticker").alias("firm"), F.col("day").alias("day0"), F.col("car").alias("x")), ["firm", "day0"])
