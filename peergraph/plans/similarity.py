@@ -130,11 +130,8 @@ def precision_by_label(spark, sf_dir):
 
 
 def pair_auc(spark, sf_dir):
-    own = _vectors(spark, sf_dir).select("vec_id", "label")
-    pairs = _rounded_pairs(spark, sf_dir).join(own.select(F.col("vec_id").alias("i"), F.col("label").alias("li")), "i").join(
-        own.select(F.col("vec_id").alias("j"), F.col("label").alias("lj")), "j"
-    )
-    return ev.auc(pairs, "s", F.col("li") == F.col("lj")).select(F.round("auc", 6).alias("auc"))
+    counts = tiles.label_counts(tiles.blocks(_vectors(spark, sf_dir), "vec_id", ["embedding"], "label"))
+    return ev.auc_of_counts(counts).select(F.round("auc", 6).alias("auc"))
 
 
 def _tops(spark, sf_dir) -> list[DataFrame]:
